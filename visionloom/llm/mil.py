@@ -81,9 +81,10 @@ class NoisyOr:
         return score
 
 
-def train_noisy_or(rows: list[tuple[int, str, int]], features: int = 2000, steps: int = 120, rate: float = 0.3, penalty: float = 2e-4) -> NoisyOr:
+def train_noisy_or(rows: list[tuple[int, str, int]], features: int = 2000, steps: int = 120, rate: float = 0.3, penalty: float = 1e-3) -> NoisyOr:
     """Gradient steps (Adam) on the documents' log likelihood; features are those with the strongest smoothed log odds
-    among those of three documents or more. Weights are kept at zero or more: a sentence is not excused by its words."""
+    among those of six toxic documents or more. Weights are drawn to a prior from the log odds, so a word that others always explain keeps
+    its own, and are zero or more: a sentence is not excused by its words."""
     on, off, bags = Counter(), Counter(), []
     for _, text, y in rows:
         low = text.lower()
@@ -95,8 +96,11 @@ def train_noisy_or(rows: list[tuple[int, str, int]], features: int = 2000, steps
     if not n1 or not n0:
         p = min(0.99, max(0.01, n1 / max(1, n1 + n0)))
         return NoisyOr({}, float(np.log(p / (1 - p))))
-    odds = {f: np.log((c + 0.1) / (n1 + 0.2)) - np.log((off[f] + 0.1) / (n0 + 0.2)) for f, c in on.items() if c >= 3}
-    chosen = sorted((f for f, v in odds.items() if v > 1), key=lambda f: (-odds[f] * np.sqrt(on[f]), f))[:features]
+    odds = {f: np.log((c + 0.1) / (n1 + 0.2)) - np.log((off[f] + 0.1) / (n0 + 0.2)) for f, c in on.items() if c >= 6}
+    # the widest beginning that is about as telling stands for its longer forms, so that forms not seen here count too
+    told = {f for f, v in odds.items() if v > 1}
+    told = {f for f in told if not any(odds[p] >= odds[f] - 0.7 for n in (4, 5, 6) if (p := f"{f[:n]}-") != f and n <= len(f.rstrip("-")) and p in told)}
+    chosen = sorted(told, key=lambda f: (-odds[f] * np.sqrt(on[f]), f))[:features]
     index = {f: i for i, f in enumerate(chosen)}
     sent, feat, doc = [], [], []
     for d, bag in enumerate(bags):
@@ -108,7 +112,8 @@ def train_noisy_or(rows: list[tuple[int, str, int]], features: int = 2000, steps
                     sent.append(k), feat.append(index[f])
     sent, feat, doc = np.array(sent, int), np.array(feat, int), np.array(doc)
     y = np.array([y for *_, y in rows], float)
-    w, bias = np.full(len(chosen), 3.0), -10.0
+    prior = np.clip([2 * odds[f] - 6 for f in chosen], 0, 12)
+    w, bias = prior.copy(), -10.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         s = bias + np.bincount(sent, w[feat], len(doc))
@@ -116,12 +121,12 @@ def train_noisy_or(rows: list[tuple[int, str, int]], features: int = 2000, steps
         p = -np.expm1(-total)
         d_total = np.where(y > 0, -np.exp(-total) / np.maximum(p, 1e-9), 1.0)
         d_s = d_total[doc] / (1 + np.exp(-s))
-        g = np.append(np.bincount(feat, d_s[sent], len(w)) / len(y) + penalty * np.sign(w), d_s.sum() / len(y))
+        g = np.append(np.bincount(feat, d_s[sent], len(w)) / len(y) + penalty * (w - prior), d_s.sum() / len(y))
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w = np.maximum(0, w - move[:-1])
-        bias = min(-4.0, bias - move[-1])
+        bias = float(np.clip(bias - move[-1], -12, -4))
     return NoisyOr({f: float(x) for f, x in zip(chosen, w) if x > 1e-3}, float(bias))
 
 
