@@ -22,7 +22,7 @@ def list_images(spark: SparkSession, root: str, source_id: str = "src") -> DataF
 
 def yolo_labels(spark: SparkSession, labels_dir: str, names: list[str]) -> DataFrame:
     """(stem, line, category, xc, yc, w, h): blank, short and unreadable lines and unknown classes are left out."""
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(labels_dir)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(labels_dir, wholetext=True)
     lines = text.select(F.regexp_extract(F.input_file_name(), STEM, 1).alias("stem"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "s"))
     p = F.split(F.trim("s"), r"\s+")
     num = [F.get(p, F.lit(i)).try_cast("double") for i in range(5)]
@@ -50,7 +50,7 @@ def coco(spark: SparkSession, path: str, source_id: str = "coco") -> tuple[DataF
     return images.drop("__id"), boxes
 
 
-def voc(spark: SparkSession, path: str, one_based: bool = False) -> DataFrame:
+def voc(spark: SparkSession, path: str | list[str], one_based: bool = False) -> DataFrame:
     """(file_name, width, height, category, x1..y2, difficult, truncated) of Pascal VOC XML files."""
     schema = "folder string, filename string, size struct<width:string,height:string>, object array<struct<name:string,truncated:string,difficult:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
     doc = spark.read.format("xml").option("rowTag", "annotation").schema(schema).load(path)
@@ -60,7 +60,7 @@ def voc(spark: SparkSession, path: str, one_based: bool = False) -> DataFrame:
     return rows.select(F.col("filename").alias("file_name"), F.col("size.width").try_cast("int").alias("width"), F.col("size.height").try_cast("int").alias("height"), F.trim("o.name").alias("category"), (num("xmin") - less).alias("x1"), (num("ymin") - less).alias("y1"), num("xmax").alias("x2"), num("ymax").alias("y2"), (F.col("o.difficult") == "1").alias("difficult"), (F.col("o.truncated") == "1").alias("truncated"))
 
 
-def labelme(spark: SparkSession, path: str) -> DataFrame:
+def labelme(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file_name, category, x1..y2): rectangles, polygons of three points or more, circles; other shapes are left out."""
     schema = "imagePath string, imageWidth int, imageHeight int, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>"
     rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.col("imagePath").alias("file_name"), F.explode("shapes").alias("s")).where(F.size("s.points") >= 2)
@@ -72,7 +72,7 @@ def labelme(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(ok).select("file_name", F.trim("s.label").alias("category"), side(xs, True).alias("x1"), side(ys, True).alias("y1"), side(xs, False).alias("x2"), side(ys, False).alias("y2"))
 
 
-def openlabel_intervals(spark: SparkSession, path: str, level: str | None = None) -> DataFrame:
+def openlabel_intervals(spark: SparkSession, path: str | list[str], level: str | None = None) -> DataFrame:
     """(file, label, start, end) of the action intervals of OpenLABEL files, ends included."""
     schema = "openlabel struct<actions:map<string,struct<type:string,frame_intervals:array<struct<frame_start:bigint,frame_end:bigint>>>>>"
     rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.input_file_name().alias("file"), F.explode(F.map_values("openlabel.actions")).alias("a"))
