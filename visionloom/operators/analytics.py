@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import SPLITS, box_area, bucket
@@ -69,10 +69,12 @@ def distribution_shift(images: DataFrame, annotations: DataFrame, least: float =
     """Classes whose share in val or test differs from their share overall by `least` or more, the largest first."""
     rows = annotations.join(images.select("uid", "split"), F.expr("image_uid = uid"))
     counts = rows.groupBy("split", "category").agg(F.count(F.lit(1)).alias("c"))
-    all_ = counts.groupBy("category").agg(F.sum("c").alias("all"))
-    shares = counts.where("split in ('val', 'test')").withColumn("in_split", F.sum("c").over(Window.partitionBy("split")))
-    total = F.broadcast(counts.agg(F.sum("c").alias("total")))
-    diff = shares.join(all_, "category").crossJoin(total).withColumn("shift", F.round(F.col("c") / F.col("in_split") - F.col("all") / F.col("total"), 6))
+    of = lambda n: F.coalesce(F.sum(F.when(F.col("split") == n, F.col("c"))), F.lit(0)).alias(n)
+    per = counts.groupBy("category").agg(F.sum("c").alias("all"), of("val"), of("test"))  # a class without rows in a split has share 0
+    totals = F.broadcast(per.agg(*[F.sum(c).alias(f"{c}_total") for c in ("all", "val", "test")]))  # one row
+    each = F.array(*[F.when(F.col(f"{n}_total") > 0, F.struct(F.lit(n).alias("split"), (F.col(n) / F.nullif(f"{n}_total", F.lit(0))).alias("share"))) for n in ("val", "test")])
+    wide = per.crossJoin(totals).select("category", (F.col("all") / F.col("all_total")).alias("base"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("s"))
+    diff = wide.select("s.split", "category", F.round(F.col("s.share") - F.col("base"), 6).alias("shift"))
     return diff.where(F.abs("shift") >= least).orderBy(F.desc(F.abs("shift")), "split", "category").limit(top).select("split", "category", "shift")
 
 
@@ -96,3 +98,65 @@ def browse(images: DataFrame, annotations: DataFrame, split: str | None = None,
     per = annotations.groupBy("image_uid").agg(F.count(F.lit(1)).alias("objects"))
     rows = rows.join(per, F.expr("uid = image_uid"), "left").withColumn("objects", F.coalesce("objects", F.lit(0))).where(F.col("objects") >= min_objects)
     return rows.orderBy("rel_path", "uid").offset(offset).limit(limit).select("uid", "rel_path", "objects")
+
+
+def concentration(annotations: DataFrame, share: float = 0.2) -> DataFrame:
+    """(classes, top, top_share): the share of the annotations that the largest `share` of the classes hold, one at least."""
+    counts = annotations.groupBy("category").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counts.agg(F.sort_array(F.collect_list("c"), asc=False).alias("a"))  # a number a class, not rows of data
+    top = F.greatest(F.lit(1), F.floor(F.size("a") * share).cast("int"))
+    add = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
+    rows = sizes.where(F.size("a") > 0).select(F.size("a").cast("bigint").alias("classes"), top.cast("bigint").alias("top"), F.round(add(F.slice("a", F.lit(1), top)) / add(F.col("a")), 4).alias("top_share"))
+    return rows
+
+
+def findings(images: DataFrame, annotations: DataFrame, under: int = 20) -> DataFrame:
+    """(code, level, value) of what the distributions show; level is error, warning, info or advice.
+
+    few_instances: classes below `under`. imbalanced: largest to smallest class, from 10. mostly_small and mostly_large:
+    share of boxes, over a half and over 0.8. unlabeled: images without annotation, an error where all annotations are
+    image labels. unassigned: images without split; where there are none, missing_in_val and missing_in_test: classes.
+    shifted: classes whose share in val or test is 0.1 or more off. mixed_sizes: share of the commonest size, below 0.8.
+    one_size: all images alike. healthy: none of the advice applies. All from grouped counts, joined as single rows.
+    """
+    counts = annotations.groupBy("category").agg(F.count(F.lit(1)).alias("c"))
+    a = counts.agg(F.count_if(F.col("c") < under).alias("few"), F.try_divide(F.max("c"), F.min("c")).alias("ratio"))
+    area = box_area()
+    b = annotations.agg(
+        F.count_if(F.col("kind") == "bbox").alias("boxes"), F.count_if(F.col("kind") == "image").alias("labels"),
+        F.count_if((F.col("kind") == "bbox") & (area < 1024)).alias("small"), F.count_if((F.col("kind") == "bbox") & (area > 9216)).alias("large"),
+    )
+    bare = images.join(annotations, F.expr("uid = image_uid"), "left_anti").agg(F.count(F.lit(1)).alias("bare"))
+    i = images.agg(F.count(F.lit(1)).alias("images"), F.count_if(~F.coalesce(F.col("split").isin(SPLITS), F.lit(False))).alias("loose"))
+    sizes = images.groupBy("width", "height").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("commonest"))
+    per = class_by_split(images, annotations).agg(*[F.count_if(F.col(s) == 0).alias(f"no_{s}") for s in ("val", "test")])
+    shift = distribution_shift(images, annotations, top=1 << 30).agg(F.count(F.lit(1)).alias("shifted"))
+    row = a
+    for one in (b, bare, i, sizes, per, shift):
+        row = row.crossJoin(F.broadcast(one))  # one row each
+    total = F.greatest("boxes", F.lit(1))
+    all_split = F.col("loose") == 0
+    only_labels = (F.col("labels") > 0) & (F.col("boxes") == 0)
+    common = F.try_divide("commonest", "images")
+
+    def rule(when: Column, code: str, level: str | Column, value: Column) -> Column:
+        level = F.lit(level) if isinstance(level, str) else level
+        return F.when(when, F.struct(F.lit(code).alias("code"), level.alias("level"), F.round(value.cast("double"), 4).alias("value")))
+
+    c = F.col
+    advice = [
+        rule(c("few") > 0, "few_instances", "warning", c("few")),
+        rule(c("ratio") >= 10, "imbalanced", "advice", c("ratio")),
+        rule(c("small") / total > 0.5, "mostly_small", "advice", c("small") / total),
+        rule(c("large") / total > 0.8, "mostly_large", "advice", c("large") / total),
+        rule(c("bare") > 0, "unlabeled", F.when(only_labels, "error").otherwise("info"), c("bare")),
+        rule(~all_split, "unassigned", "info", c("loose")),
+        rule(all_split & (c("no_val") > 0), "missing_in_val", "warning", c("no_val")),
+        rule(all_split & (c("no_test") > 0), "missing_in_test", "warning", c("no_test")),
+        rule(c("shifted") > 0, "shifted", "warning", c("shifted")),
+        rule((c("kinds") > 1) & (common < 0.8), "mixed_sizes", "info", common),
+    ]
+    some = F.filter(F.array(*advice), lambda x: x.isNotNull())
+    alike = rule(c("kinds") == 1, "one_size", "info", common)
+    healthy = rule(F.size(some) == 0, "healthy", "info", F.lit(None))
+    return row.select(F.inline(F.concat(some, F.filter(F.array(alike, healthy), lambda x: x.isNotNull()))))

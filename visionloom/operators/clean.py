@@ -61,6 +61,27 @@ def near_duplicate_pairs(prints: DataFrame, distance: int = 6) -> DataFrame:
     return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(diff).cast("bigint").alias("distance"))
 
 
+def near_duplicates(images: DataFrame, prints: DataFrame, distance: int = 6) -> DataFrame:
+    """Findings on the second image by order of every close pair of prints(id, fp); a leak where both have a split and the
+    splits differ."""
+    thin = images.select("uid", "split", "ord")
+    pairs = near_duplicate_pairs(prints, distance)
+    rows = pairs.join(thin.select(F.col("uid").alias("a"), F.col("split").alias("sa"), F.col("ord").alias("oa")), "a").join(thin.select(F.col("uid").alias("b"), F.col("split").alias("sb"), F.col("ord").alias("ob")), "b")
+    leak = F.col("sa").isin(SPLITS) & F.col("sb").isin(SPLITS) & (F.col("sa") != F.col("sb"))
+    second = F.when(F.struct("oa", "a") < F.struct("ob", "b"), F.col("b")).otherwise(F.col("a"))
+    rows = rows.withColumns({"uid": second, "leak": F.coalesce(leak, F.lit(False))})
+    hit, miss = _finding(rows.where("leak"), "leak_near_duplicate_across_splits", "error", "report", n="distance"), _finding(rows.where("not leak"), "image_duplicate_near", "info", "report", n="distance")
+    return hit.unionByName(miss)
+
+
+def file_findings(images: DataFrame, probed: DataFrame, unreadable: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Findings of files: images(uid, path), probed(path, orientation), unreadable(path), orphans(rel)."""
+    bad = _finding(images.join(unreadable, "path", "left_semi"), "image_unreadable", "error", "remove_image")
+    turned = images.join(probed.where("orientation is not null and orientation not in (0, 1)").select("path", "orientation"), "path")
+    lonely = _finding(orphans, "label_orphan", "warning", "report", None, "rel")
+    return bad.unionByName(_finding(turned, "image_exif_orientation", "warning", "report", n="orientation")).unionByName(lonely)
+
+
 def group_leaks(images: DataFrame) -> DataFrame:
     rows = images.where("grp is not null").where(F.col("split").isin(SPLITS)).groupBy("grp").agg(F.countDistinct("split").alias("s")).where("s > 1")
     return _finding(rows, "leak_group_across_splits", "error", "report", None, "grp", "s")

@@ -40,3 +40,27 @@ def verify_manifest(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     rows = manifest.join(files, "path", "left")
     problem = F.when(F.col("__s").isNull(), "missing").when((F.col("size") > 0) & (F.col("size") != F.col("__s")), "size").when((F.coalesce("sha256", F.lit("")) != "") & (F.col("sha256") != F.col("__h")), "hash")
     return rows.select("path", problem.alias("problem"))
+
+
+def filter_images(images: DataFrame, boxes: DataFrame, name: str = "all") -> DataFrame:
+    """images(uid, review_status, touched) by pending, confirmed, edited, with_boxes or empty; any other name keeps all."""
+    done = F.coalesce(F.col("review_status") == "confirmed", F.lit(False))
+    if name in ("pending", "confirmed", "edited"):
+        return images.where({"pending": ~done, "confirmed": done, "edited": F.coalesce("touched", F.lit(False))}[name])
+    if name in ("with_boxes", "empty"):
+        return images.join(boxes, F.expr("uid = image_uid"), "left_semi" if name == "with_boxes" else "left_anti")
+    return images
+
+
+def validate_box(rows: DataFrame) -> DataFrame:
+    """rows(x1..y2, category, width, height) clamped to the image, with problem: no_area, blank_category or null."""
+    clip = {c: F.greatest(F.lit(0.0), F.least(F.col(c), F.col("width" if c[0] == "x" else "height").cast("double"))) for c in BOX}
+    problem = F.when(~F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False)), "no_area").when(F.trim(F.coalesce("category", F.lit(""))) == "", "blank_category")
+    return rows.withColumns(clip).withColumn("problem", problem)
+
+
+def top_hits(frames: DataFrame, scores: str = "scores", k: int = 5) -> DataFrame:
+    """frames with hits: the k highest scores of each as (class_index, confidence), the lower index first at a tie."""
+    pairs = F.transform(scores, lambda s, i: F.struct(i.alias("class_index"), s.alias("confidence")))
+    by = lambda a, b: F.when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(a["class_index"] - b["class_index"])
+    return frames.withColumn("hits", F.slice(F.array_sort(F.filter(pairs, lambda p: p["confidence"].isNotNull()), by), 1, k))

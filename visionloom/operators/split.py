@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import SPLITS
@@ -77,3 +77,27 @@ def largest_remainder(n: int, ratios: Iterator[float]) -> list[int]:
     for i in sorted(range(len(shares)), key=lambda i: (out[i] - shares[i], i))[: n - sum(out)]:
         out[i] += 1
     return out
+
+
+def ensure_minimums(assigned: DataFrame, min_val: int = 0, min_test: int = 0) -> DataFrame:
+    """assigned(unit, split, ...) after moving train units to val, then to test, until each has its minimum, one train unit
+    always staying. Moved are the first train units by name: at most min_val + min_test rows are ranked, as a top-k."""
+    n = assigned.agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS]).first()
+    to_val = max(0, min(min_val - n["val"], n["train"] - 1))
+    to_test = max(0, min(min_test - n["test"], n["train"] - to_val - 1))
+    if not to_val + to_test:
+        return assigned
+    first = assigned.where("split = 'train'").select("unit").orderBy("unit").limit(to_val + to_test)
+    rank = F.row_number().over(Window.orderBy("unit"))  # over the limit's few rows
+    moved = first.select("unit", F.when(rank <= to_val, "val").otherwise("test").alias("__to"))
+    return assigned.join(F.broadcast(moved), "unit", "left").withColumn("split", F.coalesce("__to", "split")).select(*assigned.columns)
+
+
+def ratio_deviation(images: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), most: float = 0.03) -> DataFrame:
+    """(split, target, actual, off): shares of the assigned images against the target; off where the worst is over `most`."""
+    total = sum(ratios)
+    n = images.where(F.col("split").isin(SPLITS)).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    share = [F.round(F.coalesce(F.try_divide(s, "n"), F.lit(0.0)), 4) for s in SPLITS]
+    rows = F.array(*[F.struct(F.lit(s).alias("split"), F.lit(round(r / total, 4)).alias("target"), x.alias("actual")) for s, r, x in zip(SPLITS, ratios, share)])
+    worst = F.greatest(*[F.abs(x - r / total) for x, r in zip(share, ratios)])
+    return n.withColumn("off", (worst > most) & (F.col("n") > 0)).select("off", F.inline(rows)).select("split", "target", "actual", "off")

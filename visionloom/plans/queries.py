@@ -174,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "ds_image_sizes": _W + "SELECT width, height, images FROM (SELECT width, height, count(*) AS images, min(ord) AS f FROM im GROUP BY width, height ORDER BY images DESC, f LIMIT 12)",
         "ds_split_summary": _W + f", i AS (SELECT coalesce(split, 'unassigned') AS split, count(*) AS images FROM im GROUP BY 1), a AS (SELECT coalesce(split, 'unassigned') AS split, count(*) AS annotations, count(*) FILTER (kind = 'bbox') AS boxes, count(DISTINCT category) AS classes FROM {_JOINED} GROUP BY 1) SELECT split, images, coalesce(annotations, 0) AS annotations, coalesce(boxes, 0) AS boxes, coalesce(classes, 0) AS classes FROM i LEFT JOIN a USING (split)",
         "ds_imbalance": _W + ", c AS (SELECT category, count(*) AS c FROM an GROUP BY category) SELECT (SELECT category FROM c ORDER BY c DESC, category DESC LIMIT 1) AS max_class, max(c) AS max_count, (SELECT category FROM c ORDER BY c, category LIMIT 1) AS min_class, min(c) AS min_count, count(*) FILTER (c < 20) AS underrepresented, round(max(c) / min(c), 4) AS ratio FROM c",
-        "ds_distribution_shift": _W + f", c AS (SELECT split, category, count(*) AS c FROM {_JOINED} GROUP BY ALL), s AS (SELECT split, category, round(c / sum(c) OVER (PARTITION BY split) - (SELECT sum(c) FROM c x WHERE x.category = c.category) / (SELECT sum(c) FROM c), 6) AS shift FROM c) SELECT split, category, shift FROM s WHERE split IN ('val', 'test') AND abs(shift) >= 0.0005 ORDER BY abs(shift) DESC, split, category LIMIT 4",
+        "ds_distribution_shift": _W + f", t AS (SELECT split, count(*) AS n FROM {_JOINED} WHERE split IN ('val', 'test') GROUP BY split), al AS (SELECT category, count(*) AS k FROM {_JOINED} GROUP BY category), c AS (SELECT split, category, count(*) AS c FROM {_JOINED} GROUP BY ALL), s AS (SELECT t.split, al.category, round(coalesce(c, 0) / n - k / (SELECT sum(k) FROM al), 6) AS shift FROM t CROSS JOIN al LEFT JOIN c ON c.split = t.split AND c.category = al.category) SELECT split, category, shift FROM s WHERE abs(shift) >= 0.0005 ORDER BY abs(shift) DESC, split, category LIMIT 4",
         "ds_round_robin": _W + ", f AS (SELECT image_uid, min(category) AS category FROM an GROUP BY 1), t AS (SELECT uid, category, row_number() OVER (PARTITION BY category ORDER BY ord, uid) AS turn FROM f JOIN im ON uid = image_uid) SELECT uid, category, turn FROM t ORDER BY turn, category LIMIT 24",
         "ds_browse": _W + "SELECT uid, rel_path, count(image_uid) AS objects FROM im LEFT JOIN an ON image_uid = uid WHERE split = 'train' AND contains(lower(rel_path), '/1/') AND greatest(width, height) >= 300 GROUP BY uid, rel_path HAVING count(image_uid) >= 2 ORDER BY rel_path, uid LIMIT 100 OFFSET 5",
         "clean_exact_duplicates": _W + f", {_DUPES} SELECT CASE WHEN k > 1 THEN 'leak_duplicate_across_splits' ELSE 'image_duplicate_exact' END AS rule, CASE WHEN k > 1 THEN 'error' ELSE 'warning' END AS severity, uid AS image_uid, n FROM du JOIN ds USING (sha1) WHERE r > 1",
