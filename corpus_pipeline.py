@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visionloom.llm import decontaminate, langid, packing, pii, simhash
+from visionloom.llm import decontaminate, langid, packing, pii, shingles
 from visionloom.llm.common import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,10 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group the document with the smallest id, and documents without an id."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return _documents(docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")))
+    """Keeps of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id."""
+    return _documents(shingles.first_of_near_copies(docs))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
