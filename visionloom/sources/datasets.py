@@ -33,6 +33,16 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select("path", F.expr(f"substring(path, locate({base!r}, path) + {len(base)})").alias("rel"), "size")
 
 
+def _local(path: str | Column) -> Column:
+    """A path with local files written one way."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def _read_from(uri: str | Column) -> Column:
+    """The path in list_files of what input_file_name gives, which is encoded."""
+    return _local(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
 def _extension(rel: str = "rel") -> Column:
     return F.lower(F.regexp_extract(rel, r"\.([^./]+)$", 1))
 
@@ -92,9 +102,10 @@ def read_yaml(spark: SparkSession, files: DataFrame) -> dict:
     """The dataset's yaml: data, dataset, else the first by name that has names; {} where there is none."""
     import yaml
 
-    rows = files.where(_extension().isin("yaml", "yml") & ~F.col("rel").contains("/")).select("path", "rel").limit(100).collect()
     known = ["data.yaml", "dataset.yaml", "data.yml", "dataset.yml"]
-    for r in sorted(rows, key=lambda r: (known.index(r["rel"]) if r["rel"] in known else len(known), r["rel"])):
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col("rel")), F.lit(0)), F.lit(len(known) + 1))
+    rows = files.where(_extension().isin("yaml", "yml") & ~F.col("rel").contains("/")).select("path", "rel").orderBy(rank, "rel")
+    for r in rows.toLocalIterator():
         try:
             doc = yaml.safe_load(spark.read.text(r["path"], wholetext=True).first()["value"]) or {}
         except yaml.YAMLError:
@@ -161,16 +172,19 @@ def load_yolo(spark: SparkSession, root: str, source_id: str = "src", group_by:
 
 def load_coco(spark: SparkSession, root: str, source_id: str = "src") -> Dataset:
     """All three-array JSON files at most one folder down; a file's name tells the split where the image's path doesn't."""
-    files = list_files(spark, root).where((_extension() == "json") & (F.size(F.split("rel", "/")) <= 2)).orderBy("rel").limit(1000).collect()
-    parts = []
-    for f in files:
-        if {"images", "annotations", "categories"} <= set(spark.read.option("multiLine", "true").json(f["path"]).columns):
-            im, an = formats.coco(spark, f["path"], source_id)
-            parts.append((_model(im.withColumn("split", F.coalesce(split_from_text(F.lit(f["rel"])), split_from_text(F.col("rel_path")))), source_id), _boxes(an)))
-    if not parts:
+    files = list_files(spark, root).where((_extension() == "json") & (F.size(F.split("rel", "/")) <= 2)).select(_local("path").alias("file"), "rel")
+    docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(root, wholetext=True)
+    keys = F.json_object_keys(F.regexp_replace("value", "^\ufeff", ""))
+    three = F.size(F.array_intersect(keys, F.array(*map(F.lit, ("images", "annotations", "categories"))))) == 3
+    found = docs.where(three).select(_read_from(F.input_file_name()).alias("file")).join(files, "file").select("file", "rel")
+    paths = [r["file"] for r in found.orderBy("rel").collect()]
+    if not paths:
         raise ValueError(f"no annotation file below {root}")
-    im, an = reduce(lambda a, b: (a[0].unionByName(b[0]), a[1].unionByName(b[1])), parts)
-    return Dataset(im.dropDuplicates(["uid"]), an)
+    im, an = formats.coco_files(spark, paths, source_id)
+    im = im.withColumn("file", _read_from(F.col("file"))).join(F.broadcast(found), "file")
+    split = F.coalesce(split_from_text(F.col("rel")), split_from_text(F.col("rel_path")))
+    first = im.withColumn("split", split).groupBy("uid").agg(F.min_by(F.struct("rel_path", "width", "height", "grp", "split"), "rel").alias("i"))
+    return Dataset(_model(first.select("uid", "i.*"), source_id), _boxes(an))
 
 
 def image_sets(spark: SparkSession, root: str) -> DataFrame:

@@ -39,12 +39,18 @@ def yolo_annotations(images: DataFrame, labels: DataFrame) -> DataFrame:
 
 def coco(spark: SparkSession, path: str, source_id: str = "coco") -> tuple[DataFrame, DataFrame]:
     """Images and annotations of a COCO file; annotations of unknown images or categories or with bad boxes are left out."""
+    images, boxes = coco_files(spark, [path], source_id)
+    return images.drop("file"), boxes
+
+
+def coco_files(spark: SparkSession, paths: list[str], source_id: str = "coco") -> tuple[DataFrame, DataFrame]:
+    """Images, with their file, and annotations of COCO files, each with its own ids, in one read."""
     schema = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>,iscrowd:int>>, categories array<struct<id:bigint,name:string>>"
-    doc = spark.read.schema(schema).option("multiLine", "true").json(path)
-    raw = doc.select(F.inline("images"))
-    images = raw.select(make_uid(F.lit(source_id), F.col("file_name")).alias("uid"), F.col("file_name").alias("rel_path"), "width", "height", F.nullif(F.regexp_extract("file_name", r"^(.*)/[^/]+$", 1), F.lit("")).alias("grp"), F.col("id").alias("__id"))
-    cats = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.trim("name").alias("category"))
-    rows = doc.select(F.inline("annotations")).where(F.size("bbox") == 4).join(images.select("__id", "uid"), F.expr("image_id = __id")).join(F.broadcast(cats), "category_id")
+    doc = spark.read.schema(schema).option("multiLine", "true").json(paths).withColumn("file", F.input_file_name())
+    raw = doc.select("file", F.inline("images"))
+    images = raw.select(make_uid(F.lit(source_id), F.col("file_name")).alias("uid"), F.col("file_name").alias("rel_path"), "width", "height", F.nullif(F.regexp_extract("file_name", r"^(.*)/[^/]+$", 1), F.lit("")).alias("grp"), F.col("id").alias("__id"), "file")
+    cats = doc.select("file", F.inline("categories")).select("file", F.col("id").alias("category_id"), F.trim("name").alias("category"))
+    rows = doc.select("file", F.inline("annotations")).where(F.size("bbox") == 4).join(images.select("file", F.col("__id").alias("image_id"), "uid"), ["file", "image_id"]).join(cats, ["file", "category_id"])
     x, y, w, h = (F.get("bbox", F.lit(i)) for i in range(4))
     boxes = rows.select(F.col("uid").alias("image_uid"), "category", F.lit("bbox").alias("kind"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), F.when(F.col("iscrowd") == 1, "iscrowd").alias("grp"))
     return images.drop("__id"), boxes
