@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,27 @@ def _orientation(tiff: bytes) -> int | None:
     return None
 
 
+def _tiff(read: Callable[[int, int], bytes]) -> tuple | None:
+    """Of the first directory, wherever read(at, n) finds it; the sizes and counts of BigTIFF are wider."""
+    b = read(0, 16)
+    e = "<" if b[:2] == b"II" else ">"
+    big = struct.unpack_from(e + "H", b, 2)[0] == 43
+    at = struct.unpack_from(e + ("Q" if big else "I"), b, 8 if big else 4)[0]
+    counter, size, value = ("Q", 20, 12) if big else ("H", 12, 8)
+    start = struct.calcsize(counter)
+    n = struct.unpack(e + counter, read(at, start))[0]
+    raw, found = read(at + start, n * size), {}
+    for i in range(len(raw) // size):
+        tag, kind = struct.unpack_from(e + "HH", raw, i * size)
+        if tag in (256, 257, 274) and kind in (1, 3, 4, 16):
+            found[tag] = struct.unpack_from(e + {1: "B", 3: "H", 4: "I", 16: "Q"}[kind], raw, i * size + value)[0]
+    return ("tiff", found[256], found[257], found.get(274)) if 256 in found and 257 in found else None
+
+
+def _is_tiff(b: bytes) -> bool:
+    return b[:4] in (b"II*\0", b"MM\0*", b"II+\0", b"MM\0+")
+
+
 def header(b: bytes) -> tuple | None:
     """(kind, width, height, orientation) of the first bytes of a file, null where they are no known image."""
     try:
@@ -48,6 +69,8 @@ def header(b: bytes) -> tuple | None:
             return _jpeg(b)
         if b[:4] == b"GIF8":
             return "gif", *struct.unpack_from("<HH", b, 6), None
+        if _is_tiff(b):
+            return _tiff(lambda at, n: b[at : at + n])
         if b[:2] == b"BM":
             w, h = struct.unpack_from("<ii", b, 18)
             return "bmp", w, abs(h), None
@@ -66,7 +89,7 @@ def header(b: bytes) -> tuple | None:
 
 def probe(files: DataFrame, path: str = "path") -> DataFrame:
     """(path, kind, width, height, orientation) per file of the column path; sizes are null where the header is unknown or
-    the file can't be read. Tasks read the first 64 KB of each file only."""
+    the file can't be read. Tasks read the first 64 KB of each file only, and the directory of a TIFF."""
 
     def read(uri: str) -> tuple | None:
         from pyarrow import fs
@@ -76,8 +99,10 @@ def probe(files: DataFrame, path: str = "path") -> DataFrame:
             held, at = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
             with held.open_input_file(at) as f:
                 b = f.read(HEAD)
+                if _is_tiff(b):
+                    return _tiff(lambda at, n: f.read_at(min(n, max(0, f.size() - at)), at))
                 return header(b) or (header(b + f.read()) if b[:2] == b"\xff\xd8" else None)
-        except (OSError, pa.ArrowInvalid):
+        except (OSError, pa.ArrowInvalid, struct.error):
             return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
