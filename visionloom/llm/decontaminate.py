@@ -142,10 +142,10 @@ class Automaton:
         return [tuple(x) for x in merged], names
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
-    """The items, a bounded block of words at a time."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The items, a bounded block of words at a time; the name of a null id is None."""
     block, size = [], 0
-    for r in benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
+    for r in benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string"), F.col(text)).toLocalIterator():
         n = len(words_of(r[1]))
         if block and size + n > block_words:
             yield block
@@ -161,7 +161,7 @@ _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struc
 _BUILT: dict[tuple, Automaton] = {}
 
 
-def automaton(items: tuple[tuple[str, str], ...], window: int) -> Automaton:
+def automaton(items: tuple[tuple[str | None, str], ...], window: int) -> Automaton:
     """Built once per worker and block."""
     key = (hashlib.sha1(repr(items).encode()).digest(), window)
     if key not in _BUILT:
@@ -171,7 +171,7 @@ def automaton(items: tuple[tuple[str, str], ...], window: int) -> Automaton:
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, item_id: str = "item_id", item_text: str = "text", block_words: int = 300_000) -> DataFrame:
-    """docs with n_words, hit_spans (word numbers, end exclusive) and hit_items (ids as strings, sorted).
+    """docs with n_words, hit_spans (word numbers, end exclusive) and hit_items (ids as strings, sorted; items without an id as one null at the end).
 
     Whole texts are streamed. A benchmark of more than block_words words is taken in blocks, one pass each over docs
     with an automaton of bounded size; no block is left out. Nulls have no words. No shuffle.
@@ -189,7 +189,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
                     found, who = union_spans(found + [(x["start"], x["end"]) for x in old_spans[i]]), who | set(old_items[i])
                 counts.append(len(words))
                 spans.append([{"start": a, "end": b} for a, b in found])
-                names.append(sorted(who))
+                names.append(sorted(who, key=lambda x: (x is None, x or "")))
             return {"n_words": counts, "hit_spans": spans, "hit_items": names}
 
         return fn
@@ -197,7 +197,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
     blocks, done = item_blocks(benchmark, item_id, item_text, block_words), None
     for items in blocks:
         inputs = [text] if done is None else [text, "hit_spans", "hit_items"]
-        done = append_columns(docs if done is None else done, fields, one(tuple(sorted(items)), done is None), inputs)
+        done = append_columns(docs if done is None else done, fields, one(tuple(sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1]))), done is None), inputs)
     return append_columns(docs, fields, one((), True), [text]) if done is None else done
 
 
@@ -243,7 +243,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) per document; repeated ids keep a row each.
 
-    An empty benchmark, or items without words, hit nothing; repeated item ids count once."""
+    An empty benchmark, or items without words, hit nothing; repeated item ids count once. Items without an id count for
+    n_hit and contaminated and, all together, as one of n_items, but not in items_sha256."""
     found = find_windows(docs.select("doc_id", "text"), benchmark, window=window)
     hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
     return found.select(
