@@ -93,14 +93,47 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_links_equal_brute_force(spark):
+def brute_groups(n, near):
+    """The smallest member that each of n reaches over pairs for which near(i, j)."""
+    group = list(range(n))
+    pairs = [(i, j) for i in range(n) for j in range(i) if near(i, j)]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if group[i] != group[j]:
+                group[i] = group[j] = min(group[i], group[j])
+                changed = True
+    return group
+
+
+def test_linked_fingerprints_equal_brute_force(spark):
     g = random.Random(2)
     base = [g.getrandbits(64) for _ in range(50)]
     all_ = list({x ^ sum(1 << b for b in g.sample(range(64), k)) for x in base for k in (0, 1, 2, 3, 4, 5)})
-    df = spark.createDataFrame([(i, x - (x >> 63 << 64)) for i, x in enumerate(all_)], "node long, fp long")
-    got = [tuple(r) for r in simhash.hamming_links(df, "fp", "node").collect()]
-    want = {(i, j) for i in range(len(all_)) for j in range(i + 1, len(all_)) if (all_[i] ^ all_[j]).bit_count() <= 3}
-    assert len(got) == len(set(got)) and set(got) == want
+    chain = [0]
+    for i in range(0, 63, 3):  # each three bits from the last: one group, of which only neighbours are near
+        chain.append(chain[-1] | 7 << i)
+    all_ = sorted({x - (x >> 63 << 64) for x in all_ + chain + [1 << b for b in range(20)]})
+    want = brute_groups(len(all_), lambda i, j: ((all_[i] ^ all_[j]) & (1 << 64) - 1).bit_count() <= 3)
+    got = {r["node"]: r["component"] for r in simhash.linked(spark.createDataFrame([(x,) for x in all_], "f long"), 3).collect()}
+    assert {x: got.get(x, x) for x in all_} == {x: all_[k] for x, k in zip(all_, want)}
+    many = Counter(want)
+    assert set(got) == {x for x, k in zip(all_, want) if many[k] > 1}
+    pairs = simhash.pivot_links(simhash.block_keys(spark.createDataFrame([(1 << b,) for b in range(40)], "f long"))).count()
+    assert pairs < 40 * 20  # of 780 near pairs only those with the smallest under a key
+
+
+def test_a_null_id_bridges_groups(spark):
+    g = random.Random(1)
+    body = [f"w{g.randrange(500)}" for _ in range(150)]
+    prints = {t: simhash.fingerprint(t) for t in (" ".join(body[: 150 - k]) for k in range(60))}
+    far = lambda x, y: (prints[x] ^ prints[y]).bit_count()
+    a, b, c = next((x, y, z) for y in prints for x in prints for z in prints if 0 < far(x, y) <= 3 and 0 < far(y, z) <= 3 < far(x, z))
+    rows = spark.createDataFrame([(7, a), (None, b), (9, c), (None, "alone"), (None, "alone")], "doc_id long, text string")
+    out = Counter(map(tuple, simhash.near_duplicates(rows).collect()))
+    hexed = lambda t: f"{simhash.fingerprint(t):016x}"
+    assert out == Counter({(7, hexed(a), 7): 1, (None, hexed(b), 7): 1, (9, hexed(c), 7): 1, (None, hexed("alone"), None): 2})
 
 
 def test_packing(spark):
@@ -286,21 +319,74 @@ def test_windows_equal_brute_force(spark):
 
 
 def test_pipeline_stages(spark):
+    """Each stage on a few hundred documents against plain loops that share none of its code."""
     import corpus_pipeline as P
+    from tokenizers import Tokenizer
 
     d = P.table(spark, DATA, "documents")
+    benchmark = [(str(r["item_id"]), r["text"]) for r in P.table(spark, DATA, "benchmark").collect()]
     assert [n for n, _ in P.STAGES] == ["language", "near_duplicates", "benchmark_passages", "personal_data", "packing"]
-    before = d
+    taken = {}
+    before, rows = d, {r["doc_id"]: r["text"] for r in d.collect()}
     for name, stage in P.STAGES[:-1]:
-        after = P.materialise(stage(spark, before, DATA), name)
-        assert after.columns == P.COLUMNS and 0 < after.count() <= before.count()
-        if name == "near_duplicates":
-            groups = simhash.near_duplicates(before).where("doc_id = component_id")
-            assert {r[0] for r in after.select("doc_id").collect()} == {r[0] for r in groups.select("doc_id").collect()}
-        if name == "benchmark_passages":
-            assert D.contamination(after, P.table(spark, DATA, "benchmark")).where("contaminated").count() == 0
-        if name == "personal_data":
-            assert not any(base_spans(r["text"]) for r in after.collect())
-        before = after
-    packed = P.STAGES[-1][1](spark, before, DATA)
-    assert packed.select("doc_id").distinct().count() == before.count()
+        after = P.written(stage(spark, before, DATA), name)[0]
+        assert after.columns == P.COLUMNS
+        kept = {r["doc_id"]: r["text"] for r in after.collect()}
+        taken[name] = (rows, kept)
+        before, rows = after, kept
+    was, now = taken["language"]
+    langs = {r["doc_id"]: r["lang"] for r in d.collect()}
+    lettered = [i for i, t in was.items() if t and any(c.isalpha() for c in t)]
+    assert set(now) <= set(lettered) and len(now) > 0.95 * sum(langs[i] is not None for i in lettered)
+    was, now = taken["near_duplicates"]
+    ids = sorted(was)
+    words = [was[i].split() for i in ids]
+    sets = [{tuple(bytes(x, "utf-8").lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    group = brute_groups(len(ids), lambda i, j: len(sets[i] & sets[j]) * 9 >= 4 * (len(sets[i]) + len(sets[j])))
+    assert set(now) == {ids[k] for k in group} and all(was[i] == t for i, t in now.items())
+    was, now = taken["benchmark_passages"]
+    cuts = 0
+    for i, t in was.items():
+        n, hit, _ = brute_windows(t, benchmark, 10)
+        assert (i in now) == (len(hit) <= 0.8 * n)
+        if i in now:
+            left = [w for k, w in enumerate(D.words_of(t)) if k not in hit]
+            assert D.words_of(now[i]) == left and (hit or now[i] == t)
+            cuts += bool(hit)
+    assert cuts
+    was, now = taken["personal_data"]
+    assert set(was) == set(now)
+    for i, t in was.items():
+        assert not base_spans(now[i]) and (not base_spans(t) or now[i] != t)
+    assert sum(now[i] == t for i, t in was.items() if not base_spans(t)) > 0.95 * sum(not base_spans(t) for t in was.values())
+    packed = P.STAGES[-1][1](spark, before, DATA).collect()
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    size = {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows.items()}
+    got = Counter()
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+    assert dict(got) == size
+    fill = Counter()
+    for r in packed:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 2048
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as P
+
+    t, u = "one two three four five six seven", "other words that share nothing with these"
+    rows = [(1, t), (1, t), (2, u), (2, t), (None, t), (None, t), (None, "nobody has an id here"), (None, "nobody has an id here")]
+    out = P.near_duplicates(spark, docs(spark, rows), "").select("doc_id", "text").collect()
+    assert Counter(map(tuple, out)) == Counter([(1, t), (2, u), (None, "nobody has an id here")])
+
+
+def test_the_pipeline_on_odd_tables(spark):
+    import corpus_pipeline as P
+
+    rows, df = made(spark)
+    for part in (df, df.limit(0), docs(spark, [(None, None), (1, ""), (1, "")])):
+        for _, stage in P.STAGES[1:]:
+            stage(spark, part, DATA).count()
+        P.language(spark, part, DATA).count()
+    P.language(spark, df.withColumn("lang", F.lit("x")), DATA).count()

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_own_shared: dict[str, str] = {}
+_own_shared: dict[str, tempfile.TemporaryDirectory] = {}
+#: Bytes of input columns that one call of a column function gets, a longer text alone.
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,36 +24,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset (tests on one machine)."""
+    """The application's folder in spark.checkpoint.dir. Where that is unset, a temporary one if the master is one local
+    machine; on a cluster each executor would write to its own disk, so there it is an error."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if not told:
-        told = _own_shared.setdefault(app, "file://" + tempfile.mkdtemp(prefix="llm-shared-"))
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        told = "file://" + _own_shared.setdefault(app, tempfile.TemporaryDirectory(prefix="llm-shared-")).name
     return f"{told.rstrip('/')}/llm-{app}"
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors, gives Catalyst true sizes."""
+def _folder(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and where: cuts lineage, survives lost executors, gives true sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialise(df: DataFrame, tag: str) -> DataFrame:
+    return written(df, tag)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _folder(spark, path)
+    fs.delete(at, True)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is materialised inside is removed at the end, but for tables written by the function that this gives."""
+    _scopes.append([])
+
+    def outlive(df: DataFrame, tag: str) -> DataFrame:
+        out, path = written(df, tag)
+        _scopes[-1].remove(path)
+        if len(_scopes) > 1:
+            _scopes[-2].append(path)
+        return out
+
+    try:
+        yield outlive
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Remove what the operators of this application left in the shared folder. Call after the last result is written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, shared_dir(spark))
+
 
+def unused(names: list[str], stem: str) -> str:
+    """A column name that none of names has."""
+    taken, name = {n.lower() for n in names}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def _cleanup_own() -> None:
-    import shutil
 
-    for path in _own_shared.values():
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+def _slices(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batch with about SLICE_BYTES in the columns."""
+    step = max(1, batch.num_rows * SLICE_BYTES // max(1, sum(batch.column(i).nbytes for i in columns), 1))
+    at = 0
+    while at < batch.num_rows:
+        n = min(step, batch.num_rows - at)
+        while n > 1 and sum(batch.column(i).slice(at, n).nbytes for i in columns) > 2 * SLICE_BYTES:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
 
 
-atexit.register(_cleanup_own)
+def _give_back() -> None:
+    """At a task's end a worker, which stays for later tasks, returns free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def append_columns(
@@ -59,28 +124,35 @@ def append_columns(
     inputs: list[str],
     setup: Callable[[], object] | None = None,
 ) -> DataFrame:
-    """df with the columns that fn computes from whole Arrow batches, streamed; no shuffle.
+    """df with the columns that fn computes from parts of Arrow batches, streamed; no shuffle.
 
     fn(*lists of the input columns[, state]) returns a list per new field. setup() runs once per task and its value is
-    fn's last argument. Existing columns with a new column's name are replaced.
+    fn's last argument. Existing columns with a new column's name are replaced, whatever their case.
     """
-    new = {f.name for f in fields}
-    kept = [c for c in df.columns if c not in new]
-    hidden = [f"__in{i}" for i in range(len(inputs))]
+    new = {f.name.lower() for f in fields}
+    kept = [c for c in df.columns if c.lower() not in new]
+    hidden = []
+    for _ in inputs:
+        hidden.append(unused([*df.columns, *hidden], "in"))
     src = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(h) for c, h in zip(inputs, hidden)])
     schema = T.StructType([f for f in df.schema.fields if f.name in set(kept)] + fields)
-    names = [f.name for f in fields]
+    names, n_kept, n_in = [f.name for f in fields], len(kept), len(hidden)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         state = setup() if setup else None
-        for b in batches:
-            cols = [b.column(len(kept) + i).to_pylist() for i in range(len(hidden))]
-            out = fn(*cols, state) if setup else fn(*cols)
-            arrays = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + arrays, names=kept + names)
+        try:
+            for whole in batches:
+                for b in _slices(whole, list(range(n_kept, n_kept + n_in))):
+                    cols = [b.column(n_kept + i).to_pylist() for i in range(n_in)]
+                    out = fn(*cols, state) if setup else fn(*cols)
+                    arrays = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds)]
+                    yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n_kept)] + arrays, names=kept + names)
+        finally:
+            state = None
+            _give_back()
 
     return src.mapInArrow(run, schema)
 
@@ -95,6 +167,16 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most `limit` rows, chosen by a hash of the key, so any input size trains on as much. Only keys are sorted."""
-    keys = rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(limit).distinct()
-    return rows.join(F.broadcast(keys), key, "left_semi").limit(limit)
+    """A row of each of the `limit` keys with the smallest hashes, so any input size trains on as much; nulls are no keys.
+
+    Of a key's rows the one with the smallest hash stays, so repeated keys and the order of rows change nothing. A count of
+    distinct keys gives a bound on the hash that lets about 1.3 limit keys through, and only those are sorted.
+    """
+    known = rows.where(F.col(key).isNotNull())
+    n = known.agg(F.approx_count_distinct(key)).first()[0]
+    place = F.xxhash64(key).bitwiseAND(F.lit((1 << 62) - 1))
+    bound = min((1 << 62) - 1, int((1.3 * limit + 100) / max(1, n) * (1 << 62)))
+    near = known.where(place <= bound)
+    keys = near.select(key).distinct().orderBy(place, key).limit(limit)
+    one = near.join(F.broadcast(keys), key, "left_semi").groupBy(key).agg(F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.xxhash64(*rows.columns)).alias("r"))
+    return one.select(key, "r.*").select(*rows.columns)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, utf8
+from .common import append_columns, materialise, unused, utf8
 
 #: A-Z lowered, digits, letters and non-ASCII bytes kept, all else to spaces.
 _WORDS = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -64,9 +64,13 @@ class Automaton:
             for w in words:
                 s = self.next[s][w]
             self.whole[s].append((len(words), name))
-        self.short = [False] * len(self.next)
+        #: Of each state: the nearest suffix that ends a whole shorter item (0: none), and the shortest of `window` words or more.
+        self.ends, self.shortest = [0] * len(self.next), list(range(len(self.next)))
         for s in reversed(order):
-            self.short[s] = bool(self.whole[s]) or self.short[self.link[s]]
+            up = self.link[s]
+            self.ends[s] = s if self.whole[s] else self.ends[up]
+            if self.length[up] >= window:
+                self.shortest[s] = self.shortest[up]
 
     def _state(self, length: int) -> int:
         self.next.append({}), self.link.append(0), self.length.append(length), self.whole.append([])
@@ -96,7 +100,7 @@ class Automaton:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Spans of words (end exclusive, merged) inside occurring windows, and the items whose windows occur."""
-        step, link, length, window, short = self.next, self.link, self.length, self.window, self.short
+        step, link, length, window, ends = self.next, self.link, self.length, self.window, self.ends
         spans: list[list[int]] = []
         names: set[str] = set()
         s = n = 0
@@ -113,20 +117,18 @@ class Automaton:
                     s = link[s]
                 n = length[s] + 1
                 s = step[s][w]
-            if n < window and not short[s]:
+            t = ends[s]
+            if n < window and not t:
                 continue
-            best, t = 0, s
-            while t > 0 and short[t]:  # the whole shorter items that end here
+            best = 0
+            while t:  # the whole shorter items that end here, fewer than `window`
                 for k, name in self.whole[t]:
                     if k <= n:
                         best = max(best, k)
                         names.add(name)
-                t = link[t]
+                t = ends[link[t]]
             if n >= window:
-                t = s
-                while length[link[t]] >= window:
-                    t = link[t]
-                names |= self.items[t]
+                names |= self.items[self.shortest[s]]
                 best = window
             if best:
                 if spans and spans[-1][1] >= i + 1 - best:
@@ -170,35 +172,58 @@ def automaton(items: tuple[tuple[str | None, str], ...], window: int) -> Automat
     return _BUILT[key]
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, item_id: str = "item_id", item_text: str = "text", block_words: int = 300_000) -> DataFrame:
+_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
+#: Called with a text, its number of words, its spans and its items after the last block; gives the values of further columns.
+Finish = tuple[list[T.StructField], Callable[[str | None, int, list[tuple[int, int]], list], tuple]]
+
+
+def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, item_id: str = "item_id", item_text: str = "text", block_words: int = 200_000, finish: Finish | None = None) -> DataFrame:
     """docs with n_words, hit_spans (word numbers, end exclusive) and hit_items (ids as strings, sorted; items without an id as one null at the end).
 
     Whole texts are streamed. A benchmark of more than block_words words is taken in blocks, one pass each over docs
-    with an automaton of bounded size; no block is left out. Nulls have no words. No shuffle.
+    with an automaton of bounded size, written between passes, so a task holds one automaton; no block is left out.
+    With `finish` its columns come in place of the three (one of them may be the text itself). Nulls have no words; an
+    empty benchmark hits nothing; columns of docs with these names are replaced. No shuffle.
     """
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", _SPANS), T.StructField("hit_items", T.ArrayType(T.StringType()))]
+    extra, make = finish or ([], None)
+    hidden: list[str] = []
+    for f in _FOUND:
+        hidden.append(unused([*docs.columns, *hidden], f.name) if make else f.name)
+    between = [T.StructField(n, f.dataType) for n, f in zip(hidden, _FOUND)]
 
-    def one(items: tuple, first: bool):
+    def one(items: tuple, first: bool, last: bool):
         def fn(texts: list, *before) -> dict:
             (old_spans, old_items), sam = ([], []) if first else before[:2], automaton(items, window)
-            counts, spans, names = [], [], []
+            rows = []
             for i, t in enumerate(texts):
                 words = words_of(t)
                 found, who = sam.scan(words)
                 if not first:
                     found, who = union_spans(found + [(x["start"], x["end"]) for x in old_spans[i]]), who | set(old_items[i])
-                counts.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in found])
-                names.append(sorted(who, key=lambda x: (x is None, x or "")))
-            return {"n_words": counts, "hit_spans": spans, "hit_items": names}
+                names = sorted(who, key=lambda x: (x is None, x or ""))
+                rows.append(make(t, len(words), found, names) if last and make else (len(words), [{"start": a, "end": b} for a, b in found], names))
+            fields = extra if last and make else between
+            return {f.name: list(c) for f, c in zip(fields, zip(*rows))} if rows else {f.name: [] for f in fields}
 
         return fn
 
-    blocks, done = item_blocks(benchmark, item_id, item_text, block_words), None
-    for items in blocks:
-        inputs = [text] if done is None else [text, "hit_spans", "hit_items"]
-        done = append_columns(docs if done is None else done, fields, one(tuple(sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1]))), done is None), inputs)
-    return append_columns(docs, fields, one((), True), [text]) if done is None else done
+    def passes() -> Iterator[tuple[list, bool]]:
+        held = None
+        for items in item_blocks(benchmark, item_id, item_text, block_words):
+            if held is not None:
+                yield held, False
+            held = items
+        yield held or [], True
+
+    done, n = docs, 0
+    for items, last in passes():
+        inputs = [text] if n == 0 else [text, *hidden[1:]]
+        items = tuple(sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1])))
+        done = append_columns(done, extra if last and make else between, one(items, n == 0, last), inputs)
+        n += 1
+        if not last:
+            done = materialise(done, "windows")
+    return done.drop(*hidden) if make else done
 
 
 def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -211,33 +236,32 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_spans(docs: DataFrame, text: str = "text", spans: str = "hit_spans") -> DataFrame:
-    """docs whose text lacks the words of the spans, each span (from its first word to its last) made one space."""
-
-    def fn(texts: list, marked: list) -> dict:
-        out = []
-        for t, hits in zip(texts, marked):
-            if t is not None and hits:
-                raw, at, kept = utf8(t), 0, []
-                places = word_spans(raw)
-                for h in hits:
-                    kept.append(raw[at : places[h["start"]][0]])
-                    at = places[h["end"] - 1][1]
-                t = b" ".join([*kept, raw[at:]]).decode("utf-8")
-            out.append(t)
-        return {text: out}
-
-    return append_columns(docs, [T.StructField(text, T.StringType())], fn, [text, spans])
+def without_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words of the spans, each span (from its first word to its last) made one space."""
+    if text is None or not spans:
+        return text
+    raw, at, kept = utf8(text), 0, []
+    places = word_spans(raw)
+    for a, b in spans:
+        kept.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    return b" ".join([*kept, raw[at:]]).decode("utf-8")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = 10, most_coverage: float = 0.8) -> DataFrame:
     """docs without benchmark passages: spans of `window` words or more of an item (or whole shorter items) are cut out,
-    and documents of which they cover more than most_coverage go. Clean documents stay as they are."""
-    names = docs.columns
-    found = find_windows(docs, benchmark, text, window)
-    hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"])
-    kept = found.where((hit == 0) | (hit <= F.col("n_words") * most_coverage))
-    return remove_spans(kept, text).select(*[F.col(f"`{c}`") for c in names])
+    and documents of which they cover more than most_coverage go. Clean documents stay as they are, those with null or
+    empty texts too; repeated rows are treated alike. Finding and cutting are one pass."""
+    names, covered = docs.columns, unused(docs.columns, "covered")
+
+    def cut(t: str | None, n: int, spans: list[tuple[int, int]], _: list) -> tuple:
+        hit = sum(b - a for a, b in spans)
+        gone = hit > n * most_coverage
+        return (None if gone else without_spans(t, spans)), gone
+
+    fields = [T.StructField(text, T.StringType()), T.StructField(covered, T.BooleanType())]
+    found = find_windows(docs, benchmark, text, window, finish=(fields, cut))
+    return found.where(~F.col(covered)).select(*[F.col(f"`{c}`") for c in names])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

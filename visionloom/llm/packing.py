@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from .common import append_columns, materialise
 
-#: Words in each of the two generations of a worker's cache.
-CACHE_WORDS = 500_000
+#: Bytes of each of the two generations of a worker's cache, by a count of 200 a word and its letters and ids.
+CACHE_BYTES = 24_000_000
 
 
 def default_vocabulary() -> str:
@@ -56,6 +56,7 @@ def word_tokenizer(path: str) -> Callable[[list], list[bytes]]:
     merges, letters = tok.model.tokenize, byte_letters()
     young: dict[str, bytes] = {"": b""}
     old: dict[str, bytes] = {}
+    held = 0
 
     def whole(words: list[str]) -> None:
         for w, e in zip(words, tok.encode_batch_fast(words, add_special_tokens=False)):
@@ -84,20 +85,25 @@ def word_tokenizer(path: str) -> Callable[[list], list[bytes]]:
         whole(rest)
 
     def encode(texts: list) -> list[bytes]:
-        nonlocal young, old
-        if len(young) > CACHE_WORDS:
-            young, old = {"": b""}, young
+        nonlocal young, old, held
+        if held > CACHE_BYTES:
+            young, old, held = {"": b""}, young, 0
         split = [("" if t is None else t).replace("\n", " ").split(" ") for t in texts]
-        learn(list(set().union(*split).difference(young)))
-        return [b"".join([young[w] for w in words]) for words in split]
+        fresh = list(set().union(*split).difference(young))
+        learn(fresh)
+        held += sum(200 + len(w) + len(young[w]) for w in fresh)
+        out = [b"".join([young[w] for w in words]) for words in split]
+        if held > 8 * CACHE_BYTES:  # one text of very many words
+            young, old, held = {"": b""}, {}, 0
+        return out
 
     return _tokenizers.setdefault(path, encode)
 
 
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt): each document's ids and an end id, cut only beyond capacity.
+    """(doc_id, piece, start, length, ids_crc32): each document's ids and an end id, cut only beyond capacity.
 
-    Null text is empty: one piece that holds the end id. salt is a checksum of the ids and the id. No shuffle.
+    Null text is empty: one piece that holds the end id. Null and repeated ids are documents of their own. No shuffle.
     """
     path = path or default_vocabulary()
     piece = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -119,7 +125,8 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Recipes ([(length, copies)], bins): fix the longest length left, then fill the rest of the bin as far as any
-    combination can (subset-sum over a bitset, longest first, stopped once the bin is full), as often as counts last."""
+    combination can (subset-sum over a bitset, longest first, stopped once the bin is full), as often as counts last.
+    No counts, no recipes; a length outside 1..capacity is an error."""
     left = {n: c for n, c in counts.items() if c > 0}
     if left and (max(left) > capacity or min(left) < 1):
         raise ValueError("a length is not in 1..capacity")
@@ -157,9 +164,11 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[list[
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """pieces with (sequence_id, offset). Ranks inside a length are counted in 1024 digest buckets, so a length that
-    holds a third of all pieces (copies, or full pieces) is no single task; recipes are bounded by the capacity."""
-    rows = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1024)).cast("int"))
+    """pieces (doc_id, piece, start, length, ids_crc32) with (sequence_id, offset). Ranks inside a length are counted in
+    1024 digest buckets, so a length that holds a third of all pieces (copies, or full pieces) is no single task; the
+    digest is of the id, the piece and its checksum. Recipes are bounded by the capacity.
+    Null ids and repeated rows are pieces of their own; no pieces, no rows; any other column is kept."""
+    rows = pieces.withColumn("__b", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(1024)).cast("int"))
     counts = materialise(rows.groupBy("length", "__b").agg(F.count(F.lit(1)).alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     lengths, starts, copies, first, offsets = [], [], [], [], []

@@ -1,4 +1,5 @@
-"""Near copies by word shingles: pairs of Jaccard similarity 0.8 or more, found by an exact prefix join, and their groups."""
+"""Near copies of similarity 0.8 or more by five-word shingles: SimHash candidates, verified, and an exact prefix join for
+the rest, since pairs at that similarity differ in about ten of 64 bits, too many for blocks alone."""
 
 from __future__ import annotations
 
@@ -11,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_sample, materialise, utf8
-from .simhash import _LOWER, components
+from .common import append_columns, bounded_sample, materialise, scratch, unused, utf8
+from .simhash import _LOWER, _SLICE, block_keys, components, majority, pivot_links
 
 #: Shingles that go last in the order are looked for in so many documents and are those of so many of them; at most
 #: MOST_COMMON are sent to the tasks. Any choice gives the same pairs, a poor one only more candidates.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 100_000
-_FIELDS = [T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType()))]
+_FIELDS = [T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
 _HELD = 2000  # shingle sets that a task keeps while it compares texts
 
 
@@ -35,13 +36,16 @@ def least_shared(n: int) -> int:
 
 
 def with_prefix(docs: DataFrame, text: str = "text", shingle: int = 5, last: np.ndarray | None = None) -> DataFrame:
-    """docs with n, the size of the shingle set, and first, its first n - least_shared(n) + 1 members by the order in
-    which those of the sorted array `last` come at the end. No shuffle."""
+    """docs with n, the size of the shingle set, first, its first n - least_shared(n) + 1 members by the order in which
+    those of the sorted array `last` come at the end, and fp, the SimHash fingerprint of the set. Null and empty texts
+    have the one shingle of no words. No shuffle."""
 
     def fn(texts: list) -> dict:
-        sizes, sets = [], []
+        sizes, sets, prints = [], [], []
         for t in texts:
             h = shingle_set(t, shingle)
+            v = majority(h[at : at + _SLICE].astype(">i8") for at in range(0, len(h), _SLICE))
+            prints.append(v - (v >> 63 << 64))
             keep = len(h) - least_shared(len(h)) + 1
             sizes.append(len(h))
             if last is not None and len(last):
@@ -50,14 +54,14 @@ def with_prefix(docs: DataFrame, text: str = "text", shingle: int = 5, last: np.
                 h = rare if len(rare) >= keep else np.concatenate([rare, h[common]])
             sets.append(h[:keep].copy())
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-        return {"n": sizes, "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))}
+        return {"n": sizes, "fp": prints, "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))}
 
     return append_columns(docs, _FIELDS, fn, [text])
 
 
 def common_shingles(docs: DataFrame, shingle: int = 5) -> np.ndarray:
     """Sorted shingles that are frequent in a bounded sample."""
-    sets = append_columns(bounded_sample(docs, "doc_id", SAMPLE).select("text").distinct(), [T.StructField("sh", T.ArrayType(T.LongType()))], lambda texts: {"sh": [shingle_set(t, shingle) for t in texts]}, ["text"])
+    sets = append_columns(bounded_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE).select("text").distinct(), [T.StructField("sh", T.ArrayType(T.LongType()))], lambda texts: {"sh": [shingle_set(t, shingle) for t in texts]}, ["text"])
     rows = sets.select(F.explode("sh").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     return np.sort(np.array([r["h"] for r in rows.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64))
 
@@ -100,30 +104,44 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(key, id, component) per distinct text of docs (doc_id, text): key is a hash of the text, id its smallest doc_id, null if it
-    has none.
-
-    In one order of all shingles, two sets of n and m members of similarity 0.8 share one of their first
-    n - least_shared(n) + 1 and m - least_shared(m) + 1, so no pair is missed. The texts that meet in a shingle are first
-    held against one of them, which joins a large group in linear time; then only texts that are still apart are paired.
+    """(key, id, component) per distinct text of docs (doc_id, text): key is a 64-bit hash of the text, id its smallest
+    doc_id, null if it has none.
+
+    Fingerprints at three bits or fewer, and texts of one fingerprint, are candidates. In one order of all shingles, two
+    sets of n and m members of similarity 0.8 share one of their first n - least_shared(n) + 1 and m - least_shared(m) + 1,
+    so those that share one are candidates too and no pair is missed. Texts that meet are first held against one of them,
+    which joins a large group in linear time; then only texts that are still apart are paired. Every candidate is
+    verified by the whole sets.
     """
-    texts = docs.select(text_key().alias("key"), "text")
-    prints = with_prefix(docs.select("doc_id", "text", text_key().alias("key")), shingle=shingle, last=common_shingles(docs, shingle))
-    nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first")), "nodes")
-    keyed = nodes.select("key", "n", F.explode("first").alias("h"))
-    shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    met = materialise(keyed.join(shared, "h", "left_semi"), "met")
-    pivot = met.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"))
-    pairs = met.join(pivot, "h").select(F.col("p.key").alias("a"), F.col("p.n").alias("an"), F.col("key").alias("b"), F.col("n").alias("bn"))
-    near = materialise(similar(_counted(pairs.where("a < b")), texts, shingle), "near")
-    found = components(near).withColumnRenamed("node", "key")
-    part = met.join(found, "key", "left").select("h", "key", "n", F.coalesce("component", "key").alias("c"))
-    split = part.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-    part = materialise(part.join(split, "h", "left_semi"), "part")
-    a, b = part.toDF("h", "a", "an", "ac"), part.toDF("h", "b", "bn", "bc")
-    apart = a.join(b, "h").where("a < b and ac <> bc and 5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "an", "b", "bn")
-    found = components(near.unionByName(similar(_counted(apart), texts, shingle))).withColumnRenamed("node", "key")
-    return nodes.select("key", "id").join(found, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component"))
+    with scratch(docs.sparkSession) as outlive:
+        texts = docs.select(text_key().alias("key"), "text")
+        prints = with_prefix(docs.select("doc_id", "text", text_key().alias("key")), shingle=shingle, last=common_shingles(docs, shingle))
+        nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first")), "nodes")
+        keyed = nodes.select("key", "n", F.explode("first").alias("h"))
+        shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+        met = materialise(keyed.join(shared, "h", "left_semi"), "met")
+        pivot = met.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"))
+        pairs = met.join(pivot, "h").select(F.col("p.key").alias("a"), F.col("p.n").alias("an"), F.col("key").alias("b"), F.col("n").alias("bn"))
+        near = materialise(similar(_simhash_pairs(nodes).unionByName(_counted(pairs.where("a < b"))).distinct(), texts, shingle), "near")
+        found = components(near).withColumnRenamed("node", "key")
+        part = met.join(found, "key", "left").select("h", "key", "n", F.coalesce("component", "key").alias("c"))
+        split = part.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
+        part = materialise(part.join(split, "h", "left_semi"), "part")
+        a, b = part.toDF("h", "a", "an", "ac"), part.toDF("h", "b", "bn", "bc")
+        apart = a.join(b, "h").where("a < b and ac <> bc and 5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "an", "b", "bn")
+        more = materialise(similar(_counted(apart), texts, shingle), "more")
+        if not more.isEmpty():
+            found = components(near.unionByName(more)).withColumnRenamed("node", "key")
+        return outlive(nodes.select("key", "id").join(found, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component")), "groups")
+
+
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: texts of one fingerprint with the first of them, and the first texts of fingerprints near a pivot."""
+    first = materialise(nodes.groupBy("fp").agg(F.min("key").alias("key")), "first")
+    same = nodes.select("fp", F.col("key").alias("b")).join(first, "fp").where("key < b").select(F.col("key").alias("a"), "b")
+    links = pivot_links(block_keys(first.select(F.col("fp").alias("f"))))
+    x, y = first.select(F.col("fp").alias("a"), F.col("key").alias("x")), first.select(F.col("fp").alias("b"), F.col("key").alias("y"))
+    return same.unionByName(links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def text_key(text: str = "text") -> Column:
@@ -131,11 +149,16 @@ def text_key(text: str = "text") -> Column:
 
 
 def first_of_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """docs without near copies (five-word Jaccard 0.8 or more, over any chain): of each group the smallest doc_id stays, or
-    one document if none has an id."""
-    found = materialise(groups(docs, shingle), "groups")
-    least = found.groupBy("component").agg(F.min("id").alias("doc_id"))
-    kept = docs.join(least.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
-    bare = docs.where("doc_id is null").withColumn("key", text_key()).join(found.select("key", "component"), "key")
-    bare = bare.join(least.where("doc_id is null").select("component"), "component", "left_semi").dropDuplicates(["component"])
-    return kept.select(*docs.columns).unionByName(bare.select(*docs.columns))
+    """docs without near copies (five-word Jaccard 0.8 or more, over any chain): of each group one row stays, one with the
+    smallest doc_id of the group, or one without an id if no row has one.
+
+    Rows that repeat id and text leave one, those that repeat an id with other texts are told apart. Null and empty texts
+    are copies of each other. Other columns stay as the row has them; an empty table stays empty. Repeated rows shrink
+    before the one shuffle of the texts.
+    """
+    found = groups(docs, shingle)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "key")).alias("r"))
+    key, bare, no = unused(docs.columns, "key"), unused(docs.columns, "bare"), unused(docs.columns, "id")
+    best = best.select(F.col("r.key").alias(key), F.coalesce("r.id", F.lit(0)).alias(no), F.col("r.bare").alias(bare))
+    rows = docs.withColumns({key: text_key(), no: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), bare: F.col("doc_id").isNull()})
+    return rows.dropDuplicates([key, no, bare]).join(best, [key, no, bare], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

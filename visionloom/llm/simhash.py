@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -10,24 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialise, utf8
+from .common import append_columns, materialise, scratch, utf8
 
 _LOWER = bytes(range(256)).lower()
 _SLICE = 1 << 15  # shingles whose bits are unpacked at once
 
 
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the big-endian 64-bit hashes, which come a slice at a time."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(2 * ones > n).view(">u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """64-bit fingerprint of all word shingles, repeats included; 0 where there are no words."""
     words = utf8(text).translate(_LOWER).split()
     if not words:
         return 0
-    n = max(1, len(words) - shingle + 1)
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, _SLICE):
-        last = min(n, at + _SLICE)
-        h = np.array([digest(b" ".join(words[i : i + shingle]), seed) for i in range(at, last)], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n).view(">u8")[0])
+    n, digest = max(1, len(words) - shingle + 1), xxhash.xxh64_intdigest
+    return majority(np.array([digest(b" ".join(words[i : i + shingle]), seed) for i in range(at, min(n, at + _SLICE))], ">u8") for at in range(0, n, _SLICE))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
@@ -46,34 +51,79 @@ def block_spans(blocks: int) -> list[tuple[int, int]]:
     return [(sum(widths[:i]), w) for i, w in enumerate(widths)]
 
 
-def hamming_links(nodes: DataFrame, fp: str, node: str, distance: int = 3, blocks: int = 6) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes with distinct fingerprints at `distance` bits or fewer, each pair once.
+def _signed(v: int) -> int:
+    return v - (v >> 63 << 64)
 
-    Of `blocks` blocks at least blocks - distance agree, so each fingerprint is keyed by every such set of blocks
-    (20 keys of about 32 bits by default: few false candidates even at 10^10 fingerprints). A pair is put out only by
-    the first set on which it agrees, so no distinct is needed.
-    """
-    agree = blocks - distance
-    if agree < 1:
+
+def block_sets(distance: int, blocks: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Masks of the blocks, and (number, mask) of every set of blocks - distance blocks."""
+    if blocks <= distance:
         raise ValueError("more blocks than the distance are needed")
-    spans = block_spans(blocks)
-    masks = [((1 << w) - 1) << o for o, w in spans]
-    signed = lambda v: v - (v >> 63 << 64)
-    sets = [(sum(1 << i for i in c), signed(sum(masks[i] for i in c))) for c in combinations(range(blocks), agree)]
-    keys = F.array(*[F.struct(F.lit(s).alias("s"), F.col(fp).bitwiseAND(F.lit(m).cast("bigint")).alias("k")) for s, m in sets])
-    keyed = nodes.select(F.col(node).alias("n"), F.col(fp).alias("f"), F.explode(keys).alias("e")).select("n", "f", "e.s", "e.k")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    diff = F.col("a.f").bitwiseXOR(F.col("b.f"))
+    masks = [((1 << w) - 1) << o for o, w in block_spans(blocks)]
+    return masks, [(sum(1 << i for i in c), sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - distance)]
+
+
+def block_keys(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """(f, s, k, pivot): each fingerprint under each set s of blocks that another one shares the bits k of, with the
+    smallest of these.
+
+    Of `blocks` blocks at least blocks - distance agree in a pair at `distance` bits or fewer, so it meets under one such
+    set (20 keys of about 32 bits by default: few false candidates even at 10^10 fingerprints).
+    """
+    _, sets = block_sets(distance, blocks)
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), F.col("f").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("k")) for s, m in sets])
+    keyed = prints.select("f", F.explode(keys).alias("e")).select("f", "e.s", "e.k")
+    met = keyed.groupBy("s", "k").agg(F.min("f").alias("pivot"), F.max("f").alias("top")).where("pivot < top").drop("top")
+    return keyed.join(met, ["s", "k"])
+
+
+def _near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+
+def pivot_links(keyed: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs (a, b), a < b, of the fingerprints near the smallest one that shares a key: a few per fingerprint, however
+    many share the key."""
+    return keyed.where("f <> pivot").where(_near("f", "pivot", distance)).select(F.col("pivot").alias("a"), F.col("f").alias("b")).distinct()
+
+
+def apart_links(keyed: DataFrame, found: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """Pairs (a, b) at `distance` bits or fewer whose components in found (node, component) differ.
+
+    Keys whose fingerprints are all of one component drop out before the join. A pair is put out only by the first set
+    on which it agrees, so no distinct is needed.
+    """
+    masks, _ = block_sets(distance, blocks)
+    part = keyed.join(found.withColumnRenamed("node", "f"), "f", "left").select("s", "k", "f", F.coalesce("component", "f").alias("c"))
+    split = part.groupBy("s", "k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s", "k")
+    part = materialise(part.join(split, ["s", "k"], "left_semi"), "apart")
+    diff = F.col("a").bitwiseXOR(F.col("b"))
     same = F.lit(0)
     for i, m in enumerate(masks):
-        same = same.bitwiseOR(F.when(diff.bitwiseAND(F.lit(signed(m)).cast("bigint")) == 0, F.lit(1 << i)).otherwise(F.lit(0)))
+        same = same.bitwiseOR(F.when(diff.bitwiseAND(F.lit(_signed(m)).cast("bigint")) == 0, F.lit(1 << i)).otherwise(F.lit(0)))
     lowest, rest = F.lit(0), same
-    for _ in range(agree):
+    for _ in range(blocks - distance):
         low = rest.bitwiseAND(-rest)
         lowest, rest = lowest.bitwiseOR(low), rest.bitwiseXOR(low)
-    near = (F.col("a.s") == F.col("b.s")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.n") < F.col("b.n"))
-    pairs = a.join(b, near & (F.bit_count(diff) <= distance) & (lowest == F.col("a.s")))
-    return pairs.select(F.col("a.n").alias("a"), F.col("b.n").alias("b"))
+    x, y = part.toDF("s", "k", "a", "ac"), part.toDF("s", "k", "b", "bc")
+    near = F.expr("a < b and ac <> bc") & _near("a", "b", distance) & (lowest == F.col("s"))
+    return x.join(y, ["s", "k"]).where(near).select("a", "b")
+
+
+def linked(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """(node, component) of the fingerprints of the column f that have a partner at `distance` bits or fewer, over any chain.
+
+    Those that share a key are first held against one of them, which joins a large group in linear time; then only
+    fingerprints that are still apart are paired, so no link is lost.
+    """
+    with scratch(prints.sparkSession) as outlive:
+        keyed = materialise(block_keys(prints, distance, blocks), "keys")
+        links = materialise(pivot_links(keyed, distance), "links")
+        found = components(links)
+        more = materialise(apart_links(keyed, found, distance, blocks), "more")
+        if more.isEmpty():
+            return outlive(found, "linked")
+        return outlive(components(links.unionByName(more)), "linked")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -87,37 +137,41 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star: each round is two grouped minima joined back on the links (a hot hub is a
     skewed join, which AQE splits, not a collected group), written to the shared folder; rounds grow with the logarithm.
     """
-    edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    state = _state(edges)
-    for _ in range(rounds):
-        if not state[0]:
-            break
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = materialise(small.where("a <> b").distinct(), "edges")
-        last, state = state, _state(edges)
-        if last == state:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+    with scratch(links.sparkSession) as outlive:
+        edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        state = _state(edges)
+        for _ in range(rounds):
+            if not state[0]:
+                break
+            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            least = large.groupBy("a").agg(F.min("b").alias("m"))
+            small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+            edges = materialise(small.where("a <> b").distinct(), "edges")
+            last, state = state, _state(edges)
+            if last == state:
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+        return outlive(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
     """(doc_id, fingerprint, component_id) per document: texts linked at `distance` bits or fewer, over any chain.
 
     Copies meet in one fingerprint before any join, so only distinct fingerprints are paired. Null and empty texts have
-    fingerprint zero and link like others. Null ids keep their rows and never name a component. Repeated ids keep a row
-    each. An empty table gives no rows.
+    fingerprint zero and link like others. Null ids keep their rows, link like others and never name a component (one
+    without any id has a null component_id). Repeated ids keep a row each. An empty table gives no rows.
     """
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     prints = materialise(with_fingerprint(src).select("doc_id", "fp"), "prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = components(hamming_links(nodes.where("node is not null"), "fp", "node", distance, blocks))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    back = prints.join(named, "fp")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = linked(nodes.select(F.col("fp").alias("f")), distance, blocks).withColumnRenamed("node", "fp")
+    grouped = materialise(nodes.join(found, "fp"), "grouped")
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = grouped.join(least, "component").select("fp", "component_id")
+    alone = nodes.join(grouped.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    back = prints.join(named.unionByName(alone), "fp")
     return back.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
