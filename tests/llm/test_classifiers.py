@@ -81,7 +81,7 @@ def test_toxicity_copies_are_no_evidence_and_few_labels_teach():
     rows = [(i, text(), 0) for i in range(150)] + [(200 + i, copied, 1) for i in range(40)] + [(300 + i, text() + f" scummy {word()}. " + text(), 1) for i in range(12)]
     model = mil.train_noisy_or(rows)
     assert {f.rstrip("-") for f in model.weights} <= {"scummy", "scumm", "scum"} and model.weights
-    few = mil.train_noisy_or([(0, "good words here", 0), (1, "vile words here", 1), (2, "other good words", 0)])
+    few = mil.train_noisy_or([(i, f"{word()} {'vile' if i % 3 == 0 else 'good'} words {word()}", int(i % 3 == 0)) for i in range(12)])
     assert few.scorer()("a vile thing")[0] > few.scorer()("a good thing")[0]
 
 

@@ -192,7 +192,7 @@ def score_texts(net: BiGRU, texts: list[str | None], width: int = 1024) -> list[
 def least_score(net: BiGRU, texts: list[str]) -> float:
     """Halfway from chance, one in as many as there are languages, to what all but a hundredth of these texts reach: so it
     follows the number of languages and how sure the network is of text that it was not trained on."""
-    scores = [x for _, x in score_texts(net, texts)]
+    scores = [x for lang, x in score_texts(net, texts) if lang != "und"]
     return (1 / len(net.labels) + float(np.quantile(scores, 0.01))) / 2 if scores else 0.0
 
 
