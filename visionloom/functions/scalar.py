@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 SPLITS = ["train", "val", "test"]
 #: Spellings of splits.
-SPLIT_ALIASES = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "dev": "val", "test": "test", "testing": "test"}
+SPLIT_ALIASES = {"train": "train", "training": "train", "val": "val", "valid": "val", "validation": "val", "test": "test", "testing": "test"}
 
 
 def make_uid(*parts: Column) -> Column:

@@ -17,15 +17,20 @@ def stats(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return i.crossJoin(a)  # one row each
 
 
-def class_distribution(annotations: DataFrame) -> DataFrame:
+def class_distribution(annotations: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(category, count, share) of the registered classes(category), those without instances too, and of other names seen."""
     counts = annotations.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("total"))
+    if classes is not None:
+        counts = classes.select("category").distinct().join(counts, "category", "full").na.fill(0, ["count"])
+    total = counts.agg(F.greatest(F.sum("count"), F.lit(1)).alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("category", "count", F.round(F.col("count") / F.col("total"), 6).alias("share"))
 
 
-def class_by_split(images: DataFrame, annotations: DataFrame) -> DataFrame:
+def class_by_split(images: DataFrame, annotations: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """(category, train, val, test, unassigned): zero-filled for registered classes; annotations of no image don't count."""
     rows = annotations.join(images.select("uid", "split"), F.expr("image_uid = uid"))
-    return rows.groupBy("category").agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS], F.count_if(F.col("split").isNull()).alias("unassigned"))
+    counts = rows.groupBy("category").agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS], F.count_if(F.col("split").isNull()).alias("unassigned"))
+    return counts if classes is None else classes.select("category").distinct().join(counts, "category", "full").na.fill(0)
 
 
 def size_categories(annotations: DataFrame) -> DataFrame:
@@ -79,15 +84,26 @@ def distribution_shift(images: DataFrame, annotations: DataFrame, least: float =
 
 
 def round_robin(images: DataFrame, annotations: DataFrame, limit: int = 24) -> DataFrame:
-    """A sample of images, one of each class in turn by order; an image belongs to its smallest class."""
-    first = annotations.groupBy("image_uid").agg(F.min("category").alias("category"))
-    rows = images.select("uid", "ord").join(first, F.expr("uid = image_uid"))
-    w = Window.partitionBy("category").orderBy("ord", "uid")
+    """A sample of images, one of each class in turn by order, classes by name; then images without annotations by order.
+
+    An image belongs to the class of its first annotation by `ord` (its smallest class where annotations have none)."""
+    if limit <= 0:
+        return images.limit(0).select("uid", F.lit(None).cast("string").alias("category"), F.lit(0).cast("bigint").alias("turn"))
+    by = "ord" if "ord" in annotations.columns else "category"
+    first = annotations.groupBy("image_uid").agg(F.min_by("category", F.struct(by, "category")).alias("category"))
+    rows = images.select("uid", "ord").join(first, F.expr("uid = image_uid"), "left").select("uid", "ord", "category")
+    w = Window.partitionBy("category").orderBy("ord", "uid")  # of each class only the first `limit` leave a task
     turn = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
-    return turn.orderBy("turn", "category").limit(limit).select("uid", "category", F.col("turn").cast("bigint").alias("turn"))
+    return turn.orderBy(F.col("category").isNull(), "turn", "category").limit(limit).select("uid", "category", F.col("turn").cast("bigint").alias("turn"))
+
+
+def check_page(offset: int, limit: int, most: int = 200) -> None:
+    if offset < 0 or not 1 <= limit <= most:
+        raise ValueError(f"offset must be 0 or more and limit 1 to {most}")
 
 
 def browse(images: DataFrame, annotations: DataFrame, split: str | None = None, source: str | None = None, search: str = "", category: str | None = None, min_edge: int = 0, max_edge: int | None = None, min_objects: int = 0, offset: int = 0, limit: int = 50) -> DataFrame:
+    check_page(offset, limit)
     edge = F.greatest("width", "height")
     rows = images.where(edge >= min_edge)
     rows = rows.where(edge <= max_edge) if max_edge is not None else rows
@@ -119,21 +135,28 @@ def findings(images: DataFrame, annotations: DataFrame, under: int = 20) -> Data
     shifted: classes whose share in val or test is 0.1 or more off. mixed_sizes: share of the commonest size, below 0.8.
     one_size: all images alike. healthy: none of the advice applies. All from grouped counts, joined as single rows.
     """
-    counts = annotations.groupBy("category").agg(F.count(F.lit(1)).alias("c"))
-    a = counts.agg(F.count_if(F.col("c") < under).alias("few"), F.try_divide(F.max("c"), F.min("c")).alias("ratio"))
-    area = box_area()
-    b = annotations.agg(
-        F.count_if(F.col("kind") == "bbox").alias("boxes"), F.count_if(F.col("kind") == "image").alias("labels"),
-        F.count_if((F.col("kind") == "bbox") & (area < 1024)).alias("small"), F.count_if((F.col("kind") == "bbox") & (area > 9216)).alias("large"),
+    area, box = box_area(), F.col("kind") == "bbox"
+    one = annotations.join(images.select("uid", "split"), F.expr("image_uid = uid"), "left").groupBy("category").agg(
+        F.count(F.lit(1)).alias("c"), F.count_if(F.col("uid").isNotNull()).alias("held"), *[F.count_if(F.col("split") == s).alias(s) for s in ("val", "test")],
+        F.count_if(box).alias("boxes"), F.count_if(F.col("kind") == "image").alias("labels"), F.count_if(box & (area < 1024)).alias("small"), F.count_if(box & (area > 9216)).alias("large"),
+    )
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("boxes", "labels", "small", "large")]
+    fields = ("c", "held", "val", "test")
+    per = one.agg(F.collect_list(F.struct(*fields)).alias("a"), *sums)  # a row a class, not rows of data
+    add = lambda f: F.aggregate("a", F.lit(0).cast("bigint"), lambda s, x: s + x[f])
+    per = per.withColumns({f"all_{f}": add(f) for f in fields})
+    far = lambda x, s: (F.col(f"all_{s}") > 0) & (F.abs(F.round(F.try_divide(x[s], F.col(f"all_{s}")) - F.try_divide(x["held"], F.col("all_held")), 6)) >= 0.1)
+    size = lambda f: F.size(F.filter("a", f))
+    per = per.select(
+        "boxes", "labels", "small", "large", size(lambda x: x["c"] < under).alias("few"),
+        F.try_divide(F.array_max(F.transform("a", lambda x: x["c"])), F.array_min(F.transform("a", lambda x: x["c"]))).alias("ratio"),
+        size(lambda x: (x["held"] > 0) & (x["val"] == 0)).alias("no_val"), size(lambda x: (x["held"] > 0) & (x["test"] == 0)).alias("no_test"),
+        (size(lambda x: (x["held"] > 0) & far(x, "val")) + size(lambda x: (x["held"] > 0) & far(x, "test"))).alias("shifted"),
     )
     bare = images.join(annotations, F.expr("uid = image_uid"), "left_anti").agg(F.count(F.lit(1)).alias("bare"))
-    i = images.agg(F.count(F.lit(1)).alias("images"), F.count_if(~F.coalesce(F.col("split").isin(SPLITS), F.lit(False))).alias("loose"))
-    sizes = images.groupBy("width", "height").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("commonest"))
-    per = class_by_split(images, annotations).agg(*[F.count_if(F.col(s) == 0).alias(f"no_{s}") for s in ("val", "test")])
-    shift = distribution_shift(images, annotations, top=1 << 30).agg(F.count(F.lit(1)).alias("shifted"))
-    row = a
-    for one in (b, bare, i, sizes, per, shift):
-        row = row.crossJoin(F.broadcast(one))  # one row each
+    loose = F.count_if(~F.coalesce(F.col("split").isin(SPLITS), F.lit(False)))
+    sizes = images.groupBy("width", "height").agg(F.count(F.lit(1)).alias("n"), loose.alias("l")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("images"), F.coalesce(F.sum("l"), F.lit(0)).alias("loose"), F.count(F.lit(1)).alias("kinds"), F.max("n").alias("commonest"))
+    row = per.crossJoin(F.broadcast(bare)).crossJoin(F.broadcast(sizes))  # one row each
     total = F.greatest("boxes", F.lit(1))
     all_split = F.col("loose") == 0
     only_labels = (F.col("labels") > 0) & (F.col("boxes") == 0)

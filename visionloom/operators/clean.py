@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import SPLITS, box_area, category_key
@@ -41,23 +42,31 @@ def exact_duplicates(images: DataFrame) -> DataFrame:
     return copies.select(F.when(leak, "leak_duplicate_across_splits").otherwise("image_duplicate_exact").alias("rule"), F.when(leak, "error").otherwise("warning").alias("severity"), F.lit("remove_image").alias("action"), F.col("uid").alias("image_uid"), F.lit(None).cast("string").alias("category"), "n")
 
 
-def near_duplicate_pairs(prints: DataFrame, distance: int = 6) -> DataFrame:
+def near_duplicate_pairs(prints: DataFrame, distance: int = 6, blocks: int | None = None) -> DataFrame:
     """(a, b, distance) of ids whose 64-bit fingerprints differ in `distance` bits or fewer; the smaller id first.
 
-    distance + 1 bands, so a close pair shares one; a pair counts in the first band it shares, so it comes once."""
-    bands = max(2, distance + 1)
-    size = lambda i: 64 // bands + (i < 64 % bands)
-    masks, at = [], 0
-    for i in range(bands):
-        m = ((1 << size(i)) - 1) << at
-        masks.append(m - (m >> 63 << 64))
-        at += size(i)
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("k")) for i, m in enumerate(masks)])
-    seg = prints.select("id", "fp", F.explode(keys).alias("s")).select("id", "fp", "s.i", "s.k")
-    a, b = seg.alias("a"), seg.alias("b")
+    Of `blocks` blocks at least blocks - distance agree in such a pair, so it meets under one set of so many; it counts
+    under the first set on which it agrees, so it comes once. By default there are as many blocks as keep the prints that
+    share a key by chance few, whatever their number: any choice gives the same pairs."""
+    if blocks is None:
+        n = prints.count()
+        blocks = next((distance + k for k in range(1, 5) if n >> (64 * k // (distance + k)) < 4), distance + 5)
+    agree = max(1, blocks - distance)
+    widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    masks = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
+    long = lambda m: F.lit(m - (m >> 63 << 64)).cast("bigint")
+    sets = [(sum(1 << i for i in c), sum(masks[i] for i in c)) for c in combinations(range(blocks), agree)]
+    keys = F.array(*[F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(long(m)).alias("k")) for s, m in sets])
+    keyed = prints.select("id", "fp", F.inline(keys))
+    a, b = keyed.alias("a"), keyed.alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(m).cast("bigint")) == 0, F.lit(i)) for i, m in enumerate(masks)])
-    near = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(diff) <= distance) & (first == F.col("a.i")))
+    same = reduce(Column.bitwiseOR, [F.when(diff.bitwiseAND(long(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(masks)])
+    first, rest = F.lit(0), same
+    for _ in range(agree):
+        low = rest.bitwiseAND(-rest)
+        first, rest = first.bitwiseOR(low), rest.bitwiseXOR(low)
+    meet = (F.col("a.s") == F.col("b.s")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))
+    near = a.join(b, meet & (F.bit_count(diff) <= distance) & (first == F.col("a.s")))
     return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(diff).cast("bigint").alias("distance"))
 
 
@@ -128,13 +137,70 @@ def few_instances(images: DataFrame, annotations: DataFrame, least: int = 5) ->
     return _finding(annotations.groupBy("category").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") < least), "class_too_few", "warning", "report", None, "category", "c")
 
 
-IMAGE_RULES = [invalid_size, too_small, extreme_aspect, exact_duplicates, group_leaks]
-LABEL_RULES = [out_of_bounds, label_invalid_size, box_areas, duplicate_labels, without_annotation, name_variants, few_instances]
-
-
-def findings(images: DataFrame, annotations: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
-    on = [r(images) for r in IMAGE_RULES if r.__name__ not in disabled] + [r(images, annotations) for r in LABEL_RULES if r.__name__ not in disabled]
-    return reduce(DataFrame.unionByName, on)
+#: The rules in the order they run: (name, severity, action).
+RULES = [
+    ("image_unreadable", "error", "remove_image"),
+    ("image_invalid_size", "error", "remove_image"),
+    ("image_too_small", "warning", "report"),
+    ("image_extreme_aspect", "info", "report"),
+    ("image_exif_orientation", "warning", "report"),
+    ("image_duplicate_exact", "warning", "remove_image"),
+    ("image_duplicate_near", "info", "report"),
+    ("leak_group_across_splits", "error", "report"),
+    ("label_out_of_bounds", "warning", "clamp"),
+    ("label_invalid_size", "error", "remove_annotation"),
+    ("label_box_area", "warning", "report"),
+    ("label_duplicate", "warning", "remove_annotation"),
+    ("image_without_annotation", "info", "report"),
+    ("category_name_variants", "warning", "report"),
+    ("class_too_few", "warning", "report"),
+    ("label_orphan", "warning", "report"),
+]
+
+
+def list_rules(images: DataFrame) -> DataFrame:
+    """(ord, rule, severity, action) of the rules."""
+    return images.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "ord int, rule string, severity string, action string")
+
+
+def _flags(rules: list[tuple[str, Column, str | None]], disabled: tuple[str, ...]) -> Column:
+    """Those of the rules (finding, when, category) that fire on a row, by their registered severity and action."""
+    known = {r: (s, a) for r, s, a in RULES} | {"label_box_too_large": ("warning", "report"), "label_box_too_small": ("info", "report")}
+    on = [F.when(when, F.struct(F.lit(r).alias("rule"), F.lit(known[r][0]).alias("severity"), F.lit(known[r][1]).alias("action"))) for r, when, _ in rules if r not in disabled and not (r.startswith("label_box_too") and "label_box_area" in disabled)]
+    kind = "array<struct<rule:string,severity:string,action:string>>"
+    return F.filter(F.array(*on), lambda x: x.isNotNull()) if on else F.array().cast(kind)
+
+
+def _oob() -> Column:
+    return (F.col("x1") < -EPS) | (F.col("y1") < -EPS) | (F.col("x2") > F.col("width") + EPS) | (F.col("y2") > F.col("height") + EPS)
+
+
+def _thin() -> Column:
+    return (F.col("x2") - F.col("x1") <= EPS) | (F.col("y2") - F.col("y1") <= EPS)
+
+
+def findings(images: DataFrame, annotations: DataFrame, disabled: tuple[str, ...] = (), least_edge: int = 32, most_aspect: float = 20.0, most_area: float = 0.95, least_area: float = 0.0, least_instances: int = 5) -> DataFrame:
+    """Findings of all rules but those named in disabled. Rules of one row are flags of one pass over images and one over
+    boxes joined with them; a limit of 0 or less turns its rule off."""
+    big, small = F.greatest("width", "height"), F.least("width", "height")
+    sized = (F.col("width") > 0) & (F.col("height") > 0)
+    one = _flags([("image_invalid_size", ~sized, None), ("image_too_small", sized & (small < least_edge), None), ("image_extreme_aspect", sized & F.lit(most_aspect > 0) & (big > small * F.lit(most_aspect)), None)], disabled)
+    none = F.lit(None).cast("string")
+    parts = [images.select("uid", F.inline(one)).select("rule", "severity", "action", F.col("uid").alias("image_uid"), none.alias("category"), F.lit(1).cast("bigint").alias("n"))]
+    box = F.col("x1").isNotNull()
+    share = F.try_divide(box_area(), F.col("width") * F.col("height"))
+    flags = _flags([("label_out_of_bounds", box & sized & _oob(), None), ("label_invalid_size", _thin(), None), ("label_box_too_large", box & sized & (share > most_area), None), ("label_box_too_small", box & sized & F.lit(least_area > 0) & (share > 0) & (share < least_area), None)], disabled)
+    rows = annotations.where("kind = 'bbox'").join(images.select("uid", "width", "height"), F.expr("image_uid = uid"), "left")
+    parts.append(rows.select("image_uid", "category", F.inline(flags)).select("rule", "severity", "action", "image_uid", "category", F.lit(1).cast("bigint").alias("n")))
+    rest = {
+        "image_duplicate_exact": lambda: exact_duplicates(images),
+        "leak_group_across_splits": lambda: group_leaks(images),
+        "label_duplicate": lambda: duplicate_labels(images, annotations),
+        "image_without_annotation": lambda: without_annotation(images, annotations),
+        "category_name_variants": lambda: name_variants(images, annotations),
+        "class_too_few": lambda: few_instances(images, annotations, least_instances),
+    }
+    return reduce(DataFrame.unionByName, parts + [f() for name, f in rest.items() if name not in disabled])
 
 
 def summarize(found: DataFrame) -> DataFrame:
@@ -147,14 +213,32 @@ def cap(found: DataFrame, most: int) -> DataFrame:
     return found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
 
 
-def apply(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Images without unusable ones and copies; boxes clamped, those without area and repeats dropped, orphans too."""
-    gone = invalid_size(images).select("image_uid").unionByName(exact_duplicates(images).select("image_uid")).distinct()
-    kept = images.join(gone, F.expr("uid = image_uid"), "left_anti")
+def apply(images: DataFrame, annotations: DataFrame, disabled: tuple[str, ...] = (), unreadable: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(images, annotations) after the actions of the rules that are not disabled, all found before any is taken.
+
+    Boxes that reach outside are clamped, those left without area go; thin boxes and repeats (equal image, category and
+    box to 3 decimals, one stays) go; images of invalid size, unreadable(path) ones and exact copies go with their
+    annotations, as do annotations of no image."""
+    on = lambda r: r not in disabled
+    gone = [f(images).select("image_uid") for r, f in (("image_invalid_size", invalid_size), ("image_duplicate_exact", exact_duplicates)) if on(r)]
+    if unreadable is not None and on("image_unreadable"):
+        gone.append(images.join(unreadable, "path", "left_semi").select(F.col("uid").alias("image_uid")))
+    kept = images.join(reduce(DataFrame.unionByName, gone).distinct(), F.expr("uid = image_uid"), "left_anti") if gone else images
     rows = annotations.join(kept.select("uid", "width", "height"), F.expr("image_uid = uid"))
-    clamp = lambda c, side: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.col(c), F.col(side).cast("double")))).alias(c)
-    clamped = rows.select(*[clamp(c, "width" if c[0] == "x" else "height") if c in ("x1", "y1", "x2", "y2") else F.col(c) for c in annotations.columns])
-    valid = clamped.where("kind <> 'bbox' or (x2 - x1 > 1e-6 and y2 - y1 > 1e-6)")
-    once = valid.where("kind = 'bbox'").withColumns({f"__{c}": F.round(c, 3) for c in ("x1", "y1", "x2", "y2")})
-    once = once.dropDuplicates(["image_uid", "category", "__x1", "__y1", "__x2", "__y2"]).select(*annotations.columns)
-    return kept, once.unionByName(valid.where("kind <> 'bbox'"))
+    boxes = rows.where("kind = 'bbox'")
+    if on("label_invalid_size"):
+        boxes = boxes.where(~F.coalesce(_thin(), F.lit(False)))
+    if on("label_duplicate"):
+        keys = {f"__{c}": F.round(c, 3) for c in ("x1", "y1", "x2", "y2")}
+        boxes = boxes.withColumns(keys).dropDuplicates(["image_uid", "category", *keys]).drop(*keys)
+    if on("label_out_of_bounds"):
+        out = F.coalesce((F.col("width") > 0) & (F.col("height") > 0) & _oob(), F.lit(False))
+        boxes = boxes.withColumn("__out", out)
+        clamp = lambda c: F.when(F.col("__out"), F.greatest(F.lit(0.0), F.least(F.col(c), F.col("width" if c[0] == "x" else "height").cast("double")))).otherwise(F.col(c))
+        boxes = boxes.withColumns({c: clamp(c) for c in ("x1", "y1", "x2", "y2")}).where("not __out or (x2 - x1 > 1e-6 and y2 - y1 > 1e-6)")
+    return kept, boxes.select(*annotations.columns).unionByName(rows.where("kind <> 'bbox'").select(*annotations.columns))
+
+
+def emptied(images: DataFrame, annotations: DataFrame) -> int:
+    """How many images have no annotation."""
+    return images.join(annotations, F.expr("uid = image_uid"), "left_anti").count()

@@ -15,9 +15,10 @@ def confusion(rows: DataFrame, predicted: str, true: str) -> DataFrame:
 
 
 def normalize_labels(labels: str, background: str = "background"):
-    """Moves a leading background label to the end; the matrix stays."""
+    """Moves a leading background label to the end, unless one is there already; the matrix stays."""
     a = F.col(labels)
-    return F.when((F.size(a) > 0) & (F.lower(F.get(a, F.lit(0))) == background), F.concat(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1))).otherwise(a)
+    wrong = (F.get(a, F.lit(0)) == background) & (F.get(a, F.size(a) - 1) != background)
+    return F.when(wrong, F.concat(F.slice(a, 2, F.size(a)), F.slice(a, 1, 1))).otherwise(a)
 
 
 def class_metrics(matrix: DataFrame) -> DataFrame:

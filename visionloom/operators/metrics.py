@@ -35,6 +35,27 @@ def best(rows: DataFrame, metric: str, mode: str = "max") -> DataFrame:
     return rows.where(F.col("metric") == metric).groupBy("run_id").agg(F.max_by(F.struct("epoch", "value"), F.struct(v, -F.col("epoch"))).alias("b")).select("run_id", "b.epoch", "b.value")
 
 
+def best_headline(rows: DataFrame, first: str = "metrics/mAP50-95(B)", second: str = "metrics/mAP50(B)") -> DataFrame:
+    """(run_id, metric, epoch, value): the best epoch by the first metric, by the second in runs that lack the first."""
+    a, b = (best(rows, m).withColumn("metric", F.lit(m)) for m in (first, second))
+    return a.unionByName(b.join(a, "run_id", "left_anti").select(*a.columns)).select("run_id", "metric", "epoch", "value")
+
+
+def latest(rows: DataFrame) -> DataFrame:
+    """(run_id, epochs, last_epoch, metrics, total): how many epochs, and of the last one how many metrics and their sum."""
+    per = rows.groupBy("run_id", "epoch").agg(F.count("value").alias("metrics"), F.round(F.sum("value"), 6).alias("total"))
+    return per.groupBy("run_id").agg(F.count(F.lit(1)).alias("epochs"), F.max_by(F.struct("epoch", "metrics", "total"), "epoch").alias("l")).select("run_id", "epochs", F.col("l.epoch").alias("last_epoch"), "l.metrics", "l.total")
+
+
+def tail_epochs(rows: DataFrame, most: int = 0, since: int | None = None) -> DataFrame:
+    """The epochs above `since`, and of these the last `most` of each run (0: all)."""
+    kept = rows if since is None else rows.where(F.col("epoch") > since)
+    if most <= 0:
+        return kept
+    last = kept.select("run_id", "epoch").distinct().withColumn("k", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("epoch"))))
+    return kept.join(last.where(F.col("k") <= most).select("run_id", "epoch"), ["run_id", "epoch"], "left_semi")
+
+
 def progress(rows: DataFrame, total: int) -> DataFrame:
     done = rows.groupBy("run_id").agg(F.count_distinct("epoch").alias("done"), F.max("epoch").alias("epoch"))
     return done.withColumn("percent", F.round(F.least(F.lit(1.0), F.col("done") / max(1, total)), 4))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ def frame_annotations(frames: DataFrame, names: list[str], least: float = 0.0) -
     d = frames.where("ok").select("uid", F.posexplode("detections").alias("i", "d"))
     good = d.where((F.size("d.bbox") == 4) & F.forall("d.bbox", lambda v: v.isNotNull() & ~F.isnan(v))).where(F.coalesce("d.confidence", F.lit(0.0)) >= least)
     index = F.coalesce("d.class_index", F.lit(-1))
-    name = F.coalesce("d.class_name", F.try_element_at(F.array(*map(F.lit, names)), index + 1) if names else F.lit(None).cast("string"), F.concat(F.lit("class_"), index))
+    name = F.coalesce("d.class_name", F.when(index >= 0, F.get(F.array(*map(F.lit, names)), index)) if names else F.lit(None).cast("string"), F.concat(F.lit("class_"), index))
     return good.select(F.col("uid").alias("image_uid"), name.alias("category"), F.lit("bbox").alias("kind"), *[F.round(F.get("d.bbox", F.lit(k)), 4).alias(c) for k, c in enumerate(BOX)], F.col("d.confidence").alias("score"), F.left(F.sha1(F.concat_ws("\x1f", F.lit("ann"), "uid", "i")), F.lit(16)).alias("box_id"))
 
 
@@ -28,10 +31,50 @@ def apply_edits(model: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select("box_id", pick("image_uid"), pick("category"), *map(pick, BOX), F.when(F.col("m").isNull(), "human_review").otherwise("model").alias("source"), F.when(F.col("m").isNull(), "added").when(F.col("e").isNotNull(), "edited").otherwise("pending").alias("review"), F.when(F.col("m").isNotNull() & F.col("e").isNotNull(), F.struct(*[F.col(f"m.{c}").alias(c) for c in BOX])).alias("model_bbox"))
 
 
-def review_summary(boxes: DataFrame, images: DataFrame) -> DataFrame:
-    b = boxes.agg(F.count(F.lit(1)).alias("boxes"), *[F.count_if(F.col("review") == r).alias(r) for r in ("added", "edited", "pending")])
-    i = images.agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("review_status") == "confirmed").alias("confirmed"))
-    return b.crossJoin(i).withColumn("reviewed", (F.col("images") > 0) & (F.col("images") == F.col("confirmed")))
+STATUSES = ["pending", "confirmed"]  # fixed values
+
+
+def image_statuses(images: DataFrame, log: DataFrame) -> DataFrame:
+    """images with review_status: the last one set in log(uid, seq, status), trimmed and in lower case; pending where none
+    was. Entries of no image or no known status change nothing."""
+    known = log.select("uid", "seq", F.lower(F.trim("status")).alias("status")).where(F.col("status").isin(STATUSES))
+    last = known.groupBy("uid").agg(F.max_by("status", "seq").alias("__s"))
+    kept = [c for c in images.columns if c != "review_status"]
+    return images.select(*kept).join(last, "uid", "left").select(*kept, F.coalesce("__s", F.lit("pending")).alias("review_status"))
+
+
+def review_summary(boxes: DataFrame, images: DataFrame, removed: int | DataFrame = 0) -> DataFrame:
+    """One row of counters over boxes(source, review) and images(review_status, touched); a box without a source is the
+    model's. removed is the number of boxes taken away, or a log(op) to count it in."""
+    human = F.coalesce(F.col("source") == "human_review", F.lit(False))
+    b = boxes.agg(F.count(F.lit(1)).alias("boxes_total"), F.count_if(~human).alias("boxes_model"), F.count_if(human).alias("boxes_human_added"), F.count_if(F.col("review") == "edited").alias("boxes_edited"))
+    done = F.coalesce(F.col("review_status"), F.lit("pending")) == "confirmed"
+    touched = F.col("touched") if "touched" in images.columns else F.lit(False)
+    i = images.agg(F.count(F.lit(1)).alias("images_total"), F.count_if(done).alias("images_confirmed"), F.count_if(~done).alias("images_pending"), F.count_if(F.coalesce(touched, F.lit(False))).alias("images_touched"))
+    gone = F.lit(removed).cast("bigint") if isinstance(removed, int) else None
+    row = b.crossJoin(F.broadcast(i))  # one row each
+    row = row.withColumn("boxes_removed", gone) if gone is not None else row.crossJoin(F.broadcast(removed.agg(F.count_if(F.col("op") == "remove").alias("boxes_removed"))))
+    return row.withColumn("reviewed", (F.col("images_total") > 0) & (F.col("images_confirmed") == F.col("images_total")))
+
+
+def find_annotations(boxes: DataFrame, images: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(box_id, uid, category, ...) of wanted(box_id): boxes of known images, with the image's path."""
+    return boxes.join(wanted.where("coalesce(box_id, '') <> ''").select("box_id").distinct(), "box_id", "left_semi").join(images.select(F.col("uid").alias("image_uid"), "rel_path"), "image_uid")
+
+
+def annotate(images: DataFrame, score: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], names: list[str], least: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(annotations, report) of a scorer that mapInPandas runs over images(uid, path): it gives (uid, ok, error, detections).
+
+    A failed image is counted, never taken as empty. The scorer runs once if the caller materialises the images' result."""
+    frames = images.select("uid", "rel_path").mapInPandas(score, "uid string, ok boolean, error string, detections array<struct<class_index:int,class_name:string,confidence:double,bbox:array<double>>>")
+    return frame_annotations(frames, names, least), prelabel_report(frames)
+
+
+def prelabel_report(frames: DataFrame) -> DataFrame:
+    """Counters of frames(uid, ok, error, detections)."""
+    n = F.coalesce(F.size("detections"), F.lit(0))
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    return frames.agg(F.count(F.lit(1)).alias("images"), F.count_if(ok).alias("scored"), F.count_if(~ok).alias("failed"), F.count_if(ok & (n > 0)).alias("with_objects"), F.count_if(ok & (n <= 0)).alias("empty"), F.coalesce(F.sum(F.when(ok & (n > 0), n)), F.lit(0)).alias("objects"))
 
 
 def verify_manifest(manifest: DataFrame, listing: DataFrame) -> DataFrame:

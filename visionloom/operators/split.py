@@ -27,32 +27,54 @@ def strata(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return member.select("unit").distinct().join(rare, "unit", "left").select("unit", F.coalesce("s.category", F.lit("__unlabeled__")).alias("stratum"))
 
 
-def assign(images: DataFrame, annotations: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, respect_existing: bool = True, chunk: int = 4096) -> DataFrame:
+def deal_sizes(counts: dict[int, int], share: list[float]) -> dict[int, list[int]]:
+    """How many of the units of each size go to each split if units go one by one, larger first, to the split furthest
+    below its share (the first at a tie). Of equal units all but the last few are dealt at once, with the same result."""
+    total, fill, out = float(sum(n * c for n, c in counts.items())), [0.0] * len(share), {}
+    for n in sorted(counts, reverse=True):
+        left, took = counts[n], [0] * len(share)
+        gaps = [total * s - f for s, f in zip(share, fill)]
+        if n > 0 and left > 8 * len(share):
+            order = sorted(gaps, reverse=True)
+            level = max((sum(order[:k]) - n * left) / k for k in range(1, len(order) + 1))  # where all units would fill the gaps to
+            took = [max(0, int((g - level) // n) - 2) for g in gaps]
+            left -= sum(took)
+        for _ in range(left):
+            k = max(range(len(share)), key=lambda i: (total * share[i] - (fill[i] + n * took[i]), -i))
+            took[k] += 1
+        fill = [f + n * t for f, t in zip(fill, took)]
+        out[n] = took
+    return out
+
+
+def assign(images: DataFrame, annotations: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42, respect_existing: bool = True) -> DataFrame:
     """images with a split: every unit whole in one split.
 
-    In each stratum units go, larger first and then by a seeded hash, to the split furthest below its share. A stratum is
-    dealt in hash chunks of about `chunk` units, each a fair part of it, so none is a single task.
+    In each stratum units go, larger first and then by a seeded hash, to the split furthest below its share. Only the
+    counts of unit sizes of a stratum are dealt in one place; units are ranked among their equals in 4096 hash buckets, so
+    a stratum of any size is no single task, and the rule is the same at every size.
     """
     if len(ratios) != 3 or min(ratios) < 0 or sum(ratios) <= 0:
         raise ValueError("three ratios of a positive sum are needed")
     share = [r / sum(ratios) for r in ratios]
     u = units(images) if respect_existing else units(images.withColumn("split", F.lit(None).cast("string")))
     free = u.where("locked is null").join(strata(images, annotations), "unit")
-    free = free.withColumn("t", F.sha1(F.concat(F.lit(f"{seed}|"), "unit").cast("binary")))
-    sizes = free.groupBy("stratum").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-    free = free.join(sizes, "stratum").withColumn("part", F.pmod(F.xxhash64("t"), F.col("parts")))
+    free = free.withColumn("t", F.sha1(F.concat(F.lit(f"{seed}|"), "unit").cast("binary"))).withColumn("b", F.left("t", F.lit(3)))
+    counts = free.groupBy("stratum", "n", "b").agg(F.count(F.lit(1)).alias("c"))
+    ahead = Window.partitionBy("stratum", "n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("stratum", "n", "b", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("start"))
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "t"], ascending=[False, True])
-        total, fill, out = float(rows["n"].sum()), [0.0, 0.0, 0.0], []
-        for n in rows["n"]:
-            k = max(range(3), key=lambda i: (total * share[i] - fill[i], -i))
-            fill[k] += n
-            out.append(SPLITS[k])
-        return pd.DataFrame({"unit": rows["unit"], "dealt": out})
-
-    dealt = free.groupBy("stratum", "part").applyInPandas(deal, "unit string, dealt string")
-    named = u.where("locked is not null").select("unit", F.col("locked").alias("dealt")).unionByName(dealt)
+        out = deal_sizes(dict(zip(rows["n"].tolist(), rows["c"].tolist())), share)
+        return pd.DataFrame([(rows["stratum"].iloc[0], n, *took) for n, took in out.items()], columns=["stratum", "n", *SPLITS])
+
+    sizes = counts.groupBy("stratum", "n").agg(F.sum("c").alias("c"))
+    dealt = sizes.groupBy("stratum").applyInPandas(deal, "stratum string, n long, train long, val long, test long")
+    own = F.row_number().over(Window.partitionBy("stratum", "n", "b").orderBy("t", "unit")) - 1
+    ranked = free.withColumn("own", own).join(starts.join(dealt, ["stratum", "n"]), ["stratum", "n", "b"])
+    rank = F.col("start") + F.col("own")
+    named = ranked.select("unit", F.when(rank < F.col("train"), "train").when(rank < F.col("train") + F.col("val"), "val").otherwise("test").alias("dealt"))
+    named = u.where("locked is not null").select("unit", F.col("locked").alias("dealt")).unionByName(named)
     names = images.columns
     rows = images.withColumn("__unit", F.coalesce("grp", "uid")).join(named.withColumnRenamed("unit", "__unit"), "__unit", "left")
     return rows.withColumn("split", F.col("dealt")).select(*names)

@@ -40,6 +40,7 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
         box(f"{x1} + CASE WHEN l_partkey % 41 = 0 THEN 0.0D ELSE ceil(l_quantity / 10) * 40 END", "x2"),
         box(f"CAST({y1} + 40 AS DOUBLE)", "y2"),
         "l_discount score",
+        "CAST(l_linenumber AS BIGINT) ord",
     )
 
 
@@ -59,5 +60,5 @@ an AS (SELECT concat('o', CAST(l_orderkey AS STRING)) AS image_uid,
   CASE WHEN l_linenumber <> 7 THEN CAST(l_partkey % 5 * 80 - 10 AS DOUBLE) END AS x1,
   CASE WHEN l_linenumber <> 7 THEN CAST(l_suppkey % 3 * 60 + 10 AS DOUBLE) END AS y1,
   CASE WHEN l_linenumber <> 7 THEN CAST(l_partkey % 5 * 80 - 10 AS DOUBLE) + CASE WHEN l_partkey % 41 = 0 THEN 0.0 ELSE ceil(l_quantity / 10) * 40 END END AS x2,
-  CASE WHEN l_linenumber <> 7 THEN CAST(l_suppkey % 3 * 60 + 40 AS DOUBLE) END AS y2, l_discount AS score
+  CASE WHEN l_linenumber <> 7 THEN CAST(l_suppkey % 3 * 60 + 40 AS DOUBLE) END AS y2, l_discount AS score, CAST(l_linenumber AS BIGINT) AS ord
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""

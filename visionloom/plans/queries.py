@@ -32,8 +32,9 @@ def _applied(s: SparkSession, d: str) -> DataFrame:
 def _prints(s: SparkSession, d: str) -> DataFrame:
     """Fingerprints of 64 floats against the median of all but the first, and of each a copy with two bits turned."""
     e = F.expr("transform(embedding, x -> CAST(x AS DOUBLE))")
-    bits = F.expr("aggregate(transform(sequence(0, 63), i -> IF(e[i] > array_sort(slice(e, 2, 63))[31], shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
-    fp = load(s, d, "embeddings").select("vec_id", e.alias("e")).select("vec_id", bits.alias("fp"))
+    median = F.expr("array_sort(slice(e, 2, 63))[31]")
+    fp = load(s, d, "embeddings").select("vec_id", e.alias("e")).select("vec_id", "e", F.array(median).alias("ms"))
+    fp = fp.select("vec_id", F.expr("transform(ms, m -> aggregate(transform(sequence(0, 63), i -> IF(e[i] > m, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b))[0]").alias("fp"))
     turned = F.expr("fp ^ shiftleft(1L, CAST(vec_id % 63 AS INT)) ^ shiftleft(1L, CAST((vec_id + 7) % 63 AS INT))")
     return fp.select(F.col("vec_id").alias("id"), "fp").unionByName(fp.select((F.col("vec_id") + 1000000).alias("id"), turned.alias("fp")))
 
@@ -81,6 +82,18 @@ def _split_check(s: SparkSession, d: str) -> DataFrame:
     return done.agg(F.count(F.lit(1)).alias("images"), F.count("split").alias("assigned")).crossJoin(leaks.agg(F.count(F.lit(1)).alias("leaks")))
 
 
+def _registered(s: SparkSession, d: str) -> DataFrame:
+    """Class names of which one has no instance."""
+    return load(s, d, "part").select(F.col("p_type").alias("category")).unionByName(s.range(1).select(F.lit("NEVER SEEN").alias("category")))
+
+
+def _split_totals(s: SparkSession, d: str) -> DataFrame:
+    """Images by stratum and split of a split drawn anew."""
+    im, an = images(s, d), annotations(s, d)
+    done = split.assign(im, an, respect_existing=False).select("split", F.coalesce("grp", "uid").alias("unit"))
+    return done.join(split.strata(im, an), "unit").groupBy("stratum").agg(*[F.count_if(F.col("split") == x).alias(x) for x in ("train", "val", "test")])
+
+
 def _dup_texts(s: SparkSession, d: str) -> DataFrame:
     rows = load(s, d, "documents").select(F.sha1(F.col("text").cast("binary")).alias("sha1"), "doc_id").groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
     return rows.where("n > 1")
@@ -107,8 +120,8 @@ def _parse(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "ds_stats": _both(analytics.stats),
-        "ds_class_distribution": _an(analytics.class_distribution),
-        "ds_class_by_split": _both(analytics.class_by_split),
+        "ds_class_distribution": lambda s, d: analytics.class_distribution(annotations(s, d), _registered(s, d)),
+        "ds_class_by_split": lambda s, d: analytics.class_by_split(images(s, d), annotations(s, d), _registered(s, d)),
         "ds_size_categories": _an(analytics.size_categories),
         "ds_objects_per_image": _both(analytics.objects_per_image),
         "ds_area_ratios": _both(analytics.area_ratios),
@@ -129,6 +142,7 @@ def queries() -> dict[str, Query]:
         "split_units": _im(lambda i: split.units(i)),
         "split_strata": _both(lambda i, a: split.strata(i, a).groupBy("stratum").agg(F.count(F.lit(1)).alias("units"))),
         "split_assign": _split_check,
+        "split_totals": _split_totals,
         "metric_keep_last": lambda s, d: metrics.keep_last(_series(s, d)),
         "metric_best": lambda s, d: metrics.best(metrics.keep_last(_series(s, d)), "click"),
         "metric_progress": lambda s, d: metrics.progress(_series(s, d), 50),
@@ -166,8 +180,8 @@ SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.fp, b.fp)) AS BIGINT) AS dista
 def oracle_sql() -> dict[str, str]:
     return {
         "ds_stats": _W + "SELECT * FROM (SELECT count(*) AS images, count(DISTINCT grp) AS groups, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM im), (SELECT count(*) AS annotations, count(*) FILTER (kind = 'bbox') AS boxes, count(DISTINCT category) AS categories FROM an)",
-        "ds_class_distribution": _W + 'SELECT category, count(*) AS "count", round(count(*) / (SELECT count(*) FROM an), 6) AS share FROM an GROUP BY category',
-        "ds_class_by_split": _W + f"SELECT category, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test, count(*) FILTER (split IS NULL) AS unassigned FROM {_JOINED} GROUP BY category",
+        "ds_class_distribution": _W + ', rg AS (SELECT p_type AS category FROM part UNION SELECT \'NEVER SEEN\' UNION SELECT category FROM an) SELECT rg.category, count(an.category) AS "count", round(count(an.category) / (SELECT count(*) FROM an), 6) AS share FROM rg LEFT JOIN an USING (category) GROUP BY rg.category',
+        "ds_class_by_split": _W + f", rg AS (SELECT p_type AS category FROM part UNION SELECT 'NEVER SEEN' UNION SELECT category FROM an JOIN im ON image_uid = uid), j AS (SELECT category, split FROM {_JOINED}) SELECT rg.category, count(j.category) FILTER (split = 'train') AS train, count(j.category) FILTER (split = 'val') AS val, count(j.category) FILTER (split = 'test') AS test, count(j.category) FILTER (split IS NULL) AS unassigned FROM rg LEFT JOIN j USING (category) GROUP BY rg.category",
         "ds_size_categories": _W + f"""SELECT s.size AS size, count(a.size) AS "count" FROM (VALUES ('small'), ('medium'), ('large')) s(size) LEFT JOIN (SELECT CASE WHEN {_AREA} < 1024 THEN 'small' WHEN {_AREA} <= 9216 THEN 'medium' ELSE 'large' END AS size FROM an WHERE kind = 'bbox' AND x1 IS NOT NULL) a ON a.size = s.size GROUP BY s.size""",
         "ds_objects_per_image": _W + ", c AS (SELECT uid, count(image_uid) AS c FROM im LEFT JOIN an ON image_uid = uid GROUP BY uid) SELECT CAST((c >= 1)::INT + (c >= 2)::INT + (c >= 3)::INT + (c >= 5)::INT + (c >= 10)::INT + (c >= 20)::INT + (c >= 50)::INT AS INT) AS bucket, count(*) AS images FROM c GROUP BY 1",
         "ds_area_ratios": _W + f", r AS (SELECT {_AREA} / (width * height) AS r FROM {_JOINED} WHERE x1 IS NOT NULL AND width > 0 AND height > 0) SELECT CAST((r >= 0.01)::INT + (r >= 0.05)::INT + (r >= 0.1)::INT + (r >= 0.25)::INT + (r >= 0.5)::INT + (r >= 0.75)::INT AS INT) AS bucket, count(*) AS boxes FROM r GROUP BY 1",
@@ -175,7 +189,7 @@ def oracle_sql() -> dict[str, str]:
         "ds_split_summary": _W + f", i AS (SELECT coalesce(split, 'unassigned') AS split, count(*) AS images FROM im GROUP BY 1), a AS (SELECT coalesce(split, 'unassigned') AS split, count(*) AS annotations, count(*) FILTER (kind = 'bbox') AS boxes, count(DISTINCT category) AS classes FROM {_JOINED} GROUP BY 1) SELECT split, images, coalesce(annotations, 0) AS annotations, coalesce(boxes, 0) AS boxes, coalesce(classes, 0) AS classes FROM i LEFT JOIN a USING (split)",
         "ds_imbalance": _W + ", c AS (SELECT category, count(*) AS c FROM an GROUP BY category) SELECT (SELECT category FROM c ORDER BY c DESC, category DESC LIMIT 1) AS max_class, max(c) AS max_count, (SELECT category FROM c ORDER BY c, category LIMIT 1) AS min_class, min(c) AS min_count, count(*) FILTER (c < 20) AS underrepresented, round(max(c) / min(c), 4) AS ratio FROM c",
         "ds_distribution_shift": _W + f", t AS (SELECT split, count(*) AS n FROM {_JOINED} WHERE split IN ('val', 'test') GROUP BY split), al AS (SELECT category, count(*) AS k FROM {_JOINED} GROUP BY category), c AS (SELECT split, category, count(*) AS c FROM {_JOINED} GROUP BY ALL), s AS (SELECT t.split, al.category, round(coalesce(c, 0) / n - k / (SELECT sum(k) FROM al), 6) AS shift FROM t CROSS JOIN al LEFT JOIN c ON c.split = t.split AND c.category = al.category) SELECT split, category, shift FROM s WHERE abs(shift) >= 0.0005 ORDER BY abs(shift) DESC, split, category LIMIT 4",
-        "ds_round_robin": _W + ", f AS (SELECT image_uid, min(category) AS category FROM an GROUP BY 1), t AS (SELECT uid, category, row_number() OVER (PARTITION BY category ORDER BY ord, uid) AS turn FROM f JOIN im ON uid = image_uid) SELECT uid, category, turn FROM t ORDER BY turn, category LIMIT 24",
+        "ds_round_robin": _W + ", f AS (SELECT image_uid, category FROM (SELECT image_uid, category, row_number() OVER (PARTITION BY image_uid ORDER BY ord, category) AS k FROM an) WHERE k = 1), t AS (SELECT uid, category, row_number() OVER (PARTITION BY category ORDER BY ord, uid) AS turn FROM im LEFT JOIN f ON uid = image_uid) SELECT uid, category, turn FROM t ORDER BY category IS NULL, turn, category LIMIT 24",
         "ds_browse": _W + "SELECT uid, rel_path, count(image_uid) AS objects FROM im LEFT JOIN an ON image_uid = uid WHERE split = 'train' AND contains(lower(rel_path), '/1/') AND greatest(width, height) >= 300 GROUP BY uid, rel_path HAVING count(image_uid) >= 2 ORDER BY rel_path, uid LIMIT 100 OFFSET 5",
         "clean_exact_duplicates": _W + f", {_DUPES} SELECT CASE WHEN k > 1 THEN 'leak_duplicate_across_splits' ELSE 'image_duplicate_exact' END AS rule, CASE WHEN k > 1 THEN 'error' ELSE 'warning' END AS severity, uid AS image_uid, n FROM du JOIN ds USING (sha1) WHERE r > 1",
         "clean_group_leaks": _W + "SELECT grp AS category, count(DISTINCT split) AS n FROM im WHERE grp IS NOT NULL AND split IS NOT NULL GROUP BY grp HAVING count(DISTINCT split) > 1",
@@ -195,15 +209,26 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT 'class_too_few', 'warning', c FROM (SELECT count(*) AS c FROM an GROUP BY category) WHERE c < 5)
 SELECT rule, severity, count(*) AS findings, CAST(sum(n) AS BIGINT) AS total FROM fs GROUP BY rule, severity""",
         "clean_apply": _W + f""", {_DUPES}, kp AS (SELECT uid, width, height FROM du WHERE r = 1 AND width > 0 AND height > 0),
-  cl AS (SELECT image_uid, category, kind, greatest(0.0, least(x1, width::DOUBLE)) AS x1, greatest(0.0, least(y1, height::DOUBLE)) AS y1, greatest(0.0, least(x2, width::DOUBLE)) AS x2, greatest(0.0, least(y2, height::DOUBLE)) AS y2 FROM an JOIN kp ON image_uid = uid),
-  bx AS (SELECT DISTINCT image_uid, category, x1, y1, x2, y2 FROM cl WHERE kind = 'bbox' AND x2 - x1 > 1e-6 AND y2 - y1 > 1e-6)
-SELECT (SELECT count(*) FROM kp) AS images, (SELECT count(*) FROM bx) + (SELECT count(*) FROM cl WHERE kind <> 'bbox') AS annotations, (SELECT sum(x2) FROM bx) AS sum_x2, (SELECT sum(y2) FROM bx) AS sum_y2""",
+  fit AS (SELECT image_uid, category, width, height, any_value(x1) AS x1, any_value(y1) AS y1, any_value(x2) AS x2, any_value(y2) AS y2 FROM an JOIN kp ON image_uid = uid WHERE kind = 'bbox' AND x2 - x1 > 0.001 AND y2 - y1 > 0.001 GROUP BY image_uid, category, width, height, round(x1, 3), round(y1, 3), round(x2, 3), round(y2, 3)),
+  bx AS (SELECT greatest(0.0, least(x1, width)) AS x1, greatest(0.0, least(y1, height)) AS y1, greatest(0.0, least(x2, width)) AS x2, greatest(0.0, least(y2, height)) AS y2 FROM fit),
+  ok AS (SELECT * FROM bx WHERE x2 - x1 > 1e-6 AND y2 - y1 > 1e-6)
+SELECT (SELECT count(*) FROM kp) AS images, (SELECT count(*) FROM ok) + (SELECT count(*) FROM an JOIN kp ON image_uid = uid WHERE kind <> 'bbox') AS annotations, (SELECT sum(x2) FROM ok) AS sum_x2, (SELECT sum(y2) FROM ok) AS sum_y2""",
         "near_duplicate_pairs": _NEAR,
         "taxonomy_suggest": _W + ", c AS (SELECT category, count(*) AS c, regexp_replace(lower(category), '[^0-9a-z]+', '', 'g') AS key FROM an GROUP BY category) SELECT key, (SELECT category FROM c x WHERE x.key = c.key ORDER BY c DESC, length(category), category DESC LIMIT 1) AS suggested, CAST(sum(c) AS BIGINT) AS total, string_agg(category, '|' ORDER BY category) AS names FROM c GROUP BY key HAVING count(*) > 1",
         "taxonomy_apply": _W + ", m AS (SELECT image_uid, upper(category) AS category FROM an WHERE kind = 'bbox' AND upper(category) <> 'PROMO') SELECT category, count(*) AS n, (SELECT count(*) FROM im WHERE uid IN (SELECT image_uid FROM m)) AS images FROM m GROUP BY category",
         "split_units": _W + f"SELECT coalesce(grp, uid) AS unit, count(*) AS n, CASE min({_RANK}) WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' END AS locked FROM im GROUP BY 1",
         "split_strata": _W + f", t AS (SELECT category, count(*) AS total FROM an GROUP BY category), p AS (SELECT DISTINCT coalesce(grp, uid) AS unit, category FROM {_JOINED}), r AS (SELECT unit, category, row_number() OVER (PARTITION BY unit ORDER BY total, category) AS k FROM p JOIN t USING (category)), u AS (SELECT DISTINCT coalesce(grp, uid) AS unit FROM im) SELECT coalesce(category, '__unlabeled__') AS stratum, count(*) AS units FROM u LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (unit) GROUP BY 1",
         "split_assign": "SELECT count(*) AS images, count(*) AS assigned, CAST(0 AS BIGINT) AS leaks FROM orders",
+        "split_totals": _W.replace("WITH", "WITH RECURSIVE", 1) + f""", t AS (SELECT category, count(*) AS total FROM an GROUP BY category), p AS (SELECT DISTINCT coalesce(grp, uid) AS unit, category FROM {_JOINED}),
+  r AS (SELECT unit, category, row_number() OVER (PARTITION BY unit ORDER BY total, category) AS k FROM p JOIN t USING (category)),
+  u AS (SELECT coalesce(grp, uid) AS unit, count(*) AS n FROM im GROUP BY 1),
+  o AS (SELECT coalesce(category, '__unlabeled__') AS stratum, n, row_number() OVER (PARTITION BY coalesce(category, '__unlabeled__') ORDER BY n DESC) AS k, sum(n) OVER (PARTITION BY coalesce(category, '__unlabeled__'))::DOUBLE AS total FROM u LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (unit)),
+  w AS (SELECT DISTINCT stratum, 0::BIGINT AS k, total, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c FROM o
+    UNION ALL SELECT w.stratum, o.k, w.total, a + CASE WHEN w.total * 0.8::DOUBLE - a >= w.total * 0.1::DOUBLE - b AND w.total * 0.8::DOUBLE - a >= w.total * 0.1::DOUBLE - c THEN n ELSE 0 END,
+      b + CASE WHEN w.total * 0.8::DOUBLE - a < w.total * 0.1::DOUBLE - b AND w.total * 0.1::DOUBLE - b >= w.total * 0.1::DOUBLE - c THEN n ELSE 0 END,
+      c + CASE WHEN w.total * 0.8::DOUBLE - a < w.total * 0.1::DOUBLE - c AND w.total * 0.1::DOUBLE - b < w.total * 0.1::DOUBLE - c THEN n ELSE 0 END
+    FROM w JOIN o ON o.stratum = w.stratum AND o.k = w.k + 1)
+SELECT stratum, CAST(max(a) AS BIGINT) AS train, CAST(max(b) AS BIGINT) AS val, CAST(max(c) AS BIGINT) AS test FROM w GROUP BY stratum""",
         "metric_keep_last": f"WITH {_LAST} SELECT * FROM kl",
         "metric_best": f"WITH {_LAST}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, epoch) AS k FROM kl WHERE metric = 'click') SELECT run_id, epoch, value FROM r WHERE k = 1",
         "metric_progress": f"WITH {_SERIES} SELECT run_id, count(DISTINCT epoch) AS done, max(epoch) AS epoch, round(least(1.0, count(DISTINCT epoch) / 50), 4) AS percent FROM ev GROUP BY run_id",

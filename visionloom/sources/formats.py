@@ -89,9 +89,11 @@ def openlabel_intervals(spark: SparkSession, path: str | list[str], level: str |
 
 
 def frame_labels(frames: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """frames(key, frame) with every label whose interval holds the frame: intervals become rows per frame, then an equi
-    join, so no nested loop."""
-    rows = intervals.where("end >= start").select(key, "label", F.explode(F.sequence("start", "end")).alias("frame"))
+    """frames(key, frame) with every label whose interval holds the frame: intervals, cut to the first and last frame of
+    their key, become rows per frame, then an equi join, so no nested loop, and a wild end makes no more rows than frames."""
+    ends = frames.groupBy(key).agg(F.min("frame").alias("__low"), F.max("frame").alias("__high"))
+    cut = intervals.join(ends, key).select(key, "label", F.greatest("start", "__low").alias("start"), F.least("end", "__high").alias("end"))
+    rows = cut.where("end >= start").select(key, "label", F.explode(F.sequence("start", "end")).alias("frame"))
     return frames.join(rows, [key, "frame"])
 
 
