@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
@@ -128,17 +129,33 @@ def write_text_files(rows: DataFrame, out: str, path: str = "path", text: str =
     rows.select(path, text).foreachPartition(write)
 
 
-def place_files(rows: DataFrame, out: str, source: str = "source", path: str = "path") -> DataFrame:
-    """rows with problem: copies each source file to its path below out; null where it is there, else why not.
+def place_files(rows: DataFrame, out: str, source: str = "source", path: str = "path", how: str = "copy") -> DataFrame:
+    """rows with problem: puts each source file at its path below out; null where it is there, else why not.
 
-    The result is lazy and copies when it is computed: write it, don't count it twice.
+    how is copy, hard or symbolic; a link that can't be made (other disk, other store) becomes a copy, and a file that is
+    there already is fine. The result is lazy and places files when it is computed: write it, don't count it twice.
     """
     import pyarrow as pa
     from pyspark.sql import types as T
 
+    if how not in ("copy", "hard", "symbolic"):
+        raise ValueError(f"unknown way to place a file: {how}")
     schema = T.StructType(rows.schema.fields + [T.StructField("problem", T.StringType())])
 
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def link(a: str, b: str) -> bool:
+        import os
+
+        if not os.path.isfile(a):
+            return False
+        try:
+            os.link(a, b) if how == "hard" else os.symlink(a, b)
+        except FileExistsError:
+            return True
+        except OSError:
+            return False
+        return True
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         to, base = _filesystem(out)
@@ -148,13 +165,15 @@ def place_files(rows: DataFrame, out: str, source: str = "source", path: str = "
                 try:
                     held, at = _filesystem(a.replace("file:/", "/", 1) if a.startswith("file:/") and not a.startswith("file://") else a)
                     to.create_dir(f"{base}/{c}".rsplit("/", 1)[0], recursive=True)
-                    fs.copy_files(at, f"{base}/{c}", source_filesystem=held, destination_filesystem=to)
+                    local = isinstance(held, fs.LocalFileSystem) and isinstance(to, fs.LocalFileSystem)
+                    if how == "copy" or not local or not link(at, f"{base}/{c}"):
+                        fs.copy_files(at, f"{base}/{c}", source_filesystem=held, destination_filesystem=to)
                     problems.append(None)
                 except (OSError, AttributeError) as e:
                     problems.append(type(e).__name__)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(problems, pa.string())], names=[f.name for f in schema.fields])
 
-    return rows.mapInArrow(copy, schema)
+    return rows.mapInArrow(place, schema)
 
 
 def data_yaml(out: str, task: str, classes: list[str]) -> str:
@@ -165,9 +184,9 @@ def data_yaml(out: str, task: str, classes: list[str]) -> str:
     return yaml.safe_dump(doc, allow_unicode=True, sort_keys=False)
 
 
-def export_yolo(images: DataFrame, annotations: DataFrame, out: str, order: list[str] | None = None, several: str = "first", style: str = "auto", include_unlabeled: bool = True, overwrite: bool = False, files: str | None = None, lineage: dict | None = None) -> dict:
+def export_yolo(images: DataFrame, annotations: DataFrame, out: str, order: list[str] | None = None, several: str = "first", style: str = "auto", include_unlabeled: bool = True, overwrite: bool = False, files: str | None = None, lineage: dict | None = None, how: str = "copy") -> dict:
     """Writes the export below out and returns its card. files names the column of images that holds the image's path; null
-    places no image files. A folder that is not empty is refused unless overwrite is set. Only class names, counters and
+    places no image files; how is copy, hard or symbolic. A folder that is not empty is refused unless overwrite is set. Only class names, counters and
     the card pass through the driver."""
     from pyarrow import fs as pafs
 
@@ -181,18 +200,20 @@ def export_yolo(images: DataFrame, annotations: DataFrame, out: str, order: list
     names = stems.join(images.select("uid", extension, *([F.col(files).alias("source")] if files else [])), "uid")
     if task == "detection":
         made = names.join(detection_labels(images, annotations, table), "uid").withColumn("reason", F.when((F.col("boxes") == 0) & F.lit(not include_unlabeled), "no label").otherwise(F.col("reason")))
+        made = made.persist(StorageLevel.DISK_ONLY)  # written, counted and placed from one computation
         good = made.where("reason is null")
         write_text_files(good.select(F.concat_ws("/", F.lit("labels"), "split", F.concat("stem", F.lit(".txt"))).alias("path"), F.col("lines").alias("text")), out)
         targets = F.concat_ws("/", F.lit("images"), "split", F.concat("stem", "ext"))
         counts = made.agg(*[F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col(c))), F.lit(0)).alias(c) for c in ("boxes", "clamped", "dropped")]).first().asDict()
     else:
-        made = names.join(classification_targets(images, annotations, table, several), "uid")
+        made = names.join(classification_targets(images, annotations, table, several), "uid").persist(StorageLevel.DISK_ONLY)
         good, targets, counts = made.where("reason is null"), F.concat_ws("/", "split", "category", F.concat("stem", "ext")), {}
     if files:
-        placed = place_files(good.select("source", targets.alias("path")), out)
+        placed = place_files(good.select("source", targets.alias("path")), out, how=how)
         counts["files_missing"] = placed.where("problem is not null").count()
     skipped = {r["reason"]: r["n"] for r in made.where("reason is not null").groupBy("reason").agg(F.count_distinct("uid").alias("n")).collect()}
     exported = {r["split"]: r["n"] for r in good.groupBy("split").agg(F.count_distinct("uid").alias("n")).collect()}
+    made.unpersist()
     card = {
         "created_at": datetime.now().isoformat(timespec="seconds"),
         "task": task,

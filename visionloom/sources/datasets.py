@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -24,6 +25,8 @@ class Dataset:
     classes: list[str] | None = None
     orphan_labels: DataFrame | None = None
     skipped: DataFrame | None = None
+    warnings: DataFrame | None = None
+    sources: list[dict] | None = None
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -83,8 +86,8 @@ def group_from(rel: Column, by: str | None) -> Column:
     raise ValueError(f"unknown grouping {by}")
 
 
-def detect_format(spark: SparkSession, root: str) -> str | None:
-    """The first format whose files are there: the keys of JSON files, XML files, or label texts beside images."""
+def formats_of(spark: SparkSession, root: str) -> list[str]:
+    """The formats whose files are there: by the keys of JSON files, XML files, or label texts beside images."""
     files = list_files(spark, root)
     ext, deep = _extension(), F.size(F.split("rel", "/")) - 1
     seen = files.agg(F.bool_or(ext == "json").alias("json"), F.bool_or(ext == "xml").alias("xml"), F.bool_or(ext == "txt").alias("txt"), F.bool_or(ext.isin("yaml", "yml") & (deep == 0)).alias("yaml"), F.bool_or(ext.isin(formats.IMAGE_SUFFIXES)).alias("image")).first()
@@ -92,10 +95,8 @@ def detect_format(spark: SparkSession, root: str) -> str | None:
         docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
         has = lambda *keys: F.bool_or(reduce(Column.__and__, [F.get_json_object("value", f"$.{k}").isNotNull() for k in keys]))
         keys = docs.agg(has("openlabel").alias("openlabel"), has("images", "annotations", "categories").alias("coco"), has("shapes").alias("labelme")).first()
-    for name in FORMATS:
-        if name == "voc" and seen["xml"] or name == "yolo" and (seen["yaml"] or seen["txt"]) and seen["image"] or seen["json"] and name in keys.asDict() and keys[name]:
-            return name
-    return None
+    told = {"voc": seen["xml"], "yolo": (seen["yaml"] or seen["txt"]) and seen["image"], **(keys.asDict() if seen["json"] else {})}
+    return [name for name in FORMATS if told.get(name)]
 
 
 def read_yaml(spark: SparkSession, files: DataFrame) -> dict:
@@ -139,17 +140,33 @@ def _image_files(files: DataFrame, root: str, source_id: str) -> DataFrame:
     return found.join(sizes, "path").select(make_uid(F.lit(source_id), F.lit(root), F.col("rel")).alias("uid"), F.col("rel").alias("rel_path"), "path", "width", "height")
 
 
+def _pool(ims: DataFrame, told: list[tuple[str, str]]) -> tuple[Column, Column]:
+    """(which images count, their split): those of the folders that the yaml names, if any holds images; else of
+    <split>/images and images/<split>; else all below images, or at the top. Of a folder named twice the first counts."""
+    rel = F.col("rel_path")
+    by_name = F.regexp_extract(F.lower(rel), rf"^(?:images/)?({_SPLIT_NAME})/", 1)
+    nested = rel.rlike(rf"(?i)^(?:({_SPLIT_NAME})/images/|images/({_SPLIT_NAME})/)")
+    flat = rel.startswith("images/")
+    seen = ims.agg(F.bool_or(nested).alias("nested"), F.bool_or(flat).alias("flat"), *[F.bool_or(rel.startswith(p)).alias(f"told{i}") for i, (p, _) in enumerate(told)]).first()
+    told = [t for i, t in enumerate(told) if seen[f"told{i}"]]
+    if told:
+        return reduce(Column.__or__, [rel.startswith(p) for p, _ in told]), F.coalesce(*[F.when(rel.startswith(p), normalize_split(F.lit(k))) for p, k in told])
+    if seen["nested"]:
+        return nested, normalize_split(by_name)
+    return (flat if seen["flat"] else ~rel.contains("/")), F.lit(None).cast("string")
+
+
 def load_yolo(spark: SparkSession, root: str, source_id: str = "src", group_by: str | None = None) -> Dataset:
-    """Splits come from the yaml's folders, else from <split>/images or images/<split>; a label file is looked for in the
-    labels folder that mirrors the images folder, then beside the image. Lines of unknown classes are left out."""
+    """Splits come from the yaml's folders, else from <split>/images or images/<split>, else there are none; a label file
+    is looked for in the labels folder that mirrors the images folder, then beside the image. Lines of unknown classes are
+    left out."""
     files = list_files(spark, root)
     doc = read_yaml(spark, files)
     names = class_names(doc)
     ims = _image_files(files, root, source_id)
     told = [(v.strip().removeprefix("./").strip("/") + "/", k) for k in ("train", "val", "valid", "test") if isinstance(doc.get(k), str) for v in doc[k].split(",") if v.strip()]
-    by_name = normalize_split(F.regexp_extract(F.lower("rel_path"), rf"^(?:images/)?({_SPLIT_NAME})/", 1))
-    split = F.coalesce(*[F.when(F.col("rel_path").startswith(p), normalize_split(F.lit(k))) for p, k in told], by_name)
-    ims = ims.withColumn("split", split).withColumn("grp", group_from(F.col("rel_path"), group_by))
+    which, split = _pool(ims, told)
+    ims = ims.where(which).withColumn("split", split).withColumn("grp", group_from(F.col("rel_path"), group_by))
     own = _without_extension(F.col("rel_path"))
     mirror = F.regexp_replace(own, r"^(.*/)?images/(?!.*\bimages/)", "$1labels/")
     wanted = ims.select("uid", "width", "height", F.posexplode(F.array_distinct(F.array(mirror, own))).alias("rank", "key"))
@@ -183,8 +200,44 @@ def load_coco(spark: SparkSession, root: str, source_id: str = "src") -> Dataset
     im, an = formats.coco_files(spark, paths, source_id)
     im = im.withColumn("file", _read_from(F.col("file"))).join(F.broadcast(found), "file")
     split = F.coalesce(split_from_text(F.col("rel")), split_from_text(F.col("rel_path")))
-    first = im.withColumn("split", split).groupBy("uid").agg(F.min_by(F.struct("rel_path", "width", "height", "grp", "split"), "rel").alias("i"))
-    return Dataset(_model(first.select("uid", "i.*"), source_id), _boxes(an))
+    first = im.withColumn("split", split).groupBy("uid").agg(F.min_by(F.struct("rel_path", "width", "height", "grp", "split", "rel"), "rel").alias("i")).select("uid", "i.*")
+    bare = first.where("coalesce(width, 0) <= 0 or coalesce(height, 0) <= 0").select("uid", F.col("rel").alias("rel_file"), F.col("rel_path").alias("file_name"))
+    pictured = list_files(spark, root).where(_extension().isin(formats.IMAGE_SUFFIXES))
+    here, name = _folder(F.col("rel_file")), _name(F.col("file_name"))
+    at = _resolve(bare, pictured.select(F.col("rel").alias("rel_path"), "path"), [_below(here, F.col("file_name")), F.col("file_name"), _below(F.lit("images"), F.col("file_name")), _below(here, name), _below(F.lit("images"), name)], [])
+    sizes = at.join(pictures.probe(at.select("path").distinct()), "path").select("uid", F.col("width").alias("w"), F.col("height").alias("h"))
+    done = first.join(sizes, "uid", "left").withColumns({"width": F.coalesce(F.nullif(F.greatest("width", F.lit(0)), F.lit(0)), "w"), "height": F.coalesce(F.nullif(F.greatest("height", F.lit(0)), F.lit(0)), "h")})
+    return Dataset(_model(done, source_id), _boxes(an))
+
+
+def _folder(rel: Column) -> Column:
+    return F.regexp_extract(rel, "^(.*)/[^/]+$", 1)
+
+
+def _name(rel: Column) -> Column:
+    return F.regexp_extract(rel, "([^/]+)$", 1)
+
+
+def _below(folder: Column, rel: Column) -> Column:
+    return F.concat_ws("/", F.nullif(folder, F.lit("")), F.regexp_replace(rel, r"^(\./)+", ""))
+
+
+def _resolve(rows: DataFrame, ims: DataFrame, exact: list[Column], any_extension: list[Column]) -> DataFrame:
+    """rows(rel_file, file_name, ...) with the columns of ims(rel_path, ...) of the first candidate path that there is:
+    the exact ones in turn, then those that are without extension."""
+    keys = F.concat(F.array(*exact), F.transform(F.array(*any_extension), lambda p: F.concat(p, F.lit(".*"))) if any_extension else F.array().cast("array<string>"))
+    asked = rows.select("rel_file", "file_name").distinct().select("rel_file", "file_name", F.posexplode(keys).alias("__rank", "__key"))
+    known = ims.withColumn("__key", F.explode(F.array("rel_path", F.concat(_without_extension(F.col("rel_path")), F.lit(".*")))))
+    names = [c for c in ims.columns if c not in rows.columns]
+    found = asked.join(known, "__key").groupBy("rel_file", "file_name").agg(F.min_by(F.struct(*names), F.struct("__rank", "rel_path")).alias("__i"))
+    return rows.join(found, ["rel_file", "file_name"]).select(*rows.columns, *[F.col(f"__i.{c}") for c in names])
+
+
+def _rel_of(uri: Column, root: str) -> Column:
+    """A read file's path below root."""
+    base = "/" + root.split("://")[-1].strip("/") + "/"
+    at = _read_from(uri)
+    return F.regexp_replace(at, r"^.*?\Q" + base + r"\E", "")
 
 
 def image_sets(spark: SparkSession, root: str) -> DataFrame:
@@ -195,12 +248,6 @@ def image_sets(spark: SparkSession, root: str) -> DataFrame:
     return rows.where("stem <> '' and split is not null").groupBy("stem").agg(F.min_by("split", "file").alias("split"))
 
 
-def _by_name(rows: DataFrame, ims: DataFrame) -> DataFrame:
-    """Annotations by file name, matched to images by name without folders and extension."""
-    stem = lambda c: F.regexp_extract(c, formats.STEM, 1)
-    return rows.withColumn("stem", stem("file_name")).join(ims.select("uid", stem("rel_path").alias("stem")), "stem").withColumn("image_uid", F.col("uid"))
-
-
 def _parent(rel: str = "rel_path") -> Column:
     return F.nullif(F.regexp_extract(rel, "^(?:.*/)?([^/]+)/[^/]+$", 1), F.lit(""))
 
@@ -211,7 +258,13 @@ def load_voc(spark: SparkSession, root: str, source_id: str = "src", one_based:
     if files.where((_extension() == "txt") & F.concat(F.lit("/"), "rel").contains("/ImageSets/")).limit(1).count():
         ims = ims.withColumn("stem", F.regexp_extract("rel_path", formats.STEM, 1)).join(image_sets(spark, root), "stem", "left")
     rows = formats.voc(spark, _globs(files, "xml"), one_based).where("category is not null and x1 is not null and y1 is not null and x2 is not null and y2 is not null")
-    return Dataset(_model(ims, source_id), _boxes(_by_name(rows, ims)))
+    rows = rows.withColumn("rel_file", _rel_of(F.col("file"), root))
+    here, named = _folder(F.col("rel_file")), F.col("file_name")
+    up, name, stem = _folder(here), _name(named), _without_extension(_name(named))
+    folders = [F.lit("JPEGImages"), _below(up, F.lit("JPEGImages")), _below(up, F.lit("images")), F.lit("")]
+    exact = [_below(x, named) for x in folders[:3]] + [_below(x, name) for x in folders[:3]] + [_below(F.lit(""), named), _below(here, named), _below(here, name)]
+    boxes = _resolve(rows, ims.select("uid", "rel_path"), exact, [_below(x, stem) for x in [*folders, here]])
+    return Dataset(_model(ims, source_id), _boxes(boxes.withColumn("image_uid", F.col("uid"))))
 
 
 def load_labelme(spark: SparkSession, root: str, source_id: str = "src") -> Dataset:
@@ -220,7 +273,11 @@ def load_labelme(spark: SparkSession, root: str, source_id: str = "src") -> Data
     ims = _image_files(files, root, source_id).withColumn("grp", _parent()).withColumn("split", split_from_text(F.col("rel_path")))
     docs = spark.read.schema("shapes array<struct<shape_type:string>>").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(root)
     skipped = docs.select(F.explode("shapes.shape_type").alias("shape_type")).where("shape_type not in ('rectangle', 'polygon', 'circle')").groupBy("shape_type").agg(F.count(F.lit(1)).alias("n"))
-    return Dataset(_model(ims, source_id), _boxes(_by_name(formats.labelme(spark, _globs(files, "json")), ims)), skipped=skipped)
+    rows = formats.labelme(spark, _globs(files, "json")).withColumn("rel_file", _rel_of(F.col("file"), root))
+    here, named, stem = _folder(F.col("rel_file")), F.col("file_name"), _without_extension(_name(F.col("rel_file")))
+    exact = [_below(here, named), _below(here, _name(named)), _below(F.lit(""), named), _name(named)]
+    boxes = _resolve(rows, ims.select("uid", "rel_path"), exact, [_below(here, stem), stem, _below(_below(_folder(here), F.lit("images")), stem)])
+    return Dataset(_model(ims, source_id), _boxes(boxes.withColumn("image_uid", F.col("uid"))), skipped=skipped)
 
 
 def frame_index(rel: Column) -> Column:
@@ -228,30 +285,83 @@ def frame_index(rel: Column) -> Column:
     return F.regexp_extract(F.regexp_extract(rel, formats.STEM, 1), r"(\d+)(?!.*\d)", 1).try_cast("bigint")
 
 
-def load_openlabel(spark: SparkSession, root: str, source_id: str = "src", level: str | None = None) -> Dataset:
-    """Interval labels on the frame images below root; a file's name is the group. Of frames of one number the last by
-    path counts. Frames outside every interval stay without labels."""
+def load_openlabel(spark: SparkSession, root: str, source_id: str = "src", level: str | None = None, frames_dir: str | None = None, include_objects: bool = False) -> Dataset:
+    """Interval labels on the frame images below root, or below its folder frames_dir; the video's name is the group, of
+    several files that of the last. Of frames of one number the last by path counts. Frames outside every interval stay
+    without labels; warnings names frames beyond what a file declares (file, frame)."""
     files = list_files(spark, root)
-    spans = formats.openlabel_intervals(spark, _globs(files, "json"), level).withColumn("grp", F.regexp_extract("file", formats.STEM, 1)).withColumn("all", F.lit(1))
-    frames = _image_files(files, root, source_id).withColumn("frame", frame_index(F.col("rel_path"))).where("frame is not null")
+    paths = _globs(files, "json")
+    spans = formats.openlabel_intervals(spark, paths, level, include_objects).withColumn("all", F.lit(1))
+    held = files if frames_dir is None else files.where(F.col("rel").startswith(frames_dir.strip("/") + "/"))
+    frames = _image_files(held, root, source_id).withColumn("frame", frame_index(F.col("rel_path"))).where("frame is not null")
     frames = frames.groupBy("frame").agg(F.max_by(F.struct("uid", "rel_path", "width", "height"), "rel_path").alias("f")).select("frame", "f.*").withColumn("all", F.lit(1))
     labels = formats.frame_labels(frames, spans, "all").select(F.col("uid").alias("image_uid"), F.col("label").alias("category"), F.lit("image").alias("kind"))
-    group = spans.select("grp").agg(F.max("grp")).first()[0]
-    return Dataset(_model(frames.withColumn("grp", F.lit(group)), source_id), _boxes(labels))
+    videos = formats.openlabel_videos(spark, paths)
+    group = videos.agg(F.max_by("video", "file")).first()[0]
+    beyond = frames.select("frame").crossJoin(F.broadcast(videos.where("total_frames is not null"))).where("frame >= total_frames").select("file", "frame")  # videos are a few files
+    return Dataset(_model(frames.withColumn("grp", F.lit(group)), source_id), _boxes(labels), warnings=beyond)
+
+
+@dataclass
+class Adapter:
+    """A format: how a folder of it is told, and how it is read. detect(spark, root); load(spark, root, **options)."""
+
+    name: str
+    detect: Callable[[SparkSession, str], bool]
+    load: Callable[..., Dataset]
 
 
 LOADERS = {"openlabel": load_openlabel, "coco": load_coco, "voc": load_voc, "labelme": load_labelme, "yolo": load_yolo}
+_ADAPTERS: dict[str, Adapter] = {}
+
+
+def register(adapter: Adapter, before: str | None = None) -> None:
+    """Adds a format, tried last, or before another one; one of the same name is replaced."""
+    others = [a for a in _ADAPTERS.values() if a.name != adapter.name]
+    at = next((i for i, a in enumerate(others) if a.name == before), len(others))
+    _ADAPTERS.clear()
+    _ADAPTERS.update({a.name: a for a in [*others[:at], adapter, *others[at:]]})
+
+
+def available_adapters() -> list[str]:
+    """Names in the order they are tried."""
+    return list(_ADAPTERS)
+
+
+def get_adapter(name: str) -> Adapter:
+    if name not in _ADAPTERS:
+        raise ValueError(f"unknown format {name}")
+    return _ADAPTERS[name]
+
+
+for _name_of, _load in LOADERS.items():
+    register(Adapter(_name_of, lambda spark, root, own=_name_of: own in formats_of(spark, root), _load))
+
+
+def detect_format(spark: SparkSession, root: str) -> str | None:
+    """The first adapter that tells the folder as its own; one that fails doesn't."""
+    known = formats_of(spark, root)
+    for name, adapter in _ADAPTERS.items():
+        try:
+            if (name in known) if adapter.load is LOADERS.get(name) else adapter.detect(spark, root):
+                return name
+        except Exception:  # noqa: BLE001  a detector's failure means no
+            continue
+    return None
 
 
 def load_dataset(spark: SparkSession, root: str, fmt: str | None = None, **options) -> Dataset:
     found = fmt or detect_format(spark, root)
-    if found not in LOADERS:
+    if found not in _ADAPTERS:
         raise ValueError(f"no known format below {root}")
-    return LOADERS[found](spark, root, **options)
+    return _ADAPTERS[found].load(spark, root, **options)
 
 
 def load_and_merge(spark: SparkSession, specs: list[dict]) -> Dataset:
-    """Loads each of root, fmt and options, and merges them from the left."""
+    """Loads each of root, fmt and options, and merges them from the left. sources describes each as it was loaded; orphan
+    labels, skipped shapes and warnings of all are kept."""
     loaded = [load_dataset(spark, **s) for s in specs]
     im, an = reduce(lambda a, b: merge(a, b)[:2], [(d.images, d.annotations) for d in loaded])
-    return Dataset(im, an, list(dict.fromkeys(c for d in loaded for c in d.classes or [])) or None)
+    both = lambda name: reduce(lambda a, b: a.unionByName(b), held) if (held := [x for d in loaded if (x := getattr(d, name)) is not None]) else None
+    sources = [{"source_id": s.get("source_id", "src"), "root": s["root"], "format": s.get("fmt"), "images": d.images.count(), "annotations": d.annotations.count()} for s, d in zip(specs, loaded)]
+    return Dataset(im, an, list(dict.fromkeys(c for d in loaded for c in d.classes or [])) or None, both("orphan_labels"), both("skipped"), both("warnings"), sources)

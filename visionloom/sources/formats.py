@@ -57,35 +57,61 @@ def coco_files(spark: SparkSession, paths: list[str], source_id: str = "coco") -
 
 
 def voc(spark: SparkSession, path: str | list[str], one_based: bool = False) -> DataFrame:
-    """(file_name, width, height, category, x1..y2, difficult, truncated) of Pascal VOC XML files."""
+    """(file, file_name, width, height, category, x1..y2, difficult, truncated) of Pascal VOC XML files; a file without a
+    name is that of the XML as jpg."""
     schema = "folder string, filename string, size struct<width:string,height:string>, object array<struct<name:string,truncated:string,difficult:string,bndbox:struct<xmin:string,ymin:string,xmax:string,ymax:string>>>"
     doc = spark.read.format("xml").option("rowTag", "annotation").schema(schema).load(path)
-    rows = doc.select("filename", "size", F.explode_outer("object").alias("o"))
+    file = F.col("_metadata.file_path")
+    named = F.coalesce(F.nullif(F.trim("filename"), F.lit("")), F.concat(F.regexp_extract(file, STEM, 1), F.lit(".jpg")))
+    rows = doc.select(file.alias("file"), named.alias("filename"), "size", F.explode_outer("object").alias("o"))
     less = 1.0 if one_based else 0.0
     num = lambda c: F.col(f"o.bndbox.{c}").try_cast("double")
-    return rows.select(F.col("filename").alias("file_name"), F.col("size.width").try_cast("int").alias("width"), F.col("size.height").try_cast("int").alias("height"), F.trim("o.name").alias("category"), (num("xmin") - less).alias("x1"), (num("ymin") - less).alias("y1"), num("xmax").alias("x2"), num("ymax").alias("y2"), (F.col("o.difficult") == "1").alias("difficult"), (F.col("o.truncated") == "1").alias("truncated"))
+    return rows.select("file", F.col("filename").alias("file_name"), F.col("size.width").try_cast("int").alias("width"), F.col("size.height").try_cast("int").alias("height"), F.trim("o.name").alias("category"), (num("xmin") - less).alias("x1"), (num("ymin") - less).alias("y1"), num("xmax").alias("x2"), num("ymax").alias("y2"), (F.col("o.difficult") == "1").alias("difficult"), (F.col("o.truncated") == "1").alias("truncated"))
 
 
 def labelme(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file_name, category, x1..y2): rectangles, polygons of three points or more, circles; other shapes are left out."""
+    """(file, file_name, category, x1..y2): rectangles, polygons of three points or more, circles; other shapes are left out."""
     schema = "imagePath string, imageWidth int, imageHeight int, shapes array<struct<label:string,shape_type:string,points:array<array<double>>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.col("imagePath").alias("file_name"), F.explode("shapes").alias("s")).where(F.size("s.points") >= 2)
+    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.col("_metadata.file_path").alias("file"), F.replace(F.trim(F.coalesce("imagePath", F.lit(""))), F.lit("\\"), F.lit("/")).alias("file_name"), F.explode("shapes").alias("s")).where(F.size("s.points") >= 2)
     xs, ys = F.expr("transform(s.points, p -> p[0])"), F.expr("transform(s.points, p -> p[1])")
     r = F.hypot(F.get(xs, F.lit(1)) - F.get(xs, F.lit(0)), F.get(ys, F.lit(1)) - F.get(ys, F.lit(0)))
     round_ = F.col("s.shape_type") == "circle"
     ok = (F.col("s.shape_type") == "rectangle") | ((F.col("s.shape_type") == "polygon") & (F.size("s.points") >= 3)) | round_
     side = lambda v, low: F.when(round_, F.get(v, F.lit(0)) + (-r if low else r)).otherwise(F.array_min(v) if low else F.array_max(v))
-    return rows.where(ok).select("file_name", F.trim("s.label").alias("category"), side(xs, True).alias("x1"), side(ys, True).alias("y1"), side(xs, False).alias("x2"), side(ys, False).alias("y2"))
+    return rows.where(ok).select("file", "file_name", F.trim("s.label").alias("category"), side(xs, True).alias("x1"), side(ys, True).alias("y1"), side(xs, False).alias("x2"), side(ys, False).alias("y2"))
 
 
-def openlabel_intervals(spark: SparkSession, path: str | list[str], level: str | None = None) -> DataFrame:
-    """(file, label, start, end) of the action intervals of OpenLABEL files, ends included."""
-    schema = "openlabel struct<actions:map<string,struct<type:string,frame_intervals:array<struct<frame_start:bigint,frame_end:bigint>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.input_file_name().alias("file"), F.explode(F.map_values("openlabel.actions")).alias("a"))
-    rows = rows.select("file", F.col("a.type").alias("label"), F.inline("a.frame_intervals")).where("frame_start is not null and frame_end is not null")
+_OPENLABEL = "openlabel struct<metadata:struct<name:string>,actions:map<string,struct<type:string,frame_intervals:array<struct<frame_start:string,frame_end:string>>>>,objects:map<string,struct<type:string,frame_intervals:array<struct<frame_start:string,frame_end:string>>>>,streams:map<string,struct<stream_properties:struct<total_frames:string>>>>"
+
+
+def _openlabel(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.schema(_OPENLABEL).option("multiLine", "true").json(path).select(F.input_file_name().alias("file"), "openlabel")
+
+
+def openlabel_intervals(spark: SparkSession, path: str | list[str], level: str | None = None, include_objects: bool = False) -> DataFrame:
+    """(file, label, start, end) of the action intervals of OpenLABEL files, ends included, and of the objects' if asked for.
+
+    Actions are those of the level, without its name, or all with it; an object's type is its label. Intervals without two
+    whole numbers are left out, as are actions without a label."""
+    doc = _openlabel(spark, path)
+
+    def spans(kind: str) -> DataFrame:
+        rows = doc.select("file", F.explode(F.map_values(f"openlabel.{kind}")).alias("a")).select("file", F.col("a.type").alias("label"), F.inline("a.frame_intervals"))
+        number = lambda c: F.col(c).try_cast("bigint")
+        return rows.select("file", "label", number("frame_start").alias("start"), number("frame_end").alias("end")).where("start is not null and `end` is not null")
+
+    rows = spans("actions")
     if level:
         rows = rows.where(F.col("label").startswith(f"{level}/")).withColumn("label", F.expr(f"substring(label, {len(level) + 2})"))
-    return rows.where(~F.col("label").isin("NAN", "--", "")).select("file", "label", F.col("frame_start").alias("start"), F.col("frame_end").alias("end"))
+    rows = rows.where(~F.col("label").isin("NAN", "--", ""))
+    return rows.unionByName(spans("objects").where("coalesce(label, '') <> ''")) if include_objects else rows
+
+
+def openlabel_videos(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, video, total_frames): the name, else that of the file, and the most frames that a stream declares (null: none)."""
+    total = F.array_max(F.transform(F.map_values("openlabel.streams"), lambda s: s["stream_properties"]["total_frames"].try_cast("bigint")))
+    name = F.coalesce(F.nullif(F.col("openlabel.metadata.name"), F.lit("")), F.regexp_extract("file", STEM, 1))
+    return _openlabel(spark, path).where("openlabel is not null").select("file", name.alias("video"), total.alias("total_frames"))
 
 
 def frame_labels(frames: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
