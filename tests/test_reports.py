@@ -29,6 +29,21 @@ def test_a_report_shows_and_escapes(spark):
     assert report.bars([]) == ""
 
 
+def test_reports_show_heat_notes_and_samples(spark, tmp_path):
+    from test_files import png
+
+    png(tmp_path / "i0.png", 64, 48)
+    im, an = small(spark)
+    files = im.withColumn("path", F.concat(F.lit(f"{tmp_path}/"), F.regexp_replace("rel_path", "jpg", "png")))
+    html = report.dataset_report(files, an, path="path")
+    assert "has 4 times as many as dog (2)" in html and html.count("<figure>") == 11 and html.count("data:image/png;base64,") == 1
+    assert report.heat(0, 5) != report.heat(1, 5) != report.heat(5, 5) and report.heat(0, 0) == "color:#bbb"
+    grid = report.matrix("x", ["a"], [("<r>", [0])])
+    assert "&lt;r&gt;" in grid and "<rect" in report.columns([("0+", 3), ("1+", 0)])
+    report.write_report(html, str(tmp_path / "deep" / "r.html"))
+    assert (tmp_path / "deep" / "r.html").read_text() == html
+
+
 def test_minimums_leave_one_train_unit(spark):
     u = spark.createDataFrame([(f"u{i}", "train") for i in range(3)], "unit string, split string")
     got = {r["unit"]: r["split"] for r in split.ensure_minimums(u, 5, 5).collect()}

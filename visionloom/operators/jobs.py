@@ -92,7 +92,7 @@ def tail_log(lines: DataFrame) -> DataFrame:
 
 
 def picture_group(name: Column) -> Column:
-    low = F.lower(name)
+    low = F.lower(name)  # the names below are fixed values: those that a run gives its pictures
     batch = low.startswith("val_batch")
     named = F.when(batch & low.contains("_pred"), "val_pred").when(batch & low.contains("_labels"), "val_labels")
     named = named.when(low.startswith("train_batch"), "train_batch").when(low.startswith("labels"), "labels")
