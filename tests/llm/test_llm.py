@@ -286,14 +286,17 @@ def test_archives(spark):
 
 def brute_windows(text, items, window):
     words, hit, names = D.words_of(text), set(), set()
+    at = {}
+    for k in {min(window, len(D.words_of(t))) for _, t in items} - {0}:
+        for j in range(len(words) - k + 1):
+            at.setdefault(tuple(words[j : j + k]), []).append(j)
     for name, t in items:
         w = D.words_of(t)
         k = min(window, len(w))
         for i in range(len(w) - k + 1 if k else 0):
-            for j in range(len(words) - k + 1):
-                if words[j : j + k] == w[i : i + k]:
-                    hit.update(range(j, j + k))
-                    names.add(name)
+            for j in at.get(tuple(w[i : i + k]), []):
+                hit.update(range(j, j + k))
+                names.add(name)
     return len(words), hit, names
 
 

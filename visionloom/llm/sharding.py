@@ -38,12 +38,13 @@ def jump_shard(df: DataFrame, key: str, shards: int, out: str = "shard") -> Data
 
 
 def number_slots(df: DataFrame, shard: str, key: str, tie: list[str], out: str = "slot") -> DataFrame:
-    """df with a number per row, gapless from 0 in its shard, ordered by a digest of the key, the key, then `tie`.
+    """df with a number per row, gapless from 0 in its shard, ordered by a digest of the key and `tie`, then these.
 
     A shard at scale exceeds a task, so rows are numbered inside 4096 digest buckets per shard, and the buckets' counts
-    (at most 4096 a shard) give each bucket's start. Repeated rows get distinct slots; null keys share one bucket.
+    (at most 4096 a shard) give each bucket's start. Since `tie` is in the digest, the rows of one key, or without a key,
+    spread over the buckets as far as they differ. Repeated rows get distinct slots.
     """
-    bucket = F.coalesce(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 3), F.lit("000"))
+    bucket = F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), *[F.col(c).cast("string") for c in tie]).cast("binary")), 1, 3)
     rows = df.withColumn("__b", bucket)
     counts = rows.groupBy(shard, "__b").agg(F.count(F.lit(1)).alias("__n"))
     run = Window.partitionBy(shard).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
