@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 _own_shared: dict[str, tempfile.TemporaryDirectory] = {}
 #: Bytes of input columns that one call of a column function gets, a longer text alone.
 SLICE_BYTES = 2_000_000
+#: Rows of an Arrow batch of whole texts where the session keeps Spark's 10 000: those make buffers of tens of MB a task.
+BATCH_ROWS, BATCH_SETTING = 500, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +97,7 @@ def unused(names: list[str], stem: str) -> str:
     return name
 
 
-def _slices(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordBatch]:
     """Parts of the batch with about SLICE_BYTES in the columns."""
     step = max(1, batch.num_rows * SLICE_BYTES // max(1, sum(batch.column(i).nbytes for i in columns), 1))
     at = 0
@@ -107,7 +109,7 @@ def _slices(batch: pa.RecordBatch, columns: list[int]) -> Iterator[pa.RecordBatc
         at += n
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """At a task's end a worker, which stays for later tasks, returns free memory to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -117,6 +119,12 @@ def _give_back() -> None:
         pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have BATCH_ROWS rows, unless it has set a number itself."""
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],
@@ -129,6 +137,7 @@ def append_columns(
     fn(*lists of the input columns[, state]) returns a list per new field. setup() runs once per task and its value is
     fn's last argument. Existing columns with a new column's name are replaced, whatever their case.
     """
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     kept = [c for c in df.columns if c.lower() not in new]
     hidden = []
@@ -145,14 +154,14 @@ def append_columns(
         state = setup() if setup else None
         try:
             for whole in batches:
-                for b in _slices(whole, list(range(n_kept, n_kept + n_in))):
+                for b in slices(whole, list(range(n_kept, n_kept + n_in))):
                     cols = [b.column(n_kept + i).to_pylist() for i in range(n_in)]
                     out = fn(*cols, state) if setup else fn(*cols)
                     arrays = [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], k) for n, k in zip(names, kinds)]
                     yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n_kept)] + arrays, names=kept + names)
         finally:
             state = None
-            _give_back()
+            give_back()
 
     return src.mapInArrow(run, schema)
 

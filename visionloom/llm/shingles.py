@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_sample, materialise, scratch, unused, utf8
+from .common import append_columns, bounded_sample, give_back, materialise, scratch, slices, small_batches, unused, utf8
 from .simhash import _LOWER, _SLICE, block_keys, components, majority, pivot_links
 
 #: Shingles that go last in the order are looked for in so many documents and are those of so many of them; at most
 #: MOST_COMMON are sent to the tasks. Any choice gives the same pairs, a poor one only more candidates.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 100_000
 _FIELDS = [T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
-_HELD = 2000  # shingle sets that a task keeps while it compares texts
+_HELD = 2_000_000  # shingles in the sets that a task keeps while it compares texts
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -84,21 +84,33 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     held = materialise(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
     both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    small_batches(both.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        size = 0
 
         def of(key: int, text: str | None) -> np.ndarray:
-            if len(known) > _HELD:
+            nonlocal size
+            if size > _HELD:
                 known.clear()
-            return known[key] if key in known else known.setdefault(key, shingle_set(text, shingle))
-
-        for batch in batches:
-            near = []
-            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
-                p, q = of(a, x), of(b, y)
-                near.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+                size = 0
+            if key not in known:
+                known[key] = shingle_set(text, shingle)
+                size += len(known[key]) + 16
+            return known[key]
+
+        try:
+            for whole in batches:
+                for batch in slices(whole, [2, 3]):
+                    near = []
+                    for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+                        p, q = of(a, x), of(b, y)
+                        near.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
+                    yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        finally:
+            known.clear()
+            give_back()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -153,12 +165,17 @@ def first_of_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
     smallest doc_id of the group, or one without an id if no row has one.
 
     Rows that repeat id and text leave one, those that repeat an id with other texts are told apart. Null and empty texts
-    are copies of each other. Other columns stay as the row has them; an empty table stays empty. Repeated rows shrink
-    before the one shuffle of the texts.
+    are copies of each other. Other columns stay as the row has them; an empty table stays empty. Repeated rows, where there
+    are any, shrink before their texts are shuffled.
     """
     found = groups(docs, shingle)
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "key")).alias("r"))
     key, bare, no = unused(docs.columns, "key"), unused(docs.columns, "bare"), unused(docs.columns, "id")
     best = best.select(F.col("r.key").alias(key), F.coalesce("r.id", F.lit(0)).alias(no), F.col("r.bare").alias(bare))
     rows = docs.withColumns({key: text_key(), no: F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), bare: F.col("doc_id").isNull()})
-    return rows.dropDuplicates([key, no, bare]).join(best, [key, no, bare], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = [key, no, bare]
+    many = materialise(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*at), "repeated")
+    kept = rows.join(best.join(many, at, "left_anti"), at, "left_semi")
+    if not many.isEmpty():  # rows that repeat id and text
+        kept = kept.unionByName(rows.dropDuplicates(at).join(best.join(many, at, "left_semi"), at, "left_semi"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
