@@ -29,7 +29,7 @@ def _applied(s: SparkSession, d: str) -> DataFrame:
     return n.crossJoin(boxes.agg(F.count(F.lit(1)).alias("annotations"), F.sum("x2").alias("sum_x2"), F.sum("y2").alias("sum_y2")))
 
 
-def _prints(s: SparkSession, d: str) -> DataFrame:
+def prints(s: SparkSession, d: str) -> DataFrame:
     """Fingerprints of 64 floats against the median of all but the first, and of each a copy with two bits turned."""
     e = F.expr("transform(embedding, x -> CAST(x AS DOUBLE))")
     median = F.expr("array_sort(slice(e, 2, 63))[31]")
@@ -40,7 +40,7 @@ def _prints(s: SparkSession, d: str) -> DataFrame:
 
 
 def _near(s: SparkSession, d: str) -> DataFrame:
-    return clean.near_duplicate_pairs(_prints(s, d), 6)
+    return clean.near_duplicate_pairs(prints(s, d), 6)
 
 
 def _mapped(s: SparkSession, d: str) -> DataFrame:
@@ -169,7 +169,7 @@ _RANK = "CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 ELS
 _DUPES = f"""du AS (SELECT *, row_number() OVER (PARTITION BY sha1 ORDER BY {_RANK}, uid) AS r, count(*) OVER (PARTITION BY sha1) AS n FROM im),
  ds AS (SELECT sha1, count(DISTINCT split) AS k FROM im GROUP BY sha1)"""
 _OOB = "x1 IS NOT NULL AND width > 0 AND height > 0 AND (x1 < -0.001 OR y1 < -0.001 OR x2 > width + 0.001 OR y2 > height + 0.001)"
-_NEAR = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+NEAR = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
  m AS (SELECT vec_id, e, list_sort(e[2:64])[32] AS med FROM e),
  f AS (SELECT vec_id AS id, list_reduce(list_transform(range(0, 64), lambda i: CASE WHEN e[i + 1] > med THEN CAST(pow(2::HUGEINT, i) AS HUGEINT) ELSE 0::HUGEINT END), lambda a, b: a + b) AS fp FROM m),
  g AS (SELECT id, CAST(fp AS UBIGINT) AS fp FROM f UNION ALL
@@ -213,7 +213,7 @@ SELECT rule, severity, count(*) AS findings, CAST(sum(n) AS BIGINT) AS total FRO
   bx AS (SELECT greatest(0.0, least(x1, width)) AS x1, greatest(0.0, least(y1, height)) AS y1, greatest(0.0, least(x2, width)) AS x2, greatest(0.0, least(y2, height)) AS y2 FROM fit),
   ok AS (SELECT * FROM bx WHERE x2 - x1 > 1e-6 AND y2 - y1 > 1e-6)
 SELECT (SELECT count(*) FROM kp) AS images, (SELECT count(*) FROM ok) + (SELECT count(*) FROM an JOIN kp ON image_uid = uid WHERE kind <> 'bbox') AS annotations, (SELECT sum(x2) FROM ok) AS sum_x2, (SELECT sum(y2) FROM ok) AS sum_y2""",
-        "near_duplicate_pairs": _NEAR,
+        "near_duplicate_pairs": NEAR,
         "taxonomy_suggest": _W + ", c AS (SELECT category, count(*) AS c, regexp_replace(lower(category), '[^0-9a-z]+', '', 'g') AS key FROM an GROUP BY category) SELECT key, (SELECT category FROM c x WHERE x.key = c.key ORDER BY c DESC, length(category), category DESC LIMIT 1) AS suggested, CAST(sum(c) AS BIGINT) AS total, string_agg(category, '|' ORDER BY category) AS names FROM c GROUP BY key HAVING count(*) > 1",
         "taxonomy_apply": _W + ", m AS (SELECT image_uid, upper(category) AS category FROM an WHERE kind = 'bbox' AND upper(category) <> 'PROMO') SELECT category, count(*) AS n, (SELECT count(*) FROM im WHERE uid IN (SELECT image_uid FROM m)) AS images FROM m GROUP BY category",
         "split_units": _W + f"SELECT coalesce(grp, uid) AS unit, count(*) AS n, CASE min({_RANK}) WHEN 0 THEN 'train' WHEN 1 THEN 'val' WHEN 2 THEN 'test' END AS locked FROM im GROUP BY 1",

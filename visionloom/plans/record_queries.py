@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from visionloom.functions import display, scalar
 from visionloom.operators import clean, evals, export, jobs, merge, metrics, records, review, samples, split, taxonomy
 from visionloom.plans import ir
+from visionloom.plans import queries as plain
 from visionloom.plans.ir import annotations, images, load
 from visionloom.sources import datasets, formats
 
@@ -319,9 +320,39 @@ def _task(s: SparkSession, d: str) -> DataFrame:
     return samples.dataset_kind(an).select("kind", F.lit(tasks[0]).alias("boxes"), F.lit(tasks[1]).alias("labels"))
 
 
+def _near_found(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("id") % 1_000_000
+    prints = plain.prints(s, d).select(F.concat(F.lit("o"), (k * 2 + F.when(F.col("id") < 1_000_000, 1).otherwise(2)).cast("string")).alias("id"), "fp")
+    return clean.near_duplicates(images(s, d), prints, 6).select("rule", "severity", "image_uid", "n")
+
+
+def _file_found(s: SparkSession, d: str) -> DataFrame:
+    im = images(s, d).withColumn("path", F.col("rel_path"))
+    probed = im.select("path", F.when(F.col("ord") % 11 > 0, F.col("ord") % 9).cast("int").alias("orientation"))
+    bad = im.where("ord % 101 = 0").select("path")
+    return clean.file_findings(im, probed, bad, load(s, d, "nation").select(F.col("n_name").alias("rel")))
+
+
+def _latest(s: SparkSession, d: str) -> DataFrame:
+    e = load(s, d, "events").select("user_id", F.lpad((F.col("event_id") % 100).cast("string"), 3, "0").alias("created_at"), F.col("event_id").alias("eval_id"), "event_type", "value")
+    return evals.latest(e, ["user_id", "event_type"])
+
+
+def _labels(s: SparkSession, d: str) -> DataFrame:
+    b = F.lit("background")
+    n = F.col("n_nationkey") % 4
+    rows = load(s, d, "nation").select("n_nationkey", F.when(n == 0, F.array(b, F.col("n_name"), F.lit("x"))).when(n == 1, F.array(b, F.col("n_name"), b)).when(n == 2, F.array(F.lit("Background"), F.col("n_name"))).otherwise(F.array().cast("array<string>")).alias("labels"))
+    return rows.select("n_nationkey", F.array_join(evals.normalize_labels("labels"), ",").alias("labels"))
+
+
 def queries() -> dict[str, Query]:
     im, an = images, annotations
     return {
+        "clean_near_duplicates": _near_found,
+        "clean_file_findings": _file_found,
+        "eval_latest": _latest,
+        "eval_labels": _labels,
+        "taxonomy_class_table": lambda s, d: taxonomy.class_table(an(s, d), ["PROMO", "LARGE"]),
         "box_columns": _boxes,
         "images_of_split": lambda s, d: samples.images_of_split(im(s, d), "val").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("first")),
         "annotations_of": lambda s, d: samples.annotations_of(an(s, d), _wanted(s, d)).select("image_uid", "category", "ord"),
@@ -416,7 +447,15 @@ def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(clean.RULES))
     kb = lambda k: f"printf('%.1f', floor(v / pow(1024.0, {k}) * 10 + 0.5) / 10)"
     frames = _W + ", g AS (SELECT image_uid, CAST(substring(image_uid, 2) AS BIGINT) AS id, count(*) AS n FROM an GROUP BY image_uid)"
+    near = plain.NEAR.split("SELECT a.id AS a")[0]
     return {
+        "clean_near_duplicates": near + f""", pr AS (SELECT 'o' || CASE WHEN id < 1000000 THEN id * 2 + 1 ELSE (id - 1000000) * 2 + 2 END AS uid, fp FROM g), {_W.removeprefix("WITH ")},
+ p AS (SELECT CASE WHEN (x.ord, x.uid) < (y.ord, y.uid) THEN y.uid ELSE x.uid END AS image_uid, x.split AS s, y.split AS t, bit_count(xor(a.fp, b.fp)) AS n FROM pr a JOIN pr b ON a.uid < b.uid AND bit_count(xor(a.fp, b.fp)) <= 6 JOIN im x ON x.uid = a.uid JOIN im y ON y.uid = b.uid)
+SELECT CASE WHEN s <> t THEN 'leak_near_duplicate_across_splits' ELSE 'image_duplicate_near' END AS rule, CASE WHEN s <> t THEN 'error' ELSE 'info' END AS severity, image_uid, CAST(n AS BIGINT) AS n FROM p""",
+        "clean_file_findings": _W + " SELECT 'image_unreadable' AS rule, 'error' AS severity, 'remove_image' AS action, uid AS image_uid, NULL AS category, 1 AS n FROM im WHERE ord % 101 = 0 UNION ALL SELECT 'image_exif_orientation', 'warning', 'report', uid, NULL, ord % 9 FROM im WHERE ord % 11 > 0 AND ord % 9 > 1 UNION ALL SELECT 'label_orphan', 'warning', 'report', NULL, n_name, 1 FROM nation",
+        "eval_latest": "SELECT user_id, created_at, eval_id, event_type, value FROM (SELECT user_id, lpad(CAST(event_id % 100 AS VARCHAR), 3, '0') AS created_at, event_id AS eval_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 100 DESC, event_id DESC) AS k FROM events) WHERE k = 1",
+        "eval_labels": "SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name || ',x,background' WHEN 1 THEN 'background,' || n_name || ',background' WHEN 2 THEN 'Background,' || n_name ELSE '' END AS labels FROM nation",
+        "taxonomy_class_table": _W + " SELECT category, CAST(row_number() OVER (ORDER BY CASE category WHEN 'PROMO' THEN 0 WHEN 'LARGE' THEN 1 ELSE 2 END, category) - 1 AS INT) AS index FROM (SELECT DISTINCT category FROM an)",
         "box_columns": _W + f" SELECT category, kind = 'bbox' AND x1 IS NOT NULL AS is_bbox, count(*) AS n, sum({_AREA}) AS area, sum(x2 - x1) AS width, sum(y2 - y1) AS height, sum(x2) AS x2 FROM an GROUP BY ALL",
         "images_of_split": _W + " SELECT count(*) AS n, min(uid) AS first FROM im WHERE split = 'val'",
         "annotations_of": _W + " SELECT image_uid, category, ord FROM an WHERE image_uid IN (SELECT uid FROM im WHERE ord % 500 = 0)",
