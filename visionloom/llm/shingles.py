@@ -134,7 +134,8 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
         met = materialise(keyed.join(shared, "h", "left_semi"), "met")
         pivot = met.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"))
         pairs = met.join(pivot, "h").select(F.col("p.key").alias("a"), F.col("p.n").alias("an"), F.col("key").alias("b"), F.col("n").alias("bn"))
-        near = materialise(similar(_simhash_pairs(nodes).unionByName(_counted(pairs.where("a < b"))).distinct(), texts, shingle), "near")
+        first = _counted(pairs.where("a < b")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one pivot a text
+        near = materialise(similar(_simhash_pairs(nodes).unionByName(first).distinct(), texts, shingle), "near")
         found = components(near).withColumnRenamed("node", "key")
         part = met.join(found, "key", "left").select("h", "key", "n", F.coalesce("component", "key").alias("c"))
         split = part.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
