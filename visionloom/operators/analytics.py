@@ -19,18 +19,20 @@ def stats(images: DataFrame, annotations: DataFrame) -> DataFrame:
 
 def class_distribution(annotations: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(category, count, share) of the registered classes(category), those without instances too, and of other names seen."""
-    counts = annotations.groupBy("category").agg(F.count(F.lit(1)).alias("count"))
+    rows = annotations.select("category", F.lit(1).alias("c"))
     if classes is not None:
-        counts = classes.select("category").distinct().join(counts, "category", "full").na.fill(0, ["count"])
+        rows = rows.unionByName(classes.select("category", F.lit(0).alias("c")))
+    counts = rows.groupBy("category").agg(F.sum("c").alias("count"))
     total = counts.agg(F.greatest(F.sum("count"), F.lit(1)).alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("category", "count", F.round(F.col("count") / F.col("total"), 6).alias("share"))
 
 
 def class_by_split(images: DataFrame, annotations: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """(category, train, val, test, unassigned): zero-filled for registered classes; annotations of no image don't count."""
-    rows = annotations.join(images.select("uid", "split"), F.expr("image_uid = uid"))
-    counts = rows.groupBy("category").agg(*[F.count_if(F.col("split") == s).alias(s) for s in SPLITS], F.count_if(F.col("split").isNull()).alias("unassigned"))
-    return counts if classes is None else classes.select("category").distinct().join(counts, "category", "full").na.fill(0)
+    rows = annotations.join(images.select("uid", F.coalesce("split", F.lit("unassigned")).alias("split")), F.expr("image_uid = uid")).select("category", "split")
+    if classes is not None:
+        rows = rows.unionByName(classes.select("category", F.lit(None).cast("string").alias("split")))
+    return rows.groupBy("category").agg(*[F.count_if(F.col("split") == s).alias(s) for s in [*SPLITS, "unassigned"]])
 
 
 def size_categories(annotations: DataFrame) -> DataFrame:
@@ -104,16 +106,46 @@ def check_page(offset: int, limit: int, most: int = 200) -> None:
 
 def browse(images: DataFrame, annotations: DataFrame, split: str | None = None, source: str | None = None, search: str = "", category: str | None = None, min_edge: int = 0, max_edge: int | None = None, min_objects: int = 0, offset: int = 0, limit: int = 50) -> DataFrame:
     check_page(offset, limit)
+    rows = _browsed(images, annotations, split, source, search, category, min_edge, max_edge, min_objects)
+    return rows.orderBy("rel_path", "uid").offset(offset).limit(limit).select("uid", "rel_path", "objects")
+
+
+def after(rows: DataFrame, cursor: tuple[str, str] | None) -> DataFrame:
+    """Rows behind the cursor (rel_path, uid), in that order: a range of rel_path that the scan can prune, then ties by uid."""
+    if cursor is None:
+        return rows
+    path, uid = F.lit(cursor[0]), F.lit(cursor[1])
+    return rows.where(F.col("rel_path") >= path).where((F.col("rel_path") > path) | (F.col("uid") > uid))
+
+
+def browse_after(images: DataFrame, annotations: DataFrame, cursor: tuple[str, str] | None = None, limit: int = 50, split: str | None = None, source: str | None = None, search: str = "", category: str | None = None, min_edge: int = 0, max_edge: int | None = None, min_objects: int = 0) -> DataFrame:
+    """The page of browse that comes after the cursor, the rel_path and uid of the last row of the page before; None: the first.
+
+    Nothing before the cursor is sorted or counted: rows are pruned by range, and where min_objects asks nothing of them,
+    the page is taken before its objects are counted. A page costs the same wherever it is."""
+    check_page(0, limit)
+    if min_objects > 0:
+        rows = _browsed(after(images, cursor), annotations, split, source, search, category, min_edge, max_edge, min_objects)
+        return rows.orderBy("rel_path", "uid").limit(limit).select("uid", "rel_path", "objects")
+    page = _filtered(after(images, cursor), annotations, split, source, search, category, min_edge, max_edge).orderBy("rel_path", "uid").limit(limit).select("uid", "rel_path")
+    per = annotations.join(F.broadcast(page.select(F.col("uid").alias("image_uid"))), "image_uid", "left_semi").groupBy("image_uid").agg(F.count(F.lit(1)).alias("objects"))  # a page of at most 200 rows
+    return page.join(per, F.expr("uid = image_uid"), "left").select("uid", "rel_path", F.coalesce("objects", F.lit(0)).alias("objects"))
+
+
+def _filtered(images: DataFrame, annotations: DataFrame, split: str | None, source: str | None, search: str, category: str | None, min_edge: int, max_edge: int | None) -> DataFrame:
     edge = F.greatest("width", "height")
     rows = images.where(edge >= min_edge)
     rows = rows.where(edge <= max_edge) if max_edge is not None else rows
     rows = rows.where(F.col("split") == split) if split else rows
     rows = rows.where(F.col("source_id") == source) if source else rows
     rows = rows.where(F.lower("rel_path").contains(search.lower())) if search else rows
-    rows = rows.join(annotations.where(F.col("category") == category), F.expr("uid = image_uid"), "left_semi") if category else rows
+    return rows.join(annotations.where(F.col("category") == category), F.expr("uid = image_uid"), "left_semi") if category else rows
+
+
+def _browsed(images: DataFrame, annotations: DataFrame, split: str | None, source: str | None, search: str, category: str | None, min_edge: int, max_edge: int | None, min_objects: int) -> DataFrame:
+    rows = _filtered(images, annotations, split, source, search, category, min_edge, max_edge)
     per = annotations.groupBy("image_uid").agg(F.count(F.lit(1)).alias("objects"))
-    rows = rows.join(per, F.expr("uid = image_uid"), "left").withColumn("objects", F.coalesce("objects", F.lit(0))).where(F.col("objects") >= min_objects)
-    return rows.orderBy("rel_path", "uid").offset(offset).limit(limit).select("uid", "rel_path", "objects")
+    return rows.join(per, F.expr("uid = image_uid"), "left").withColumn("objects", F.coalesce("objects", F.lit(0))).where(F.col("objects") >= min_objects)
 
 
 def concentration(annotations: DataFrame, share: float = 0.2) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import SPLITS, box_area, category_key
+from visionloom.operators.hamming import near_duplicate_pairs
 
 EPS = 1e-3
 
@@ -35,41 +35,14 @@ def exact_duplicates(images: DataFrame) -> DataFrame:
 
     Splits of a group come from a partial aggregate; the rank window holds thin rows only."""
     rank = F.expr("CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 WHEN 'test' THEN 2 ELSE 9 END")
+    seen = F.expr("CASE split WHEN 'train' THEN 1 WHEN 'val' THEN 2 WHEN 'test' THEN 4 ELSE 0 END")
     thin = images.where("sha1 is not null").select("uid", "sha1", "split")
-    groups = thin.groupBy("sha1").agg(F.min(F.struct(rank, "uid")).alias("best"), F.countDistinct(F.when(F.col("split").isin(SPLITS), F.col("split"))).alias("splits"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = thin.groupBy("sha1").agg(F.min(F.struct(rank, "uid")).alias("best"), F.bit_or(seen).alias("seen"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = thin.join(groups, "sha1").where("uid <> best.uid")
-    leak = F.col("splits") > 1
+    leak = F.bit_count("seen") > 1
     return copies.select(F.when(leak, "leak_duplicate_across_splits").otherwise("image_duplicate_exact").alias("rule"), F.when(leak, "error").otherwise("warning").alias("severity"), F.lit("remove_image").alias("action"), F.col("uid").alias("image_uid"), F.lit(None).cast("string").alias("category"), "n")
 
 
-def near_duplicate_pairs(prints: DataFrame, distance: int = 6, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance) of ids whose 64-bit fingerprints differ in `distance` bits or fewer; the smaller id first.
-
-    Of `blocks` blocks at least blocks - distance agree in such a pair, so it meets under one set of so many; it counts
-    under the first set on which it agrees, so it comes once. By default there are as many blocks as keep the prints that
-    share a key by chance few, whatever their number: any choice gives the same pairs."""
-    if blocks is None:
-        n = prints.count()
-        blocks = next((distance + k for k in range(1, 5) if n >> (64 * k // (distance + k)) < 4), distance + 5)
-    agree = max(1, blocks - distance)
-    widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
-    masks = [((1 << w) - 1) << sum(widths[:i]) for i, w in enumerate(widths)]
-    long = lambda m: F.lit(m - (m >> 63 << 64)).cast("bigint")
-    sets = [(sum(1 << i for i in c), sum(masks[i] for i in c)) for c in combinations(range(blocks), agree)]
-    keys = F.array(*[F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(long(m)).alias("k")) for s, m in sets])
-    keyed = prints.select("id", "fp", F.inline(keys))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    same = reduce(Column.bitwiseOR, [F.when(diff.bitwiseAND(long(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(masks)])
-    first, rest = F.lit(0), same
-    for _ in range(agree):
-        low = rest.bitwiseAND(-rest)
-        first, rest = first.bitwiseOR(low), rest.bitwiseXOR(low)
-    meet = (F.col("a.s") == F.col("b.s")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))
-    near = a.join(b, meet & (F.bit_count(diff) <= distance) & (first == F.col("a.s")))
-    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.bit_count(diff).cast("bigint").alias("distance"))
-
-
 def near_duplicates(images: DataFrame, prints: DataFrame, distance: int = 6) -> DataFrame:
     """Findings on the second image by order of every close pair of prints(id, fp); a leak where both have a split and the
     splits differ."""
@@ -158,9 +131,21 @@ RULES = [
 ]
 
 
-def list_rules(images: DataFrame) -> DataFrame:
-    """(ord, rule, severity, action) of the rules."""
-    return images.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "ord int, rule string, severity string, action string")
+#: Findings that have another name than the rule that gives them.
+GIVEN_BY = {
+    "leak_duplicate_across_splits": "image_duplicate_exact",
+    "leak_near_duplicate_across_splits": "image_duplicate_near",
+    "label_box_too_large": "label_box_area",
+    "label_box_too_small": "label_box_area",
+}
+
+
+def list_rules(found: DataFrame) -> DataFrame:
+    """(ord, rule, severity, action, findings) of every rule, with how many of the findings it gave."""
+    rules = found.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(RULES)], "ord int, rule string, severity string, action string")
+    names = F.create_map(*[F.lit(x) for pair in GIVEN_BY.items() for x in pair])
+    counts = found.groupBy(F.coalesce(F.try_element_at(names, F.col("rule")), F.col("rule")).alias("rule")).agg(F.count(F.lit(1)).alias("findings"))
+    return rules.join(counts, "rule", "left").select("ord", "rule", "severity", "action", F.coalesce("findings", F.lit(0)).alias("findings"))
 
 
 def _flags(rules: list[tuple[str, Column, str | None]], disabled: tuple[str, ...]) -> Column:
@@ -220,10 +205,11 @@ def apply(images: DataFrame, annotations: DataFrame, disabled: tuple[str, ...] =
     box to 3 decimals, one stays) go; images of invalid size, unreadable(path) ones and exact copies go with their
     annotations, as do annotations of no image."""
     on = lambda r: r not in disabled
-    gone = [f(images).select("image_uid") for r, f in (("image_invalid_size", invalid_size), ("image_duplicate_exact", exact_duplicates)) if on(r)]
+    gone = [exact_duplicates(images).select("image_uid")] if on("image_duplicate_exact") else []
     if unreadable is not None and on("image_unreadable"):
         gone.append(images.join(unreadable, "path", "left_semi").select(F.col("uid").alias("image_uid")))
-    kept = images.join(reduce(DataFrame.unionByName, gone).distinct(), F.expr("uid = image_uid"), "left_anti") if gone else images
+    sized = images.where(~F.coalesce(F.expr("width <= 0 or height <= 0"), F.lit(False))) if on("image_invalid_size") else images
+    kept = sized.join(reduce(DataFrame.unionByName, gone), F.expr("uid = image_uid"), "left_anti") if gone else sized
     rows = annotations.join(kept.select("uid", "width", "height"), F.expr("image_uid = uid"))
     boxes = rows.where("kind = 'bbox'")
     if on("label_invalid_size"):

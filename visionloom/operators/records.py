@@ -63,32 +63,45 @@ def model_metric(cards: DataFrame, metric: str, split: str | None = None) -> Dat
     return cards.withColumn("value", F.coalesce(last["v"], F.try_element_at("best", F.lit(metric))))
 
 
-def register_external(registry: DataFrame, candidates: DataFrame, files: DataFrame, tasks: tuple[str, ...] = ("detect", "classify")) -> DataFrame:
-    """(weights, model_id, problem) of candidates(weights, name, task, data_yaml, ord) against registry(model_id, weights)
-    and files(path).
-
-    problem: missing_weights, format, missing_yaml or task, in this order; such rows get no id. A weight that is registered
-    already, whatever the case, keeps that id; repeats among the candidates share the first's. New ids are slugs of the
-    name (else of the file's), numbered from _2 on where they are taken."""
+def register_external(registry: DataFrame, candidates: DataFrame, files: DataFrame, datasets: DataFrame | None = None, tasks: tuple[str, ...] = ("detect", "classify")) -> DataFrame:
+    """(ord, weights, model_id, problem, is_new, name, task, classes, note) of candidates(ord, weights, name, task, data_yaml,
+    model_id, classes array<string>, at timestamp) against registry(model_id, weights), files(path) and the class names
+    of datasets(data_yaml, classes).
+
+    problem: missing_weights, format, missing_yaml, task, bad_id or taken_id, in this order; such rows get no id. A weight
+    that is registered already, whatever the case, keeps that card. Of candidates with one weight the first without one of
+    the first four problems claims it, and the others share its outcome. A told id becomes a slug and is refused where the
+    registry or an earlier claim has it; without one the id is ext_<slug>_<time>, with hex digits behind it where that is
+    taken. Classes are those told, else those of the yaml. Sets decide, not one candidate after another: ids are unique."""
     there = files.select("path").distinct()
     rows = candidates.join(there.select(F.col("path").alias("weights"), F.lit(True).alias("__w")), "weights", "left").join(there.select(F.col("path").alias("data_yaml"), F.lit(True).alias("__y")), "data_yaml", "left")
     given = F.coalesce("data_yaml", F.lit("")) != ""
     problem = F.when(F.col("__w").isNull(), "missing_weights").when(~F.lower("weights").endswith(".pt"), "format").when(given & F.col("__y").isNull(), "missing_yaml").when(~F.coalesce(F.col("task").isin(*tasks), F.lit(False)), "task")
-    rows = rows.withColumn("problem", problem).withColumn("key", F.lower("weights"))
+    stem = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.regexp_extract("weights", r"([^/]+?)(\.[^./]*)?$", 1))
+    rows = rows.withColumns({"problem": problem, "key": F.lower("weights"), "name": stem})
     known = registry.groupBy(F.lower("weights").alias("key")).agg(F.min("model_id").alias("known"))
-    good = rows.where("problem is null").groupBy("key").agg(F.min_by(F.struct("name", "weights"), F.struct("ord", "weights")).alias("c"), F.min("ord").alias("ord")).join(known, "key", "left")
-    stem = name_slug(F.coalesce(F.nullif(F.trim("c.name"), F.lit("")), F.regexp_extract("c.weights", r"([^/]+?)(\.[^./]*)?$", 1)), 64)
-    fresh = good.withColumn("stem", F.when(F.col("known").isNull(), F.coalesce(F.nullif(stem, F.lit("")), F.lit("model"))))
-    taken = registry.select(F.regexp_replace("model_id", r"_\d+$", "").alias("stem"), F.coalesce(F.regexp_extract("model_id", r"_(\d+)$", 1).try_cast("int"), F.lit(1)).alias("n")).groupBy("stem").agg(F.max("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("stem").orderBy("ord", "key"))
-    ids = fresh.join(taken, "stem", "left").withColumn("at", place + F.coalesce("n", F.lit(0)))
-    plain = F.when(F.col("at") == 1, F.col("stem")).otherwise(F.concat_ws("_", "stem", "at"))
-    ids = ids.withColumn("plain", plain)
-    clash = ids.where("known is null").groupBy("plain").agg(F.count(F.lit(1)).alias("same")).where("same > 1").select("plain", F.lit(True).alias("clash"))
-    ids = ids.join(clash, "plain", "left")
-    named = ids.select("key", F.coalesce("known", F.when(F.col("clash") & (F.col("at") > 1), F.concat_ws("_", "plain", F.left(F.md5(F.col("key").cast("binary")), F.lit(6)))).otherwise(F.col("plain"))).alias("model_id"))
-    out = rows.join(named, "key", "left")
-    return out.select("weights", F.when(F.col("problem").isNull(), F.col("model_id")).alias("model_id"), "problem")
+    first = rows.where("problem is null").groupBy("key").agg(F.min(F.struct("ord", F.coalesce("model_id", F.lit("")).alias("told"), "name", "at")).alias("c")).select("key", "c.*").join(known, "key", "left")
+    told, slug = name_slug(F.col("told"), 64), F.coalesce(F.nullif(name_slug(F.col("name")), F.lit("")), F.lit("model"))
+    auto = F.concat_ws("_", F.lit("ext"), slug, F.date_format("at", "yyyyMMdd_HHmmss"))
+    first = first.withColumn("id", F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("told") == "", auto).otherwise(told)).withColumn("auto", F.col("known").isNull() & (F.col("told") == ""))
+    taken = registry.select(F.col("model_id").alias("id"), F.lit(True).alias("held")).distinct()
+    fresh = first.where("known is null")
+    firsts = fresh.groupBy("id", "auto").agg(F.min("ord").alias("o"))  # at an id the first claim counts, told ones before automatic ones
+    told_first, auto_first = firsts.where("not auto").select("id", F.col("o").alias("told_o")), firsts.where("auto").select("id", F.col("o").alias("auto_o"))
+    judged = fresh.join(taken, "id", "left").join(told_first, "id", "left").join(auto_first, "id", "left")
+    free = F.col("held").isNull() & F.when(F.col("auto"), F.col("told_o").isNull() & (F.col("auto_o") == F.col("ord"))).otherwise(F.col("told_o") == F.col("ord"))
+    longer = F.concat_ws("_", "id", F.left(F.md5(F.col("key").cast("binary")), F.lit(12)))
+    ids = judged.select("key", F.when((F.col("id") == "") & ~F.col("auto"), "bad_id").when(~F.col("auto") & ~free, "taken_id").alias("why"), F.when(free, F.col("id")).when(F.col("auto"), longer).alias("new_id"), F.col("ord").alias("claim"))
+    out = rows.join(first.where("known is not null").select("key", "known"), "key", "left").join(ids, "key", "left")
+    if datasets is not None:
+        out = out.join(datasets.groupBy("data_yaml").agg(F.first("classes").alias("__classes")), "data_yaml", "left")
+    else:
+        out = out.withColumn("__classes", F.lit(None).cast("array<string>"))
+    why = F.coalesce("problem", "why")
+    none = F.array().cast("array<string>")
+    classes = F.when(F.size(F.coalesce("classes", none)) > 0, F.col("classes")).otherwise(F.coalesce("__classes", none))
+    new = why.isNull() & F.col("known").isNull() & (F.col("claim") == F.col("ord"))
+    return out.select("ord", "weights", F.when(why.isNull(), F.coalesce("known", "new_id")).alias("model_id"), why.alias("problem"), F.coalesce(new, F.lit(False)).alias("is_new"), "name", "task", classes.alias("classes"), F.when(new, F.when(given, "external weights").otherwise("external weights; an evaluation needs a data.yaml")).alias("note"))
 
 
 def find_by_weight(registry: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import box_area
-from visionloom.operators.analytics import check_page
+from visionloom.operators.analytics import after, check_page
 from visionloom.operators.review import filter_images
 
 OBJECT = ["category", "kind", "x1", "y1", "x2", "y2", "score"]
@@ -49,6 +49,14 @@ def page(images: DataFrame, annotations: DataFrame, review: str = "all", offset:
     return nested(rows, annotations.join(F.broadcast(rows.select(F.col("uid").alias("image_uid"))), "image_uid", "left_semi"))
 
 
+def page_after(images: DataFrame, annotations: DataFrame, cursor: tuple[str, str] | None = None, review: str = "all", limit: int = 50) -> DataFrame:
+    """The page after the cursor (rel_path, uid) of the last sample seen, None for the first: what page gives at that
+    offset, without sorting what lies before. The last row's rel_path and uid are the next cursor."""
+    check_page(0, limit)
+    rows = filter_images(after(images, cursor), annotations, review).orderBy("rel_path", "uid").limit(limit)
+    return nested(rows, annotations.join(F.broadcast(rows.select(F.col("uid").alias("image_uid"))), "image_uid", "left_semi"))
+
+
 def only_classes(frames: DataFrame, classes: list[int], column: str = "detections") -> DataFrame:
     """frames whose detections are those of the class indexes."""
     return frames.withColumn(column, F.filter(column, lambda d: d["class_index"].isin(list(classes))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import SPLITS
@@ -18,13 +18,22 @@ def units(images: DataFrame) -> DataFrame:
     return rows.select("unit", "n", F.try_element_at(F.array(*map(F.lit, SPLITS)), (F.col("r") + 1).cast("int")).alias("locked"))
 
 
-def strata(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(unit, stratum): the rarest category of the unit, by name at a tie; __unlabeled__ without one."""
+def _rarest(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(unit, category): the rarest category of the annotated units, by name at a tie."""
     counts = annotations.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
     member = images.select("uid", F.coalesce("grp", "uid").alias("unit"))
-    pairs = annotations.select("image_uid", "category").distinct().join(member, F.expr("image_uid = uid")).select("unit", "category").distinct()
-    rare = pairs.join(F.broadcast(counts), "category").groupBy("unit").agg(F.min(F.struct("total", "category")).alias("s"))
-    return member.select("unit").distinct().join(rare, "unit", "left").select("unit", F.coalesce("s.category", F.lit("__unlabeled__")).alias("stratum"))
+    pairs = annotations.select("image_uid", "category").join(member, F.expr("image_uid = uid")).select("unit", "category").distinct()
+    return pairs.join(counts, "category").groupBy("unit").agg(F.min(F.struct("total", "category")).alias("s")).select("unit", "s.category")
+
+
+def _stratum() -> Column:
+    return F.coalesce("category", F.lit("__unlabeled__")).alias("stratum")
+
+
+def strata(images: DataFrame, annotations: DataFrame) -> DataFrame:
+    """(unit, stratum): the rarest category of the unit, by name at a tie; __unlabeled__ without one."""
+    members = images.select(F.coalesce("grp", "uid").alias("unit")).distinct()
+    return members.join(_rarest(images, annotations), "unit", "left").select("unit", _stratum())
 
 
 def deal_sizes(counts: dict[int, int], share: list[float]) -> dict[int, list[int]]:
@@ -57,10 +66,12 @@ def assign(images: DataFrame, annotations: DataFrame, ratios: tuple[float, float
     if len(ratios) != 3 or min(ratios) < 0 or sum(ratios) <= 0:
         raise ValueError("three ratios of a positive sum are needed")
     share = [r / sum(ratios) for r in ratios]
-    u = units(images) if respect_existing else units(images.withColumn("split", F.lit(None).cast("string")))
-    free = u.where("locked is null").join(strata(images, annotations), "unit")
-    free = free.withColumn("t", F.sha1(F.concat(F.lit(f"{seed}|"), "unit").cast("binary"))).withColumn("b", F.left("t", F.lit(3)))
-    counts = free.groupBy("stratum", "n", "b").agg(F.count(F.lit(1)).alias("c"))
+    u = units(images) if respect_existing else units(images).withColumn("locked", F.lit(None).cast("string"))
+    digest = F.sha1(F.concat(F.lit(f"{seed}|"), "unit").cast("binary"))
+    every = u.join(_rarest(images, annotations), "unit", "left").select("unit", "n", "locked", _stratum(), F.left(digest, F.lit(3)).alias("b"))
+    every = every.repartition("stratum", "n", "b")  # one shuffle, which the counts and the ranks below both read
+    free = F.count(F.when(F.col("locked").isNull(), F.col("unit")))
+    counts = every.groupBy("stratum", "n", "b").agg(free.alias("c"))
     ahead = Window.partitionBy("stratum", "n").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("stratum", "n", "b", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("start"))
 
@@ -70,14 +81,13 @@ def assign(images: DataFrame, annotations: DataFrame, ratios: tuple[float, float
 
     sizes = counts.groupBy("stratum", "n").agg(F.sum("c").alias("c"))
     dealt = sizes.groupBy("stratum").applyInPandas(deal, "stratum string, n long, train long, val long, test long")
-    own = F.row_number().over(Window.partitionBy("stratum", "n", "b").orderBy("t", "unit")) - 1
-    ranked = free.withColumn("own", own).join(starts.join(dealt, ["stratum", "n"]), ["stratum", "n", "b"])
+    own = F.row_number().over(Window.partitionBy("stratum", "n", "b").orderBy(F.col("locked").isNotNull(), digest, "unit")) - 1
+    ranked = every.withColumn("own", own).join(starts.join(dealt, ["stratum", "n"]), ["stratum", "n", "b"])
     rank = F.col("start") + F.col("own")
-    named = ranked.select("unit", F.when(rank < F.col("train"), "train").when(rank < F.col("train") + F.col("val"), "val").otherwise("test").alias("dealt"))
-    named = u.where("locked is not null").select("unit", F.col("locked").alias("dealt")).unionByName(named)
-    names = images.columns
-    rows = images.withColumn("__unit", F.coalesce("grp", "uid")).join(named.withColumnRenamed("unit", "__unit"), "__unit", "left")
-    return rows.withColumn("split", F.col("dealt")).select(*names)
+    place = F.when(rank < F.col("train"), "train").when(rank < F.col("train") + F.col("val"), "val").otherwise("test")
+    named = ranked.select(F.col("unit").alias("__unit"), F.coalesce("locked", place).alias("__dealt"))
+    rows = images.withColumn("__unit", F.coalesce("grp", "uid")).join(named, "__unit", "left")
+    return rows.withColumn("split", F.col("__dealt")).select(*images.columns)
 
 
 def report(images: DataFrame) -> DataFrame:

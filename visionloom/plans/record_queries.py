@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visionloom.functions import display, scalar
-from visionloom.operators import clean, evals, export, jobs, merge, metrics, records, review, samples, split, taxonomy
+from visionloom.operators import analytics, clean, evals, export, hamming, jobs, merge, metrics, records, review, samples, split, taxonomy
 from visionloom.plans import ir
 from visionloom.plans import queries as plain
 from visionloom.plans.ir import annotations, images, load
@@ -33,7 +33,16 @@ def _wanted(s: SparkSession, d: str) -> DataFrame:
 
 
 def _nested(s: SparkSession, d: str) -> DataFrame:
-    return _flat(samples.nested(images(s, d).where("ord % 50 = 1"), annotations(s, d)))
+    return _flat(samples.nested(images(s, d), annotations(s, d))).groupBy("place", "category", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("x1").alias("sum_x1"), F.sum("y2").alias("sum_y2"))
+
+
+def _page_after(s: SparkSession, d: str) -> DataFrame:
+    im = images(s, d).withColumns({"review_status": F.when(F.col("ord") % 3 == 0, "confirmed"), "touched": F.col("ord") % 7 == 0})
+    return _flat(samples.page_after(im, annotations(s, d), ("img/3/3", "o2"), "confirmed", 40))
+
+
+def _browse_after(s: SparkSession, d: str) -> DataFrame:
+    return analytics.browse_after(images(s, d), annotations(s, d), ("img/2/2", ""), 100, split="train", min_edge=300)
 
 
 def _page(s: SparkSession, d: str) -> DataFrame:
@@ -67,11 +76,14 @@ def _model_cards(s: SparkSession, d: str) -> DataFrame:
 
 def _external(s: SparkSession, d: str) -> DataFrame:
     n = F.col("c_custkey")
-    c = load(s, d, "customer").select(F.concat(F.lit("/W/"), (n % 300).cast("string"), F.when(n % 11 == 0, ".onnx").otherwise(".pt")).alias("weights"), F.when(n % 4 > 0, F.concat(F.lit("My model "), (n % 5).cast("string"))).alias("name"), F.when(n % 9 == 0, "segment").otherwise("detect").alias("task"), F.when(n % 3 == 0, F.concat(F.lit("/y/"), (n % 6).cast("string"))).alias("data_yaml"), n.alias("ord"))
+    told = F.when(n % 10 == 1, F.concat(F.lit("my id/"), (n % 70).cast("string"))).when(n % 10 == 2, F.concat(F.lit("m"), (n % 40).cast("string"))).when(n % 50 == 3, "..")
+    c = load(s, d, "customer").select(n.alias("ord"), F.concat(F.lit("/W/"), (n % 700).cast("string"), F.when(n % 11 == 0, ".onnx").otherwise(".pt")).alias("weights"), F.when(n % 4 > 0, F.concat(F.lit("My model "), (n % 5).cast("string"))).alias("name"), F.when(n % 9 == 0, "segment").otherwise("detect").alias("task"), F.when(n % 3 == 0, F.concat(F.lit("/y/"), (n % 6).cast("string"))).alias("data_yaml"), told.alias("model_id"), F.when(n % 7 == 0, F.array(F.lit("cat"))).alias("classes"), F.timestamp_seconds(n % 3).alias("at"))
     k = F.col("s_suppkey")
     known = load(s, d, "supplier").where("s_suppkey % 7 = 0").select(F.concat(F.lit("m"), k.cast("string")).alias("model_id"), F.concat(F.lit("/w/"), k.cast("string"), F.lit(".PT")).alias("weights"))
-    files = c.where("ord % 300 <> 17").select(F.col("weights").alias("path")).unionByName(s.range(0, 3).select(F.concat(F.lit("/y/"), F.col("id").cast("string")).alias("path")))
-    return records.register_external(known, c, files).groupBy("weights", "model_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+    files = c.where("ord % 700 <> 17").select(F.col("weights").alias("path")).unionByName(s.range(0, 3).select(F.concat(F.lit("/y/"), F.col("id").cast("string")).alias("path")))
+    yamls = load(s, d, "nation").select(F.concat(F.lit("/y/"), F.col("n_nationkey").cast("string")).alias("data_yaml"), F.array("n_name").alias("classes"))
+    out = records.register_external(known, c, files, yamls)
+    return out.select("ord", "weights", "model_id", "problem", "is_new", F.array_join("classes", ",").alias("classes"))
 
 
 def _by_weight(s: SparkSession, d: str) -> DataFrame:
@@ -85,7 +97,7 @@ def _run_files(s: SparkSession, d: str) -> DataFrame:
 
 
 def _auto(s: SparkSession, d: str) -> DataFrame:
-    j = load(s, d, "orders").where("o_orderkey < 5000").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run"), F.when(F.col("o_orderkey") % 6 > 0, "/d/data.yaml").alias("data_yaml"), F.when(F.col("o_custkey") % 2 == 0, "images/test").alias("test"), F.when(F.col("o_custkey") % 3 == 0, "classify").alias("task"))
+    j = load(s, d, "orders").select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run"), F.when(F.col("o_orderkey") % 6 > 0, "/d/data.yaml").alias("data_yaml"), F.when(F.col("o_custkey") % 2 == 0, "images/test").alias("test"), F.when(F.col("o_custkey") % 3 == 0, "classify").alias("task"))
     return records.auto_evals(j, _run_files(s, d))
 
 
@@ -240,8 +252,8 @@ def _names(s: SparkSession, d: str) -> DataFrame:
 
 
 def _missing(s: SparkSession, d: str) -> DataFrame:
-    im = images(s, d).withColumn("split", F.when(F.col("ord") % 4 > 0, "train").when(F.col("ord") % 8 == 0, "val").otherwise("test"))
-    return split.missing_classes(im, annotations(s, d).where("image_uid like '%77'"))
+    im = images(s, d).withColumn("split", F.when(F.col("ord") % 2048 == 0, "val").when(F.col("ord") % 2048 == 1024, "test").otherwise("train"))
+    return split.missing_classes(im, annotations(s, d))
 
 
 def _text_names(s: SparkSession, d: str) -> DataFrame:
@@ -320,6 +332,13 @@ def _task(s: SparkSession, d: str) -> DataFrame:
     return samples.dataset_kind(an).select("kind", F.lit(tasks[0]).alias("boxes"), F.lit(tasks[1]).alias("labels"))
 
 
+def _copied_prints(s: SparkSession, d: str) -> DataFrame:
+    """The fingerprints, and of one of them a copy for each order, so a third of all ids or more have it."""
+    prints = plain.prints(s, d)
+    one = prints.orderBy("id").limit(1).select("fp")
+    return prints.unionByName(load(s, d, "orders").select((F.col("o_orderkey") + 10_000_000).alias("id")).crossJoin(F.broadcast(one)))
+
+
 def _near_found(s: SparkSession, d: str) -> DataFrame:
     k = F.col("id") % 1_000_000
     prints = plain.prints(s, d).select(F.concat(F.lit("o"), (k * 2 + F.when(F.col("id") < 1_000_000, 1).otherwise(2)).cast("string")).alias("id"), "fp")
@@ -349,6 +368,8 @@ def queries() -> dict[str, Query]:
     im, an = images, annotations
     return {
         "clean_near_duplicates": _near_found,
+        "near_duplicate_representatives": lambda s, d: hamming.near_representatives(_copied_prints(s, d), 6),
+        "near_duplicate_links": lambda s, d: hamming.near_links(_copied_prints(s, d), 6),
         "clean_file_findings": _file_found,
         "eval_latest": _latest,
         "eval_labels": _labels,
@@ -405,7 +426,9 @@ def queries() -> dict[str, Query]:
         "openlabel_clipped": _clipped,
         "run_preview": _preview,
         "dataset_kind": _task,
-        "clean_rules": lambda s, d: clean.list_rules(im(s, d)),
+        "clean_rules": lambda s, d: clean.list_rules(clean.findings(im(s, d), an(s, d))),
+        "samples_after": _page_after,
+        "browse_after": _browse_after,
         "clean_capped": lambda s, d: clean.cap(clean.findings(im(s, d), an(s, d)), 3).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("image_uid").alias("first")),
         "clean_disabled": lambda s, d: clean.summarize(clean.findings(im(s, d), an(s, d), ("label_duplicate", "image_duplicate_exact"), least_area=0.002)),
     }
@@ -445,10 +468,14 @@ def _listed(rules: list[tuple[str, str]]) -> str:
 def oracle_sql() -> dict[str, str]:
     stamp = lambda e: f"(TIMESTAMP '1970-01-01' + to_seconds({e}))"
     rules = ", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(clean.RULES))
+    given = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in clean.GIVEN_BY.items())
     kb = lambda k: f"printf('%.1f', floor(v / pow(1024.0, {k}) * 10 + 0.5) / 10)"
     frames = _W + ", g AS (SELECT image_uid, CAST(substring(image_uid, 2) AS BIGINT) AS id, count(*) AS n FROM an GROUP BY image_uid)"
     near = plain.NEAR.split("SELECT a.id AS a")[0]
+    copied = near + ", h AS (SELECT * FROM g UNION ALL SELECT o_orderkey + 10000000, (SELECT fp FROM g ORDER BY id LIMIT 1) FROM orders)"
     return {
+        "near_duplicate_representatives": copied + ", r AS (SELECT fp, min(id) AS rep FROM h GROUP BY fp) SELECT least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, CAST(bit_count(xor(a.fp, b.fp)) AS BIGINT) AS distance FROM r a JOIN r b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 6",
+        "near_duplicate_links": copied + ", r AS (SELECT fp, min(id) AS rep, count(*) AS copies FROM h GROUP BY fp), l AS (SELECT a.fp, CAST(sum(b.copies) AS BIGINT) AS links FROM r a JOIN r b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 6 GROUP BY a.fp) SELECT id, rep, copies, coalesce(links, 0) AS links FROM h JOIN r USING (fp) LEFT JOIN l USING (fp)",
         "clean_near_duplicates": near + f""", pr AS (SELECT 'o' || CASE WHEN id < 1000000 THEN id * 2 + 1 ELSE (id - 1000000) * 2 + 2 END AS uid, fp FROM g), {_W.removeprefix("WITH ")},
  p AS (SELECT CASE WHEN (x.ord, x.uid) < (y.ord, y.uid) THEN y.uid ELSE x.uid END AS image_uid, x.split AS s, y.split AS t, bit_count(xor(a.fp, b.fp)) AS n FROM pr a JOIN pr b ON a.uid < b.uid AND bit_count(xor(a.fp, b.fp)) <= 6 JOIN im x ON x.uid = a.uid JOIN im y ON y.uid = b.uid)
 SELECT CASE WHEN s <> t THEN 'leak_near_duplicate_across_splits' ELSE 'image_duplicate_near' END AS rule, CASE WHEN s <> t THEN 'error' ELSE 'info' END AS severity, image_uid, CAST(n AS BIGINT) AS n FROM p""",
@@ -459,22 +486,26 @@ SELECT CASE WHEN s <> t THEN 'leak_near_duplicate_across_splits' ELSE 'image_dup
         "box_columns": _W + f" SELECT category, kind = 'bbox' AND x1 IS NOT NULL AS is_bbox, count(*) AS n, sum({_AREA}) AS area, sum(x2 - x1) AS width, sum(y2 - y1) AS height, sum(x2) AS x2 FROM an GROUP BY ALL",
         "images_of_split": _W + " SELECT count(*) AS n, min(uid) AS first FROM im WHERE split = 'val'",
         "annotations_of": _W + " SELECT image_uid, category, ord FROM an WHERE image_uid IN (SELECT uid FROM im WHERE ord % 500 = 0)",
-        "sample_nested": _W + f" SELECT uid, rel_path, {_OBJECTS} FROM im LEFT JOIN an ON image_uid = uid WHERE im.ord % 50 = 1",
+        "sample_nested": _W + f", o AS (SELECT {_OBJECTS} FROM im LEFT JOIN an ON image_uid = uid) SELECT place, category, kind, count(*) AS n, sum(x1) AS sum_x1, sum(y2) AS sum_y2 FROM o GROUP BY place, category, kind",
         "review_page": _W + f", p AS (SELECT uid, rel_path FROM im WHERE ord % 3 = 0 ORDER BY rel_path, uid LIMIT 40 OFFSET 10) SELECT uid, rel_path, {_OBJECTS} FROM p LEFT JOIN an ON image_uid = uid",
         "infer_only_classes": "WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS ci FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, ci) AS place FROM x) SELECT vec_id, CAST(count(*) FILTER (ci IN (0, 1, 2, 3, 5, 8)) AS INT) AS kept, CAST(coalesce(sum(ci) FILTER (ci IN (0, 1, 2, 3, 5, 8)), 0) AS INT) AS total FROM r WHERE place <= 8 GROUP BY vec_id",
         "cards_newest": "SELECT event_id AS id, '2024-01-' || lpad(CAST(event_id % 28 + 1 AS VARCHAR), 2, '0') AS created_at, event_type AS state FROM events WHERE event_id % 13 <> 0 AND event_id % 17 <> 0 ORDER BY created_at DESC, id DESC LIMIT 50",
         "run_lineage": "SELECT s_name AS dataset, count(*) AS runs FROM orders LEFT JOIN supplier ON o_orderkey % 5 <> 0 AND s_suppkey = o_custkey % 400 GROUP BY s_name",
         "model_metric": "WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'click'), b AS (SELECT user_id, max(value) AS m FROM events GROUP BY 1) SELECT b.user_id AS model_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value END, m) AS value FROM b LEFT JOIN (SELECT * FROM e WHERE k = 1) l USING (user_id)",
-        "register_external": """WITH c AS (SELECT c_custkey AS n, '/W/' || (c_custkey % 300) || CASE WHEN c_custkey % 11 = 0 THEN '.onnx' ELSE '.pt' END AS weights, CASE WHEN c_custkey % 4 > 0 THEN 'My_model_' || (c_custkey % 5) ELSE CAST(c_custkey % 300 AS VARCHAR) END AS stem,
-  CASE WHEN c_custkey % 300 = 17 THEN 'missing_weights' WHEN c_custkey % 11 = 0 THEN 'format' WHEN c_custkey % 6 = 3 THEN 'missing_yaml' WHEN c_custkey % 9 = 0 THEN 'task' END AS problem FROM customer),
- k AS (SELECT '/w/' || s_suppkey || '.pt' AS key, min('m' || s_suppkey) AS known FROM supplier WHERE s_suppkey % 7 = 0 GROUP BY 1),
- g AS (SELECT * FROM (SELECT lower(weights) AS key, stem, n, row_number() OVER (PARTITION BY lower(weights) ORDER BY n) AS r FROM c WHERE problem IS NULL) WHERE r = 1),
- f AS (SELECT key, known, stem, row_number() OVER (PARTITION BY known IS NULL, stem ORDER BY n, key) AS place FROM g LEFT JOIN k USING (key)),
- i AS (SELECT key, coalesce(known, CASE WHEN place = 1 THEN stem ELSE stem || '_' || place END) AS id FROM f)
-SELECT weights, CASE WHEN problem IS NULL THEN id END AS model_id, problem, count(*) AS n FROM c LEFT JOIN i ON i.key = lower(weights) GROUP BY ALL""",
+        "register_external": """WITH c AS (SELECT c_custkey AS n, '/W/' || (c_custkey % 700) || CASE WHEN c_custkey % 11 = 0 THEN '.onnx' ELSE '.pt' END AS weights, CASE WHEN c_custkey % 4 > 0 THEN 'My_model_' || (c_custkey % 5) ELSE CAST(c_custkey % 700 AS VARCHAR) END AS slug,
+  CASE WHEN c_custkey % 700 = 17 THEN 'missing_weights' WHEN c_custkey % 11 = 0 THEN 'format' WHEN c_custkey % 6 = 3 THEN 'missing_yaml' WHEN c_custkey % 9 = 0 THEN 'task' END AS problem,
+  CASE WHEN c_custkey % 10 = 1 THEN 'my_id_' || (c_custkey % 70) WHEN c_custkey % 10 = 2 THEN 'm' || (c_custkey % 40) WHEN c_custkey % 50 = 3 THEN '' END AS told,
+  CASE WHEN c_custkey % 7 = 0 THEN 'cat' WHEN c_custkey % 3 = 0 THEN (SELECT n_name FROM nation WHERE n_nationkey = c_custkey % 6) ELSE '' END AS classes FROM customer),
+ h AS (SELECT '/w/' || s_suppkey || '.pt' AS key, 'm' || s_suppkey AS known FROM supplier WHERE s_suppkey % 7 = 0),
+ f AS (SELECT lower(weights) AS key, n, told IS NULL AS auto, coalesce(told, 'ext_' || slug || '_19700101_00000' || (n % 3)) AS id FROM (SELECT *, row_number() OVER (PARTITION BY lower(weights) ORDER BY n) AS r FROM c WHERE problem IS NULL) WHERE r = 1),
+ j AS (SELECT *, id IN (SELECT known FROM h) AS held, min(n) FILTER (NOT auto) OVER (PARTITION BY id) AS tf, min(n) FILTER (auto) OVER (PARTITION BY id) AS af FROM f WHERE key NOT IN (SELECT key FROM h)),
+ e AS (SELECT *, NOT held AND CASE WHEN auto THEN tf IS NULL AND af = n ELSE tf = n END AS free FROM j),
+ g AS (SELECT key, n AS claim, CASE WHEN id = '' THEN 'bad_id' WHEN NOT auto AND NOT free THEN 'taken_id' END AS why, CASE WHEN free THEN id WHEN auto THEN id || '_' || left(md5(key), 12) END AS new_id FROM e)
+SELECT c.n AS ord, c.weights, CASE WHEN coalesce(problem, why) IS NULL THEN coalesce(known, new_id) END AS model_id, coalesce(problem, why) AS problem, problem IS NULL AND why IS NULL AND known IS NULL AND claim = n AS is_new, classes
+FROM c LEFT JOIN h ON h.key = lower(weights) LEFT JOIN g ON g.key = lower(weights)""",
         "registry_by_weight": "SELECT '/w/' || n_nationkey || '.PT' AS weights, min(s_name) AS model_id FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey",
         "model_for_job": f"WITH {_RUN} SELECT run, weights, is_best FROM w",
-        "auto_eval": f"WITH {_RUN}, j AS (SELECT run, weights, CASE WHEN o_custkey % 2 = 0 THEN 'test' ELSE 'val' END AS split, CASE WHEN o_custkey % 3 = 0 THEN 'classify' ELSE 'detect' END AS task FROM orders JOIN w ON r = o_orderkey WHERE o_orderkey < 5000 AND o_orderkey % 6 > 0) SELECT run, weights, '/d/data.yaml' AS data_yaml, split, task, run || '_' || split AS tag FROM j",
+        "auto_eval": f"WITH {_RUN}, j AS (SELECT run, weights, CASE WHEN o_custkey % 2 = 0 THEN 'test' ELSE 'val' END AS split, CASE WHEN o_custkey % 3 = 0 THEN 'classify' ELSE 'detect' END AS task FROM orders JOIN w ON r = o_orderkey WHERE o_orderkey % 6 > 0) SELECT run, weights, '/d/data.yaml' AS data_yaml, split, task, run || '_' || split AS tag FROM j",
         "weights_discovered": "WITH u AS (SELECT '/W/' || (s_suppkey % 50) AS path, s_name AS label, 0 AS rank FROM supplier UNION ALL SELECT '/w/' || ((c_custkey + i) % 90), c_name, 1 FROM customer, range(3) t(i) WHERE (c_custkey + i) % 4 > 0), r AS (SELECT *, row_number() OVER (PARTITION BY lower(path) ORDER BY rank, label, path) AS k FROM u WHERE CAST(regexp_extract(path, '[0-9]+') AS INT) < 70) SELECT path, label, CASE rank WHEN 0 THEN 'registry' ELSE 'deploy' END AS origin FROM r WHERE k = 1",
         "metric_resume": "WITH a AS (SELECT user_id % 20 AS run_id, event_id % 3 AS attempt, CAST(event_id % 40 + event_id % 3 * 5 AS INT) AS epoch, event_type AS metric, max(value) AS value FROM events GROUP BY ALL), l AS (SELECT run_id, epoch, max(attempt) AS attempt FROM a GROUP BY ALL) SELECT run_id, epoch, metric, value FROM a JOIN l USING (run_id, epoch, attempt)",
         "client_logs": f"WITH {_LOGS}, h AS (SELECT * FROM r WHERE seq <= run_id % 4), m AS (SELECT run_id, max(seq) AS s FROM h GROUP BY 1) SELECT run_id, seq, line FROM h UNION ALL SELECT run_id, seq, line FROM r LEFT JOIN m USING (run_id) WHERE seq >= run_id % 3 AND seq > coalesce(s, -1)",
@@ -515,7 +546,7 @@ SELECT n AS id, string_agg(o, ',' ORDER BY o) AS options FROM a GROUP BY n""",
         "merge_images": _W + ", c AS (SELECT image_uid, count(*) AS n FROM an GROUP BY 1), u AS (SELECT source_id, uid, n FROM im LEFT JOIN c ON image_uid = uid WHERE ord % 3 <> 0 UNION ALL SELECT 'right', CASE WHEN ord % 3 <> 0 THEN left(sha1(concat_ws(chr(31), 'dedup', 'b/' || rel_path, uid)), 16) ELSE uid END, n FROM im LEFT JOIN c ON image_uid = uid WHERE ord % 2 = 0 AND (ord % 3 = 0 OR ord % 5 = 0)) SELECT source_id, count(*) AS images, count(DISTINCT uid) AS uids, CAST(sum(n) AS BIGINT) AS annotations, max(uid) AS last FROM u GROUP BY 1",
         "category_order": _W + ", f AS (SELECT category, image_uid, ord, row_number() OVER (PARTITION BY category ORDER BY image_uid, ord) AS k FROM an), r AS (SELECT 'NEVER SEEN' AS category, 0 AS late, 0 AS place, '' AS image_uid, 0 AS ord UNION ALL SELECT 'PROMO BRUSHED TIN', 0, 1, '', 0 UNION ALL SELECT category, 1, 0, image_uid, ord FROM f WHERE k = 1 AND category <> 'PROMO BRUSHED TIN') SELECT category, CAST(row_number() OVER (ORDER BY late, place, image_uid, ord, category) - 1 AS INT) AS ord FROM r",
         "class_name_issues": "WITH c AS (SELECT DISTINCT CASE p_partkey % 40 WHEN 0 THEN ' padded' WHEN 1 THEN 'a/b' WHEN 2 THEN '' WHEN 3 THEN '..' WHEN 4 THEN repeat('x', 101) WHEN 5 THEN 'Small-Box' WHEN 6 THEN 'small box' ELSE p_type END AS name FROM part), k AS (SELECT name, regexp_replace(lower(name), '[^0-9a-z]+', '', 'g') AS key FROM c) SELECT name, 'blank' AS issue, 'error' AS severity FROM c WHERE trim(name) = '' UNION ALL SELECT name, 'padded', 'warning' FROM c WHERE trim(name) NOT IN ('', name) UNION ALL SELECT name, 'illegal_character', 'error' FROM c WHERE contains(name, '/') UNION ALL SELECT name, 'reserved', 'error' FROM c WHERE name IN ('.', '..') UNION ALL SELECT name, 'too_long', 'warning' FROM c WHERE length(name) > 100 UNION ALL SELECT name, 'duplicate_key', 'warning' FROM k WHERE key <> '' AND key IN (SELECT key FROM k GROUP BY key HAVING count(*) > 1)",
-        "split_missing_classes": _W + f", j AS (SELECT category, count(*) FILTER (im.ord % 8 = 0) AS v, count(*) FILTER (im.ord % 8 = 4) AS t FROM {_J} WHERE image_uid LIKE '%77' GROUP BY 1) SELECT 'val' AS split, category FROM j WHERE v = 0 UNION ALL SELECT 'test', category FROM j WHERE t = 0",
+        "split_missing_classes": _W + f", j AS (SELECT category, count(*) FILTER (im.ord % 2048 = 0) AS v, count(*) FILTER (im.ord % 2048 = 1024) AS t FROM {_J} GROUP BY 1) SELECT 'val' AS split, category FROM j WHERE v = 0 UNION ALL SELECT 'test', category FROM j WHERE t = 0",
         "split_report": _W + " SELECT split, count(*) AS images, round(count(*) / (SELECT count(*) FROM im), 6) AS share FROM im GROUP BY split",
         "path_names": "WITH o AS (SELECT o_orderkey AS n, o_orderkey % 4 AS m, o_custkey % 9 AS c, regexp_replace(o_orderpriority, '[^0-9A-Za-z_-]', '_', 'g') AS slug FROM orders) SELECT CASE m WHEN 0 THEN 'train' WHEN 1 THEN 'test' WHEN 2 THEN 'val' END AS split, 'cam' || c || '_' AS stem, CASE m WHEN 0 THEN 'Train' WHEN 1 THEN 'latest' WHEN 3 THEN 'other' END AS parent, CAST(c AS VARCHAR) AS cam, slug, CASE m WHEN 0 THEN 'train' WHEN 2 THEN 'val' END AS named, count(*) AS n, max(n) AS last FROM o GROUP BY m, c, slug",
         "yolo_boxes": "WITH l AS (SELECT l_quantity / 64 AS xc, l_linenumber / 8.0::DOUBLE AS yc, l_linenumber * 64 AS h FROM lineitem) SELECT sum(xc * 640 - 80) AS x1, sum(yc * h - 0.25 * h) AS y1, sum(xc * 640 + 80) AS x2, sum(yc * h + 0.25 * h) AS y2, count(*) AS n FROM l",
@@ -528,7 +559,9 @@ SELECT n AS id, string_agg(o, ',' ORDER BY o) AS options FROM a GROUP BY n""",
         "openlabel_clipped": "WITH iv AS (SELECT c_custkey % 5 AS video, c_mktsegment AS label, c_custkey % 1500 - 3 AS s, CASE WHEN c_custkey % 50 = 0 THEN 1000000000000 ELSE c_custkey % 1500 + c_custkey % 7 END AS e FROM customer), f AS (SELECT DISTINCT o_custkey % 5 AS video, o_orderkey % 1500 AS frame FROM orders) SELECT f.video, label, count(*) AS frames FROM f JOIN iv ON f.video = iv.video AND frame BETWEEN s AND e GROUP BY ALL",
         "run_preview": "WITH n AS (SELECT DISTINCT p_partkey % 4 AS g, lpad(CAST(p_partkey % 300 AS VARCHAR), 3, '0') AS i FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY i) AS k FROM n WHERE g < 3) SELECT (['val_pred', 'val_labels', 'train_batch'])[g + 1] AS grp, CASE g WHEN 0 THEN 'val_batch' || i || '_pred.jpg' WHEN 1 THEN 'val_batch' || i || '_labels.jpg' ELSE 'train_batch' || i || '.jpg' END AS name FROM r WHERE k <= 2",
         "dataset_kind": _W + " SELECT CASE WHEN bool_or(x1 IS NOT NULL) AND bool_or(kind = 'image') THEN 'mixed' END AS kind, 'detection' AS boxes, 'classification' AS labels FROM an",
-        "clean_rules": f"SELECT * FROM (VALUES {rules}) v(ord, rule, severity, action)",
+        "clean_rules": f"WITH s AS ({plain.oracle_sql()['clean_summary']}), g AS (SELECT CASE rule {given} ELSE rule END AS rule, CAST(sum(findings) AS BIGINT) AS n FROM s GROUP BY 1) SELECT ord, v.rule, severity, action, coalesce(n, 0) AS findings FROM (VALUES {rules}) v(ord, rule, severity, action) LEFT JOIN g ON g.rule = v.rule",
+        "samples_after": _W + f", p AS (SELECT * FROM im WHERE ord % 3 = 0 AND (rel_path > 'img/3/3' OR (rel_path = 'img/3/3' AND uid > 'o2')) ORDER BY rel_path, uid LIMIT 40) SELECT uid, rel_path, {_OBJECTS} FROM p LEFT JOIN an ON image_uid = uid",
+        "browse_after": _W + ", p AS (SELECT uid, rel_path FROM im WHERE split = 'train' AND greatest(width, height) >= 300 AND rel_path >= 'img/2/2' ORDER BY rel_path, uid LIMIT 100) SELECT uid, rel_path, count(image_uid) AS objects FROM p LEFT JOIN an ON image_uid = uid GROUP BY ALL",
         "clean_capped": _W + _FOUND + " SELECT rule, least(3, count(*)) AS n, min(uid) AS first FROM fs WHERE rule <> 'label_box_too_small' GROUP BY rule",
         "clean_disabled": _W + _FOUND + " SELECT rule, severity, count(*) AS findings, CAST(sum(n) AS BIGINT) AS total FROM fs WHERE rule NOT IN ('label_duplicate', 'image_duplicate_exact', 'leak_duplicate_across_splits') GROUP BY ALL",
     }
