@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
 from html import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visionloom.operators import analytics
 from visionloom.operators.samples import nested
+from visionloom.sources.images import decoded
+from visionloom.sources.listing import exists, qualified
+from visionloom.sources.thumbs import thumbnails
 
 BAR, GAP, LEFT, WIDE = 18, 6, 160, 640
 
@@ -69,39 +71,28 @@ def imbalance_note(annotations: DataFrame) -> str:
     return f"<p>{escape('; '.join(parts))}</p>"
 
 
-def pictures(images: DataFrame, annotations: DataFrame, path: str, limit: int = 24, most_bytes: int = 3_000_000) -> str:
-    """Sample images of every class in turn with their boxes drawn over; a file over most_bytes, or one that can't be read
-    or shown, leaves an empty frame. `limit` files reach the driver."""
+def pictures(images: DataFrame, annotations: DataFrame, path: str, limit: int = 24, edge: int = 200, most_bytes: int = 30_000) -> str:
+    """Sample images of every class in turn with their boxes drawn over, however large their files: tasks decode and shrink
+    them, and `limit` small pictures of at most most_bytes each reach the driver. One that can't be read or decoded leaves
+    an empty frame."""
     spark = images.sparkSession
     sample = analytics.round_robin(images, annotations, limit).select("uid")
     rows = nested(images.join(F.broadcast(sample), "uid", "left_semi"), annotations).where("width > 0 and height > 0").select("uid", path, "width", "height", "objects").collect()
-    kinds = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "webp": "webp"}
-    paths = [r[path] for r in rows if r[path] and r[path].rsplit(".", 1)[-1].lower() in kinds]
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.assign(b=[_base64(x, most_bytes) for x in p["path"]])
-
-    data = {r["path"]: r["b"] for r in spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(read, "path string, b string").collect()} if paths else {}
+    there = [p for p in {r[path]: qualified(spark, r[path]) for r in rows if r[path]}.items() if exists(spark, p[1])]
+    data = {_plain(r["path"]): base64.b64encode(r["png"]).decode() for r in thumbnails(decoded(spark, [p for _, p in there]), edge, most_bytes).collect()} if there else {}
+    data = {own: data.get(_plain(p)) for own, p in there}
     out = []
     for r in rows:
         held = data.get(r[path])
-        src = f'<image width="{r["width"]}" height="{r["height"]}" href="data:image/{kinds[r[path].rsplit(".", 1)[-1].lower()]};base64,{held}"/>' if held else ""
+        src = f'<image width="{r["width"]}" height="{r["height"]}" href="data:image/png;base64,{held}"/>' if held else ""
         boxes = "".join(f'<rect x="{o["x1"]:g}" y="{o["y1"]:g}" width="{o["x2"] - o["x1"]:g}" height="{o["y2"] - o["y1"]:g}" fill="none" stroke="#d33" stroke-width="{max(1, r["width"] // 200)}"/>' for o in r["objects"] if o["x1"] is not None)
         names = ", ".join(dict.fromkeys(str(o["category"]) for o in r["objects"]))
         out.append(f'<figure><svg width="200" viewBox="0 0 {r["width"]} {r["height"]}"><rect width="100%" height="100%" fill="#f4f4f4"/>{src}{boxes}</svg><figcaption>{escape(names)}</figcaption></figure>')
     return "".join(out)
 
 
-def _base64(path: str, most_bytes: int) -> str | None:
-    from visionloom.operators.export import _filesystem
-
-    try:
-        files, at = _filesystem(path.replace("file:/", "/", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-        with files.open_input_file(at) as f:
-            return base64.b64encode(f.read()).decode() if f.size() <= most_bytes else None
-    except OSError:
-        return None
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
 
 
 def write_report(html: str, out: str) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import posixpath
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -13,8 +16,10 @@ from visionloom.functions.scalar import SPLIT_ALIASES, make_uid, normalize_split
 from visionloom.operators.merge import merge
 from visionloom.plans.ir import ANNOTATIONS, IMAGES
 from visionloom.sources import formats, images as pictures
+from visionloom.sources.listing import as_listed, exists, list_files, qualified
 
 FORMATS = ["openlabel", "coco", "voc", "labelme", "yolo"]  # in the order they are tried
+MOST_YAMLS = 200
 _SPLIT_NAME = "|".join(sorted(SPLIT_ALIASES, key=len, reverse=True))
 
 
@@ -29,23 +34,11 @@ class Dataset:
     sources: list[dict] | None = None
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel, size) of every file below root that is not empty (file scans leave empty ones out); contents are not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
-    base = "/" + root.split("://")[-1].strip("/") + "/"
-    return raw.select("path", F.expr(f"substring(path, locate({base!r}, path) + {len(base)})").alias("rel"), "size")
-
-
 def _local(path: str | Column) -> Column:
     """A path with local files written one way."""
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def _read_from(uri: str | Column) -> Column:
-    """The path in list_files of what input_file_name gives, which is encoded."""
-    return _local(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
-
-
 def _extension(rel: str = "rel") -> Column:
     return F.lower(F.regexp_extract(rel, r"\.([^./]+)$", 1))
 
@@ -100,15 +93,19 @@ def formats_of(spark: SparkSession, root: str) -> list[str]:
 
 
 def read_yaml(spark: SparkSession, files: DataFrame) -> dict:
-    """The dataset's yaml: data, dataset, else the first by name that has names; {} where there is none."""
+    """The dataset's yaml: data, dataset, else the first by name that has names; {} where there is none. All candidates
+    at the top of the folder, MOST_YAMLS at most, are read in one job."""
     import yaml
 
     known = ["data.yaml", "dataset.yaml", "data.yml", "dataset.yml"]
     rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, known)), F.col("rel")), F.lit(0)), F.lit(len(known) + 1))
-    rows = files.where(_extension().isin("yaml", "yml") & ~F.col("rel").contains("/")).select("path", "rel").orderBy(rank, "rel")
-    for r in rows.toLocalIterator():
+    rows = files.where(_extension().isin("yaml", "yml") & ~F.col("rel").contains("/") & (F.col("size") > 0)).select("path", "rel").orderBy(rank, "rel").limit(MOST_YAMLS).collect()
+    if not rows:
+        return {}
+    texts = {r["path"]: r["value"] for r in spark.read.text([r["path"] for r in rows], wholetext=True).select(as_listed(F.input_file_name()).alias("path"), "value").collect()}
+    for r in rows:
         try:
-            doc = yaml.safe_load(spark.read.text(r["path"], wholetext=True).first()["value"]) or {}
+            doc = yaml.safe_load(texts.get(r["path"]) or "") or {}
         except yaml.YAMLError:
             continue
         if isinstance(doc, dict) and (doc.get("names") or r["rel"] in known):
@@ -156,15 +153,38 @@ def _pool(ims: DataFrame, told: list[tuple[str, str]]) -> tuple[Column, Column]:
     return (flat if seen["flat"] else ~rel.contains("/")), F.lit(None).cast("string")
 
 
+def _named_folders(root: str, doc: dict) -> list[tuple[str, str, str | None]]:
+    """(prefix of rel_path, split, folder if it lies outside) of the folders that the yaml names: relative ones from the
+    root, with . and .. resolved, absolute ones as they are. A folder named twice comes twice."""
+    scheme, top = re.match(r"^([a-z0-9]+:(?://[^/]*)?)?(/.*)$", root).groups()
+    out = []
+    for k in ("train", "val", "valid", "test"):
+        for v in doc[k].split(",") if isinstance(doc.get(k), str) else []:
+            if v.strip():
+                rel = posixpath.relpath(posixpath.join(top, re.sub(r"^[a-z0-9]+:(//[^/]*)?(?=/)", "", v.strip())), top)
+                outside = rel == ".." or rel.startswith("../")
+                out.append(("" if rel == "." else rel + "/", k, (scheme or "") + posixpath.normpath(posixpath.join(top, rel)) if outside else None))
+    return out
+
+
+def _labels_of(folder: str) -> str:
+    """The folder of labels that mirrors one of images."""
+    return re.sub(r"(^|/)images(/?)((?:(?!(?:^|/)images(?:/|$)).)*)$", r"\1labels\2\3", folder)
+
+
 def load_yolo(spark: SparkSession, root: str, source_id: str = "src", group_by: str | None = None) -> Dataset:
-    """Splits come from the yaml's folders, else from <split>/images or images/<split>, else there are none; a label file
+    """Splits come from the yaml's folders, inside the root or not (then rel_path starts with ..), else from <split>/images or images/<split>, else there are none; a label file
     is looked for in the labels folder that mirrors the images folder, then beside the image. Lines of unknown classes are
     left out."""
     files = list_files(spark, root)
     doc = read_yaml(spark, files)
     names = class_names(doc)
+    named, read_below = _named_folders(qualified(spark, root), doc), [root]
+    told = [(prefix, split) for prefix, split, _ in named]
+    for prefix, folder in dict.fromkeys(x for own, _, outside in named if outside for x in ((own, outside), (_labels_of(own), _labels_of(outside)))):
+        files = files.unionByName(list_files(spark, folder).withColumn("rel", F.concat(F.lit(prefix), "rel")))
+        read_below += [folder] if exists(spark, folder) else []
     ims = _image_files(files, root, source_id)
-    told = [(v.strip().removeprefix("./").strip("/") + "/", k) for k in ("train", "val", "valid", "test") if isinstance(doc.get(k), str) for v in doc[k].split(",") if v.strip()]
     which, split = _pool(ims, told)
     ims = ims.where(which).withColumn("split", split).withColumn("grp", group_from(F.col("rel_path"), group_by))
     own = _without_extension(F.col("rel_path"))
@@ -172,7 +192,7 @@ def load_yolo(spark: SparkSession, root: str, source_id: str = "src", group_by:
     wanted = ims.select("uid", "width", "height", F.posexplode(F.array_distinct(F.array(mirror, own))).alias("rank", "key"))
     texts = files.where(_extension() == "txt").select("path", _without_extension(F.col("rel")).alias("key"), F.col("rel"))
     chosen = wanted.join(texts, "key").groupBy("uid", "width", "height").agg(F.min_by("path", "rank").alias("path"))
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(read_below, wholetext=True)
     lines = raw.select(F.regexp_replace(F.input_file_name(), "^file:/+", "file:/").alias("path"), F.explode(F.split("value", r"\r?\n")).alias("s"))
     p = F.split(F.trim("s"), r"\s+")
     num = [F.get(p, F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("k", "xc", "yc", "w", "h"))]
@@ -193,12 +213,12 @@ def load_coco(spark: SparkSession, root: str, source_id: str = "src") -> Dataset
     docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(root, wholetext=True)
     keys = F.json_object_keys(F.regexp_replace("value", "^\ufeff", ""))
     three = F.size(F.array_intersect(keys, F.array(*map(F.lit, ("images", "annotations", "categories"))))) == 3
-    found = docs.where(three).select(_read_from(F.input_file_name()).alias("file")).join(files, "file").select("file", "rel")
+    found = docs.where(three).select(as_listed(F.input_file_name()).alias("file")).join(files, "file").select("file", "rel")
     paths = [r["file"] for r in found.orderBy("rel").collect()]
     if not paths:
         raise ValueError(f"no annotation file below {root}")
     im, an = formats.coco_files(spark, paths, source_id)
-    im = im.withColumn("file", _read_from(F.col("file"))).join(F.broadcast(found), "file")
+    im = im.withColumn("file", as_listed(F.col("file"))).join(F.broadcast(found), "file")
     split = F.coalesce(split_from_text(F.col("rel")), split_from_text(F.col("rel_path")))
     first = im.withColumn("split", split).groupBy("uid").agg(F.min_by(F.struct("rel_path", "width", "height", "grp", "split", "rel"), "rel").alias("i")).select("uid", "i.*")
     bare = first.where("coalesce(width, 0) <= 0 or coalesce(height, 0) <= 0").select("uid", F.col("rel").alias("rel_file"), F.col("rel_path").alias("file_name"))
@@ -236,7 +256,7 @@ def _resolve(rows: DataFrame, ims: DataFrame, exact: list[Column], any_extension
 def _rel_of(uri: Column, root: str) -> Column:
     """A read file's path below root."""
     base = "/" + root.split("://")[-1].strip("/") + "/"
-    at = _read_from(uri)
+    at = as_listed(uri)
     return F.regexp_replace(at, r"^.*?\Q" + base + r"\E", "")
 
 
@@ -345,8 +365,8 @@ def detect_format(spark: SparkSession, root: str) -> str | None:
         try:
             if (name in known) if adapter.load is LOADERS.get(name) else adapter.detect(spark, root):
                 return name
-        except Exception:  # noqa: BLE001  a detector's failure means no
-            continue
+        except (ValueError, KeyError, TypeError, AttributeError, OSError) as e:  # the adapter's own fault means no
+            logging.getLogger(__name__).warning("detector of %s failed on %s: %r", name, root, e)
     return None
 
 

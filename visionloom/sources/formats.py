@@ -6,18 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import make_uid, yolo_to_xyxy
+from visionloom.sources.listing import list_files
 
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "bmp", "gif", "tif", "tiff", "webp"]
 STEM = r"([^/]+?)(\.[^./]+)?$"
 
 
 def list_images(spark: SparkSession, root: str, source_id: str = "src") -> DataFrame:
-    """(uid, rel_path, path, size) of the image files below root; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size"))
-    files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(IMAGE_SUFFIXES))
-    base = F.regexp_replace(F.lit(root), "^(file:)?/*", "/")
-    rel = F.regexp_replace(F.expr("substring(regexp_replace(path, '^file:/*', '/'), length(__root) + 1)"), "^/+", "")
-    return files.withColumn("__root", base).withColumn("rel_path", rel).select(make_uid(F.lit(source_id), F.lit(root), F.col("rel_path")).alias("uid"), "rel_path", "path", "size")
+    """(uid, rel_path, path, size) of the image files below root, empty ones included; contents are not read."""
+    files = list_files(spark, root).where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(IMAGE_SUFFIXES))
+    return files.select(make_uid(F.lit(source_id), F.lit(root), F.col("rel")).alias("uid"), F.col("rel").alias("rel_path"), "path", "size")
 
 
 def yolo_labels(spark: SparkSession, labels_dir: str, names: list[str]) -> DataFrame:

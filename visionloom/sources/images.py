@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visionloom.sources.formats import IMAGE_SUFFIXES
+from visionloom.sources.listing import as_listed, list_files, store_of
+
 HEAD = 1 << 16  # bytes read for a header; a JPEG whose frame lies beyond is read whole
 
 
@@ -119,14 +122,40 @@ def turned(probed: DataFrame) -> DataFrame:
     return probed.where(F.col("orientation").isNotNull() & ~F.col("orientation").isin(0, 1))
 
 
-def decoded(spark: SparkSession, root: str) -> DataFrame:
-    """(path, width, height, channels, data): pixels by rows, blue first; sizes are -1 where a file can't be decoded."""
+def decoded(spark: SparkSession, root: str | list[str]) -> DataFrame:
+    """(path, width, height, channels, data): pixels by rows, blue first; sizes are -1 where a file can't be decoded, and -2
+    where it is a sound WebP of a kind that isn't decoded here (lossy or animated)."""
     raw = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(root)
-    return raw.select("image.origin", "image.width", "image.height", "image.nChannels", "image.data").toDF("path", "width", "height", "channels", "data")
+    rest = raw.select(as_listed("image.origin"), "image.width", "image.height", "image.nChannels", "image.data").toDF("path", "width", "height", "channels", "data")
+    webp = F.lower("path").endswith(".webp")
+    return rest.where(~webp).unionByName(decoded_webp(rest.where(webp).select("path")))
+
+
+def decoded_webp(files: DataFrame) -> DataFrame:
+    """The same of the WebP files of the column path, read and decoded in tasks; lossless ones have four channels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from visionloom.sources import webp
+
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                try:
+                    held, at, _ = store_of(uri if ":" in uri else "file:" + uri)
+                    with held.open_input_file(at) as f:
+                        kind, px = webp.decode(f.read())
+                except OSError:
+                    kind, px = "broken", None
+                size = -1 if kind == "broken" else -2
+                row = (px.shape[1], px.shape[0], 4, px[..., [2, 1, 0, 3]].tobytes()) if px is not None else (size, size, size, b"")
+                yield pa.RecordBatch.from_arrays([pa.array([uri]), *[pa.array([v], pa.int32()) for v in row[:3]], pa.array([row[3]], pa.binary())], names=["path", "width", "height", "channels", "data"])
+
+    return files.select("path").mapInArrow(run, "path string, width int, height int, channels int, data binary")
 
 
 def unreadable(spark: SparkSession, root: str) -> DataFrame:
-    return decoded(spark, root).where("width < 0").select("path")
+    """(path) of image files that are empty or can't be decoded. A sound lossy WebP is readable, though not decoded here."""
+    empty = list_files(spark, root).where("size = 0").where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(IMAGE_SUFFIXES))
+    return decoded(spark, root).where("width = -1").select("path").unionByName(empty.select("path")).distinct()
 
 
 def hashes(spark: SparkSession, root: str) -> DataFrame:
