@@ -21,12 +21,17 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="visionloom")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("adapters", help="formats that can be read")
-    for name, text in (("detect", "the format of a folder"), ("scan", "counts of a dataset"), ("clean", "findings of the rules"), ("taxonomy", "class names that differ in spelling only"), ("split", "shares of a new split"), ("report", "an HTML report"), ("export-ir", "the dataset as tables"), ("export", "the dataset as YOLO folders")):
+    for name, text in (("detect", "the format of a folder"), ("scan", "counts of a dataset"), ("clean", "findings of the rules"), ("taxonomy", "class names that differ in spelling only"), ("split", "shares of a new split"), ("report", "an HTML report"), ("export-ir", "the dataset as tables"), ("sql", "a query over images, annotations, objects and classes"), ("commit", "a new version of a snapshot"), ("export", "the dataset as YOLO folders")):
         c = sub.add_parser(name, help=text)
         c.add_argument("roots", nargs="+" if name != "detect" else 1)
         c.add_argument("--format", default=None)
         c.add_argument("--master", default=None)
-        if name in ("report", "export-ir", "export"):
+        if name == "sql":
+            c.add_argument("--query", required=True)
+            c.add_argument("--limit", type=int, default=1000, help="rows that are shown")
+        if name == "commit":
+            c.add_argument("--note", default="")
+        if name in ("report", "export-ir", "export", "commit"):
             c.add_argument("--out", required=True)
         if name in ("split", "export"):
             c.add_argument("--ratios", default="0.8,0.1,0.1")
@@ -45,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> object:
-    from visionloom.operators import analytics, clean, pipeline, records, report, split, taxonomy
+    from visionloom.operators import analytics, clean, pipeline, records, report, split, taxonomy, versions, views
     from visionloom.sources import datasets
 
     if a.command == "detect":
@@ -63,6 +68,11 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
     if a.command == "export-ir":
         records.save_snapshot(d.images, d.annotations, a.out)
         return {"out": a.out}
+    if a.command == "commit":
+        return {"out": a.out, "version": versions.commit(d.images, d.annotations, a.out, a.note)}
+    if a.command == "sql":
+        views.register_views(d.images, d.annotations)
+        return [r.asDict() for r in spark.sql(a.query).limit(a.limit).collect()]
     ratios = tuple(float(x) for x in a.ratios.split(","))
     if a.command == "split":
         return {r["split"]: r["share"] for r in split.report(split.assign(d.images, d.annotations, ratios, a.seed)).collect()}

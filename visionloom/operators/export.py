@@ -170,7 +170,7 @@ def place_files(rows: DataFrame, out: str, source: str = "source", path: str = "
                         fs.copy_files(at, f"{base}/{c}", source_filesystem=held, destination_filesystem=to)
                     problems.append(None)
                 except (OSError, AttributeError) as e:
-                    problems.append(type(e).__name__)
+                    problems.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(problems, pa.string())], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(place, schema)
@@ -210,7 +210,10 @@ def export_yolo(images: DataFrame, annotations: DataFrame, out: str, order: list
         good, targets, counts = made.where("reason is null"), F.concat_ws("/", "split", "category", F.concat("stem", "ext")), {}
     if files:
         placed = place_files(good.select("source", targets.alias("path")), out, how=how)
-        counts["files_missing"] = placed.where("problem is not null").count()
+        why = F.regexp_extract("problem", "^[A-Za-z]*", 0)
+        failed = placed.where("problem is not null").groupBy(why.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("source", "problem")).alias("first")).collect()  # a row for each kind of error
+        counts["files_missing"] = sum(r["n"] for r in failed)
+        counts["file_problems"] = [{"kind": r["kind"], "files": r["n"], "first": r["first"]["source"], "message": r["first"]["problem"]} for r in sorted(failed, key=lambda r: r["kind"])]
     skipped = {r["reason"]: r["n"] for r in made.where("reason is not null").groupBy("reason").agg(F.count_distinct("uid").alias("n")).collect()}
     exported = {r["split"]: r["n"] for r in good.groupBy("split").agg(F.count_distinct("uid").alias("n")).collect()}
     made.unpersist()

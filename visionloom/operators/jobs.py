@@ -79,6 +79,15 @@ def log_page(numbered: DataFrame, offset: int = 0, limit: int = 500) -> DataFram
     return numbered.where((F.col("seq") >= offset) & (F.col("seq") < offset + limit))
 
 
+def last_lines(lines: DataFrame, most_lines: int = 1000, most_bytes: int = 1 << 20) -> DataFrame:
+    """(run_id, seq, line) of lines(run_id, seq, line): the last ones of each run, most_lines and most_bytes at most, always
+    the very last: what streaming.live.bounded_tail holds. Of a run only most_lines rows leave a task."""
+    back = Window.partitionBy("run_id").orderBy(F.desc("seq"))
+    last = lines.withColumn("__k", F.row_number().over(back)).where(F.col("__k") <= most_lines)
+    size = F.sum(F.octet_length("line")).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return last.withColumn("__size", size).where((F.col("__k") == 1) | (F.col("__size") <= most_bytes)).select("run_id", "seq", "line")
+
+
 def tail_log(lines: DataFrame) -> DataFrame:
     """Stream (run_id, seq, line) of lines (run_id, arrival, pos, line); the state is the next number of each run."""
 

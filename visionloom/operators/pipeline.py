@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from visionloom.operators import clean, export, split, taxonomy
+from visionloom.operators import clean, export, review, split, taxonomy
 
 #: Columns that travel beside the model's.
 _KEEP = StorageLevel.MEMORY_AND_DISK
@@ -54,6 +56,36 @@ def export_dataset(images: DataFrame, annotations: DataFrame, out: str, lineage:
         done.release()
 
 
+def prelabel_dataset(images: DataFrame, score: Callable, names: list[str], weights: str, out: str, least: float = 0.0, edits: DataFrame | None = None, statuses: DataFrame | None = None, ratios: tuple[float, float, float] | None = (0.8, 0.1, 0.1), **options) -> dict:
+    """Scores images(uid, ..., path), takes in the review, exports, and gives the card with where its labels come from.
+
+    score is what review.annotate takes; its result is kept on disk, so each image is scored once. edits(box_id, seq, op,
+    ...) and statuses(uid, seq, status) are the review's logs, if there was one; its counters go into the card beside the
+    scorer's. Images that failed are exported neither as empty nor as labelled. options are those of export.export_yolo."""
+    frames = images.select("uid", "rel_path", *(["path"] if "path" in images.columns else [])).mapInPandas(score, review.FRAMES).persist(StorageLevel.DISK_ONLY)
+    kept = []
+    try:
+        counters = review.prelabel_report(frames).first().asDict()
+        boxes, reviewed = review.frame_annotations(frames, names, least), None
+        good = images.join(frames.where("ok").select("uid"), "uid", "left_semi")
+        if edits is not None or statuses is not None:
+            done = boxes if edits is None else review.apply_edits(boxes, edits)
+            log = statuses if statuses is not None else images.sparkSession.createDataFrame([], "uid string, seq long, status string")
+            removed = edits.select("op") if edits is not None else 0
+            reviewed = review.review_summary(done if edits is not None else done.withColumns({"source": F.lit("model"), "review": F.lit("pending")}), review.image_statuses(good, log), removed).first().asDict()
+            boxes = done
+        boxes = boxes.withColumn("score", F.lit(None).cast("double")) if "score" not in boxes.columns else boxes
+        boxes = boxes.withColumn("kind", F.lit("bbox")) if "kind" not in boxes.columns else boxes
+        kept = [boxes.persist(_KEEP)]
+        if ratios is not None:
+            kept.append(split.assign(good, boxes, ratios).persist(_KEEP))
+        lineage = attach_lineage({}, weights, counters, reviewed)
+        return export.export_yolo(kept[-1] if ratios is not None else good, boxes, out, lineage=lineage, **options)
+    finally:
+        for df in [frames, *kept]:
+            df.unpersist()
+
+
 def attach_lineage(card: dict, weights: str, report: dict, reviewed: dict | None = None) -> dict:
     """The card with where its labels come from: the weights, the counters of the scoring, and of the review if there was one."""
     return card | {"prelabel": {"id": uuid.uuid4().hex[:12], "weights": weights, "report": report, "review": reviewed}}

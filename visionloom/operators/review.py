@@ -31,6 +31,8 @@ def apply_edits(model: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.select("box_id", pick("image_uid"), pick("category"), *map(pick, BOX), F.when(F.col("m").isNull(), "human_review").otherwise("model").alias("source"), F.when(F.col("m").isNull(), "added").when(F.col("e").isNotNull(), "edited").otherwise("pending").alias("review"), F.when(F.col("m").isNotNull() & F.col("e").isNotNull(), F.struct(*[F.col(f"m.{c}").alias(c) for c in BOX])).alias("model_bbox"))
 
 
+#: What a scorer gives for each image.
+FRAMES = "uid string, ok boolean, error string, detections array<struct<class_index:int,class_name:string,confidence:double,bbox:array<double>>>"
 STATUSES = ["pending", "confirmed"]  # fixed values
 
 
@@ -66,7 +68,7 @@ def annotate(images: DataFrame, score: Callable[[Iterator[pd.DataFrame]], Iterat
     """(annotations, report) of a scorer that mapInPandas runs over images(uid, path): it gives (uid, ok, error, detections).
 
     A failed image is counted, never taken as empty. The scorer runs once if the caller materialises the images' result."""
-    frames = images.select("uid", "rel_path").mapInPandas(score, "uid string, ok boolean, error string, detections array<struct<class_index:int,class_name:string,confidence:double,bbox:array<double>>>")
+    frames = images.select("uid", "rel_path").mapInPandas(score, FRAMES)
     return frame_annotations(frames, names, least), prelabel_report(frames)
 
 

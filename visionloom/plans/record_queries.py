@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visionloom.functions import display, scalar
-from visionloom.operators import analytics, clean, evals, export, hamming, jobs, merge, metrics, records, review, samples, split, taxonomy
+from visionloom.operators import analytics, clean, evals, export, hamming, jobs, merge, metrics, records, review, samples, split, taxonomy, views
 from visionloom.plans import ir
 from visionloom.plans import queries as plain
 from visionloom.plans.ir import annotations, images, load
@@ -332,6 +332,26 @@ def _task(s: SparkSession, d: str) -> DataFrame:
     return samples.dataset_kind(an).select("kind", F.lit(tasks[0]).alias("boxes"), F.lit(tasks[1]).alias("labels"))
 
 
+def _last_lines(s: SparkSession, d: str) -> DataFrame:
+    lines = load(s, d, "conversations").select((F.col("conv_id") % 40).alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.col("text").alias("line"))
+    return jobs.last_lines(lines, 30, 2500).groupBy("run_id").agg(F.count(F.lit(1)).alias("lines"), F.min("seq").alias("first"), F.max("seq").alias("last"), F.sum(F.octet_length("line")).cast("bigint").alias("bytes"))
+
+
+def _long_intervals(s: SparkSession, d: str) -> DataFrame:
+    """Intervals from one frame to most of a video, and some that end long after it or before they begin."""
+    n = F.col("c_custkey")
+    first = (n * 37) % 60_000 - 50
+    length = F.when(n % 10 == 0, n * 100).when(n % 10 == 1, F.lit(10**12)).when(n % 10 == 2, F.lit(-1)).otherwise(n % 90)
+    intervals = load(s, d, "customer").select((F.col("c_nationkey") % 5).alias("video"), F.col("c_mktsegment").alias("label"), first.alias("start"), (first + length).alias("end"))
+    frames = load(s, d, "orders").select((F.col("o_custkey") % 5).alias("video"), F.col("o_orderkey").alias("frame"))
+    return formats.frame_labels(frames, intervals, "video").groupBy("video", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("total"))
+
+
+def _views(s: SparkSession, d: str) -> DataFrame:
+    views.register_views(images(s, d), annotations(s, d), "vl_")
+    return s.sql("SELECT image_split AS split, category, count(*) AS n, CAST(sum(area) AS DOUBLE) AS area FROM vl_objects WHERE is_bbox AND image_width > 0 GROUP BY image_split, category")
+
+
 def _copied_prints(s: SparkSession, d: str) -> DataFrame:
     """The fingerprints, and of one of them a copy for each order, so a third of all ids or more have it."""
     prints = plain.prints(s, d)
@@ -368,6 +388,9 @@ def queries() -> dict[str, Query]:
     im, an = images, annotations
     return {
         "clean_near_duplicates": _near_found,
+        "log_last_lines": _last_lines,
+        "openlabel_long_intervals": _long_intervals,
+        "sql_views": _views,
         "near_duplicate_representatives": lambda s, d: hamming.near_representatives(_copied_prints(s, d), 6),
         "near_duplicate_links": lambda s, d: hamming.near_links(_copied_prints(s, d), 6),
         "clean_file_findings": _file_found,
@@ -474,6 +497,9 @@ def oracle_sql() -> dict[str, str]:
     near = plain.NEAR.split("SELECT a.id AS a")[0]
     copied = near + ", h AS (SELECT * FROM g UNION ALL SELECT o_orderkey + 10000000, (SELECT fp FROM g ORDER BY id LIMIT 1) FROM orders)"
     return {
+        "log_last_lines": "WITH l AS (SELECT conv_id % 40 AS run_id, conv_id * 1000 + turn AS seq, text AS line FROM conversations), r AS (SELECT *, row_number() OVER w AS k, sum(octet_length(encode(line))) OVER w AS size FROM l WINDOW w AS (PARTITION BY run_id ORDER BY seq DESC ROWS UNBOUNDED PRECEDING)) SELECT run_id, count(*) AS lines, min(seq) AS first, max(seq) AS last, CAST(sum(octet_length(encode(line))) AS BIGINT) AS bytes FROM r WHERE k <= 30 AND (k = 1 OR size <= 2500) GROUP BY run_id",
+        "openlabel_long_intervals": "WITH i AS (SELECT c_nationkey % 5 AS video, c_mktsegment AS label, (c_custkey * 37) % 60000 - 50 AS s, CASE WHEN c_custkey % 10 = 0 THEN c_custkey * 100 WHEN c_custkey % 10 = 1 THEN 1000000000000 WHEN c_custkey % 10 = 2 THEN -1 ELSE c_custkey % 90 END AS n FROM customer) SELECT f.o_custkey % 5 AS video, label, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders f JOIN i ON f.o_custkey % 5 = i.video AND o_orderkey BETWEEN s AND s + n GROUP BY ALL",
+        "sql_views": _W + " SELECT split, category, count(*) AS n, sum(greatest(0.0, x2 - x1) * greatest(0.0, y2 - y1))::DOUBLE AS area FROM an JOIN im ON image_uid = uid WHERE kind = 'bbox' AND x1 IS NOT NULL AND width > 0 GROUP BY split, category",
         "near_duplicate_representatives": copied + ", r AS (SELECT fp, min(id) AS rep FROM h GROUP BY fp) SELECT least(a.rep, b.rep) AS a, greatest(a.rep, b.rep) AS b, CAST(bit_count(xor(a.fp, b.fp)) AS BIGINT) AS distance FROM r a JOIN r b ON a.fp < b.fp AND bit_count(xor(a.fp, b.fp)) <= 6",
         "near_duplicate_links": copied + ", r AS (SELECT fp, min(id) AS rep, count(*) AS copies FROM h GROUP BY fp), l AS (SELECT a.fp, CAST(sum(b.copies) AS BIGINT) AS links FROM r a JOIN r b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 6 GROUP BY a.fp) SELECT id, rep, copies, coalesce(links, 0) AS links FROM h JOIN r USING (fp) LEFT JOIN l USING (fp)",
         "clean_near_duplicates": near + f""", pr AS (SELECT 'o' || CASE WHEN id < 1000000 THEN id * 2 + 1 ELSE (id - 1000000) * 2 + 2 END AS uid, fp FROM g), {_W.removeprefix("WITH ")},
