@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key with more fingerprints is divided by the bits that divide its own fingerprints best. Any value gives the same pairs.
-HOT = 1000
+HOT, _SAMPLE = 1000, 16
 
 
 def _long(v: int) -> Column:
@@ -68,16 +68,19 @@ def _balanced_masks(rows: DataFrame, blocks: int) -> DataFrame:
     return dealt.select("s", "k", F.array(*[mask(j) for j in range(blocks)]).alias("masks"))
 
 
-def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column | None = None, first: Column | None = None, hot: int = HOT) -> DataFrame:
+def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column | None = None, first: Column | None = None, hot: int = HOT, divide: bool | None = None) -> DataFrame:
     """(a, b), a < b, of the fingerprints of keyed(s, k, f, ...) that share a key and differ in `distance` bits or fewer.
 
     Further columns come as x_name and y_name in `only`, a condition on pairs. Keys of up to `hot` fingerprints are joined
     as they are. Those of more are divided again: of distance + agree blocks of the bits that vary in the key, every set of
     `agree` is a finer key, so what many share by a common stretch is not paired all with all. With `first`, a condition on
-    (s, a, b) that holds for one key of a pair, pairs come once; without it they are made distinct.
+    (s, a, b) that holds for one key of a pair, pairs come once; without it they are made distinct. Which keys are divided is
+    told by a sixteenth of the fingerprints, since it changes how pairs are found but not which; a small job looks whether
+    there are any, for a plan that provides for them takes several times as long where there are none.
     """
     more = [c for c in keyed.columns if c not in ("s", "k", "f")]
-    many = keyed.groupBy("s", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("s", "k")
+    part = keyed.where(F.pmod(F.xxhash64("f"), F.lit(_SAMPLE)) == 0)
+    many = part.groupBy("s", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot / _SAMPLE).select("s", "k")
     side = lambda df, at, f, p: df.select(*at, F.col("f").alias(f), *[F.col(c).alias(f"{p}_{c}") for c in more])
 
     def met(df: DataFrame, at: list[str]) -> DataFrame:
@@ -85,6 +88,9 @@ def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column |
         pairs = pairs if only is None else pairs.where(only)
         return (pairs if first is None else pairs.where(first)).select("a", "b")
 
+    if many.isEmpty() if divide is None else not divide:
+        pairs = met(keyed, ["s", "k"])
+        return pairs if first is not None else pairs.distinct()
     cold = met(keyed.join(many, ["s", "k"], "left_anti"), ["s", "k"])
     warm = keyed.join(many, ["s", "k"], "left_semi")
     finer = F.array(*[F.struct(F.lit(n).alias("s2"), F.col("f").bitwiseAND(reduce(Column.bitwiseOR, [F.col("masks")[i] for i in c])).alias("k2")) for n, c in enumerate(agreeing(distance + agree, agree))])
@@ -96,11 +102,15 @@ def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column |
 def representative_pairs(reps: DataFrame, distance: int = 6, hot: int = HOT) -> DataFrame:
     """(fa, fb, distance) of different fingerprints of reps(fp) that differ in `distance` bits or fewer, fa < fb.
 
-    Each is under 28 keys of 16 bits at distance 6, at any size: where so many fingerprints meet that these are coarse,
-    close_pairs divides them by their own bits."""
-    agree = 2
+    A job over a sixteenth of them tells how many there are and whether many share a key of two blocks. If so, such keys are
+    divided by their own bits (close_pairs). If not, the more there are the more blocks must agree, from one of 7 (7 keys of
+    9 bits a fingerprint, at distance 6) over two of 8 (28 keys of 16 bits) to three of 9 (84 of 21). All give the same pairs."""
+    part = keyed_prints(reps.where(F.pmod(F.xxhash64("fp"), F.lit(_SAMPLE)) == 0), distance, 2).groupBy("s", "k").agg(F.count(F.lit(1)).alias("n"))
+    most, rows = part.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n, divide = rows // len(agreeing(distance + 2, 2)) * _SAMPLE, most > hot / _SAMPLE
+    agree = 2 if divide else 1 if n <= 1 << 15 else 2 if n <= 1 << 22 else 3
     first = first_agreement("a", "b", block_masks(distance + agree), agree) == F.col("s")
-    pairs = close_pairs(keyed_prints(reps, distance, agree), distance, agree, first=first, hot=hot)
+    pairs = close_pairs(keyed_prints(reps, distance, agree), distance, agree, first=first, hot=hot, divide=divide)
     return pairs.select(F.col("a").alias("fa"), F.col("b").alias("fb"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("bigint").alias("distance"))
 
 
@@ -117,9 +127,9 @@ def expand_pairs(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, distance), a < b, of all ids: those of the near fingerprints in pairs(fa, fb, distance) and equal ones, on
     request, since copies make as many rows as they have pairs."""
     ids = prints.where("fp is not null").select("id", "fp")
-    each = pairs.join(ids.toDF("x", "fa"), "fa").join(ids.toDF("y", "fb"), "fb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    same = ids.toDF("a", "fp").join(ids.toDF("b", "fp"), "fp").where("a < b").select("a", "b", F.lit(0).cast("bigint").alias("distance"))
-    return each.unionByName(same)
+    copied = representatives(prints).where("copies > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).cast("bigint").alias("distance"))
+    each = pairs.unionByName(copied).join(ids.toDF("x", "fa"), "fa").join(ids.toDF("y", "fb"), "fb").where("fa <> fb or x < y")
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def near_duplicate_pairs(prints: DataFrame, distance: int = 6) -> DataFrame:
