@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visionloom.operators.hamming import HOT, close_pairs, first_agreement, near
+
 from .common import append_columns, materialise, scratch, utf8
 
 _LOWER = bytes(range(256)).lower()
@@ -68,7 +70,8 @@ def block_keys(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFra
     smallest of these.
 
     Of `blocks` blocks at least blocks - distance agree in a pair at `distance` bits or fewer, so it meets under one such
-    set (20 keys of about 32 bits by default: few false candidates even at 10^10 fingerprints).
+    set (20 keys of about 32 bits by default: few false candidates even at 10^10 fingerprints). Prints are distinct and not
+    null; none give no keys.
     """
     _, sets = block_sets(distance, blocks)
     keys = F.array(*[F.struct(F.lit(s).alias("s"), F.col("f").bitwiseAND(F.lit(_signed(m)).cast("bigint")).alias("k")) for s, m in sets])
@@ -77,37 +80,25 @@ def block_keys(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFra
     return keyed.join(met, ["s", "k"])
 
 
-def _near(a: str, b: str, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-
-
 def pivot_links(keyed: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs (a, b), a < b, of the fingerprints near the smallest one that shares a key: a few per fingerprint, however
-    many share the key."""
-    return keyed.where("f <> pivot").where(_near("f", "pivot", distance)).select(F.col("pivot").alias("a"), F.col("f").alias("b")).distinct()
+    many share the key. Repeated rows leave one pair; no keys give none."""
+    return keyed.where("f <> pivot").where(near("f", "pivot", distance)).select(F.col("pivot").alias("a"), F.col("f").alias("b")).distinct()
 
 
-def apart_links(keyed: DataFrame, found: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+def apart_links(keyed: DataFrame, found: DataFrame, distance: int = 3, blocks: int = 6, hot: int = HOT) -> DataFrame:
     """Pairs (a, b) at `distance` bits or fewer whose components in found (node, component) differ.
 
     Keys whose fingerprints are all of one component drop out before the join. A pair is put out only by the first set
-    on which it agrees, so no distinct is needed.
+    on which it agrees. Keys of more than `hot` fingerprints are divided by the bits that vary in them, so fingerprints
+    that share a long stretch by their nature are not paired all with all. Repeated rows of keyed would repeat pairs; no
+    keys, or none that are apart, give no pairs; fingerprints that found lacks are components of their own.
     """
     masks, _ = block_sets(distance, blocks)
     part = keyed.join(found.withColumnRenamed("node", "f"), "f", "left").select("s", "k", "f", F.coalesce("component", "f").alias("c"))
     split = part.groupBy("s", "k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s", "k")
     part = materialise(part.join(split, ["s", "k"], "left_semi"), "apart")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    same = F.lit(0)
-    for i, m in enumerate(masks):
-        same = same.bitwiseOR(F.when(diff.bitwiseAND(F.lit(_signed(m)).cast("bigint")) == 0, F.lit(1 << i)).otherwise(F.lit(0)))
-    lowest, rest = F.lit(0), same
-    for _ in range(blocks - distance):
-        low = rest.bitwiseAND(-rest)
-        lowest, rest = lowest.bitwiseOR(low), rest.bitwiseXOR(low)
-    x, y = part.toDF("s", "k", "a", "ac"), part.toDF("s", "k", "b", "bc")
-    near = F.expr("a < b and ac <> bc") & _near("a", "b", distance) & (lowest == F.col("s"))
-    return x.join(y, ["s", "k"]).where(near).select("a", "b")
+    return close_pairs(part, distance, 2, F.expr("x_c <> y_c"), first_agreement("a", "b", masks, blocks - distance) == F.col("s"), hot)
 
 
 def linked(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
@@ -123,7 +114,7 @@ def linked(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
         more = materialise(apart_links(keyed, found, distance, blocks), "more")
         if more.isEmpty():
             return outlive(found, "linked")
-        return outlive(components(links.unionByName(more)), "linked")
+        return outlive(with_links(found, more), "linked")
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -131,31 +122,73 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), digest).first())
 
 
+def _roots(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node, root) of each node with a smaller neighbour: where it gets by going to the smallest neighbour again and again.
+
+    Only nodes that are not yet under a root are joined: of a star, none."""
+    parent = materialise(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"), "parent")
+    for _ in range(rounds):
+        step = materialise(parent.join(parent.toDF("root", "above"), "root").select("node", F.col("above").alias("root")), "step")
+        if step.isEmpty():
+            return parent
+        parent = materialise(parent.unionByName(step).groupBy("node").agg(F.min("root").alias("root")), "parent")
+    raise RuntimeError("parents did not settle")
+
+
+def _stars(edges: DataFrame, rounds: int) -> DataFrame:
+    """(node, component) of the edges (a, b), a > b, but for the components themselves: alternating large-star and small-star.
+
+    Each round is two grouped minima joined back on the edges (a hot hub is a skewed join, which AQE splits, not a
+    collected group), written to the shared folder; rounds grow with the logarithm."""
+    state = _state(edges)
+    for _ in range(rounds):
+        if not state[0]:
+            break
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        edges = materialise(small.where("a <> b").distinct(), "edges")
+        last, state = state, _state(edges)
+        if last == state:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the links (a, b): the smallest node it reaches.
 
-    Alternating large-star and small-star: each round is two grouped minima joined back on the links (a hot hub is a
-    skewed join, which AQE splits, not a collected group), written to the shared folder; rounds grow with the logarithm.
-    """
+    First each node goes up to the root of its smallest neighbours, which settles stars and chains; what links different
+    roots, little as a rule, is contracted in rounds (see _stars). Repeated links and links of a node with itself change
+    nothing; no links give no rows."""
     with scratch(links.sparkSession) as outlive:
         edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-        state = _state(edges)
-        for _ in range(rounds):
-            if not state[0]:
-                break
-            both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-            least = large.groupBy("a").agg(F.min("b").alias("m"))
-            small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-            edges = materialise(small.where("a <> b").distinct(), "edges")
-            last, state = state, _state(edges)
-            if last == state:
-                break
+        roots = _roots(edges, rounds)
+        several = edges.groupBy("a").agg(F.min("b").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        other = edges.join(several, "a").where("b <> first").select("a", "b")  # the links that no one went up
+        top = other.join(roots.toDF("a", "x"), "a").join(roots.toDF("b", "y"), "b", "left").select("x", F.coalesce("y", "b").alias("y")).where("x <> y")
+        top = materialise(top.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "top")
+        if top.isEmpty():
+            named = roots.withColumnRenamed("root", "component")
         else:
-            raise RuntimeError("components did not settle")
-        stars = edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-        return outlive(stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+            joined = materialise(_stars(top, rounds), "joined").toDF("root", "component")
+            under = roots.join(joined, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+            named = under.unionByName(joined.withColumnRenamed("root", "node"))
+        named = materialise(named, "named")
+        return outlive(named.unionByName(named.select(F.col("component").alias("node"), "component").distinct()), "components")
+
+
+def with_links(found: DataFrame, more: DataFrame) -> DataFrame:
+    """The components found(node, component) of earlier links, joined by more links (a, b) between any nodes: only these go
+    through components again, as links of components. Links of nodes that found lacks are fine."""
+    with scratch(more.sparkSession) as outlive:
+        own = more.join(found.toDF("a", "x"), "a", "left").join(found.toDF("b", "y"), "b", "left")
+        top = components(own.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+        under = found.join(top.toDF("component", "over"), "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+        return outlive(under.unionByName(top.join(found, "node", "left_anti")), "components")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
