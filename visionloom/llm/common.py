@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,6 +167,36 @@ def append_columns(
     return src.mapInArrow(run, schema)
 
 
+def keys_bitmap(keys: DataFrame, key: str, most_bits: int = 1 << 26) -> np.ndarray | None:
+    """A bit for each remainder of a distinct bigint key, 16 bits or more a key, so about one in 16 other keys has its bit
+    set too; None where that takes over most_bits (8 MB). It thins a table before a join, which stays exact without it."""
+    n = keys.count()
+    bits = 1 << max(10, (16 * n - 1).bit_length())
+    if bits > most_bits:
+        return None
+    place = F.col(key).bitwiseAND(F.lit(bits - 1))
+    rows = keys.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(31)).cast("int"))).alias("b")).toArrow()
+    words = np.zeros(bits // 32, np.uint32)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.uint32)
+    return words
+
+
+def only_keys(df: DataFrame, key: str, words: np.ndarray | None) -> DataFrame:
+    """Rows of df whose key has its bit in the words of keys_bitmap; all of them without words. No shuffle."""
+    if words is None:
+        return df
+    small_batches(df.sparkSession)
+    at = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = b.column(at).to_numpy() & (32 * len(words) - 1)
+            yield b.filter(pa.array((words[place >> 5] >> (place & 31).astype(np.uint32) & 1).astype(bool)))
+        give_back()
+
+    return df.mapInArrow(run, df.schema)
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 

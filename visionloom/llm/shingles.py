@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, bounded_sample, give_back, materialise, scratch, slices, small_batches, unused, utf8
-from .simhash import _LOWER, _SLICE, block_keys, components, majority, pivot_links
+from .common import append_columns, bounded_sample, give_back, keys_bitmap, materialise, only_keys, scratch, slices, small_batches, unused, utf8
+from .simhash import _LOWER, _SLICE, block_keys, components, majority, pivot_links, with_links
 
 #: Shingles that go last in the order are looked for in so many documents and are those of so many of them; at most
 #: MOST_COMMON are sent to the tasks. Any choice gives the same pairs, a poor one only more candidates.
@@ -60,7 +60,8 @@ def with_prefix(docs: DataFrame, text: str = "text", shingle: int = 5, last: np.
 
 
 def common_shingles(docs: DataFrame, shingle: int = 5) -> np.ndarray:
-    """Sorted shingles that are frequent in a bounded sample."""
+    """Sorted shingles that are frequent in a bounded sample of docs(doc_id, text): ties by value; texts that repeat count once,
+    nulls as empty texts, rows without an id not at all; none of an empty table."""
     sets = append_columns(bounded_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE).select("text").distinct(), [T.StructField("sh", T.ArrayType(T.LongType()))], lambda texts: {"sh": [shingle_set(t, shingle) for t in texts]}, ["text"])
     rows = sets.select(F.explode("sh").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     return np.sort(np.array([r["h"] for r in rows.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64))
@@ -78,11 +79,20 @@ def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "an", "b", "bn").agg(F.count(F.lit(1)).alias("shared")).where(_may_be_similar("an", "bn", "shared")).select("a", "b")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int = 5) -> DataFrame:
-    """Those pairs (a, b) of keys whose texts (key, text) have a Jaccard similarity of 0.8 or more, by their whole sets."""
+def held_texts(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text) of the distinct texts of docs(key, text) whose key is in keys(key), written once. Keys are rows of their
+    own in a join; while a bitmap of them is small (keys_bitmap), the rest never leaves the task that reads it. Repeated
+    rows leave one, nulls are texts as any other, and an empty side gives no rows."""
+    keys = materialise(keys.distinct(), "wanted")
+    texts = only_keys(docs, "key", keys_bitmap(keys, "key"))
+    return materialise(texts.dropDuplicates(["key"]).join(keys, "key", "left_semi"), "texts")
+
+
+def similar(pairs: DataFrame, held: DataFrame, shingle: int = 5) -> DataFrame:
+    """Those pairs (a, b) of keys whose texts in held (key, text, a row a key) have a Jaccard similarity of 0.8 or more, by
+    their whole sets. Null and empty texts have the set of the empty shingle. Repeated pairs are told alike; no pairs give
+    no rows, and pairs of keys that held lacks are left out."""
     pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    held = materialise(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
     both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
     small_batches(both.sparkSession)
 
@@ -135,29 +145,35 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
         pivot = met.groupBy("h").agg(F.min(F.struct("key", "n")).alias("p"))
         pairs = met.join(pivot, "h").select(F.col("p.key").alias("a"), F.col("p.n").alias("an"), F.col("key").alias("b"), F.col("n").alias("bn"))
         first = _counted(pairs.where("a < b")).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # one pivot a text
-        near = materialise(similar(_simhash_pairs(nodes).unionByName(first).distinct(), texts, shingle), "near")
+        links = materialise(_simhash_pairs(nodes).unionByName(first).distinct(), "links")
+        held = held_texts(texts, met.select("key").unionByName(links.select(F.explode(F.array("a", "b")).alias("key"))))
+        near = materialise(similar(links, held, shingle), "near")
         found = components(near).withColumnRenamed("node", "key")
         part = met.join(found, "key", "left").select("h", "key", "n", F.coalesce("component", "key").alias("c"))
         split = part.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
         part = materialise(part.join(split, "h", "left_semi"), "part")
         a, b = part.toDF("h", "a", "an", "ac"), part.toDF("h", "b", "bn", "bc")
         apart = a.join(b, "h").where("a < b and ac <> bc and 5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "an", "b", "bn")
-        more = materialise(similar(_counted(apart), texts, shingle), "more")
+        more = materialise(similar(_counted(apart), held, shingle), "more")
         if not more.isEmpty():
-            found = components(near.unionByName(more)).withColumnRenamed("node", "key")
+            found = with_links(found.withColumnRenamed("key", "node"), more).withColumnRenamed("node", "key")
         return outlive(nodes.select("key", "id").join(found, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component")), "groups")
 
 
 def _simhash_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: texts of one fingerprint with the first of them, and the first texts of fingerprints near a pivot."""
+    """(a, b), a < b: of each text at most one, with the first text of its fingerprint or, for that one, with the first text
+    of the nearest pivot of its fingerprint. Only what makes large groups meet early: the prefixes find the rest."""
     first = materialise(nodes.groupBy("fp").agg(F.min("key").alias("key")), "first")
     same = nodes.select("fp", F.col("key").alias("b")).join(first, "fp").where("key < b").select(F.col("key").alias("a"), "b")
     links = pivot_links(block_keys(first.select(F.col("fp").alias("f"))))
+    links = links.groupBy("b").agg(F.min(F.struct(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("off"), "a")).alias("p")).select("p.a", "b")
     x, y = first.select(F.col("fp").alias("a"), F.col("key").alias("x")), first.select(F.col("fp").alias("b"), F.col("key").alias("y"))
     return same.unionByName(links.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def text_key(text: str = "text") -> Column:
+    """64 bits that stand for a text, a null one as an empty one. Two texts of one key would count as one: about three such
+    pairs are to be expected at 10^10 texts."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
