@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from visionloom.functions.scalar import make_uid, yolo_to_xyxy
@@ -125,6 +125,33 @@ def frame_labels(frames: DataFrame, intervals: DataFrame, key: str) -> DataFrame
     return asked.join(cut, [key, "__shift", "__bin"]).where("frame between start and end").select(*frames.columns, "label")
 
 
+def frame_label_totals(frames: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """(key, label, n, total): the number of rows that frame_labels has for each label, and the sum of their frames, without
+    making those rows, which grow with frames times intervals where intervals are long.
+
+    An interval holds the frames up to its end less those before its start, so running counts of the frames in order are
+    read at both. Frames and ends are dealt out by ranges; in each range the counts run from its beginning, and what earlier
+    ranges hold is added per label at the end. A range makes a row per label, and only those rows meet by key. Sums are
+    exact decimals inside; a total beyond 64 bits is an error, as it is for a sum of the rows."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    own = intervals.where("end >= start").where(F.col(key).isNotNull())
+    edges = F.array(*[F.struct(F.col(c).cast("bigint").alias("__at"), F.lit(kind).alias("__kind"), F.lit(sign).alias("w")) for c, kind, sign in (("start", 0, -1), ("end", 2, 1))])
+    ends = own.select(key, "label", F.inline(edges)).groupBy(key, "label", "__at", "__kind").agg(F.sum("w").alias("__w"))
+    held = frames.where(F.col(key).isNotNull() & F.col("frame").isNotNull()).groupBy(key, F.col("frame").cast("bigint").alias("__at")).agg(F.count(F.lit(1)).alias("__w"))
+    label = F.lit(None).cast(intervals.schema["label"].dataType).alias("label")
+    rows = held.select(key, label, "__at", F.lit(1).alias("__kind"), "__w").unionByName(ends)
+    rows = rows.repartitionByRange(key, "__at", "__kind").withColumn("__part", F.spark_partition_id())
+    is_frame = F.col("__kind") == 1
+    rows = rows.withColumns({"__f": F.when(is_frame, F.col("__w")).otherwise(0), "__s": F.when(is_frame, wide(F.col("__w")) * wide(F.col("__at"))).otherwise(0)})
+    running = Window.partitionBy("__part", key).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"__n": F.sum("__f").over(running), "__t": F.sum("__s").over(running)})
+    parts = rows.groupBy("__part", key, "label", is_frame.alias("__frames")).agg(F.sum("__f").alias("f"), F.sum("__s").alias("s"), F.sum("__w").alias("w"), F.sum(F.col("__w") * F.col("__n")).alias("n"), F.sum(wide(F.col("__w")) * F.col("__t")).alias("t"))
+    before = Window.partitionBy(key).orderBy("__part").rangeBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"f": F.coalesce(F.sum("f").over(before), F.lit(0)), "s": F.coalesce(F.sum("s").over(before), F.lit(0))}).where("not __frames")
+    out = parts.groupBy(key, "label").agg(F.sum(F.col("n") + F.col("w") * F.col("f")).alias("n"), F.sum(F.col("t") + wide(F.col("w")) * F.col("s")).alias("total"))
+    return out.where("n > 0").select(key, "label", "n", F.col("total").cast("bigint").alias("total"))
+
+
 def yolo_lines(images: DataFrame, annotations: DataFrame, classes: DataFrame) -> DataFrame:
     """(uid, split, lines, n): normalised label lines of every image, clamped to it, boxes without area left out;
     unassigned images are train, images without boxes have empty lines."""
