@@ -40,3 +40,27 @@ def test_a_million_prints_of_which_half_are_equal(spark):
     few = one.union(rest.where("id < 520000"))
     out = hamming.near_links(few, 6)
     assert out.count() == 520_000 and out.selectExpr("max(copies)").first()[0] == 500_000
+
+
+def test_keys_are_dealt_by_their_number_and_never_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "ROWS", 1000)
+    df = spark.range(4000).selectExpr("id", "xxhash64(id div 2) ^ (id % 2) fp")
+    out = hamming.representative_pairs(hamming.representatives(df).select("fp"), 6)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "REPARTITION_BY_NUM" in plan
+    assert out.where("distance = 1").count() == 2000
+
+
+def test_the_first_agreement_of_a_pair(spark):
+    masks = hamming.block_masks(8)
+    g = random.Random(2)
+    rows = []
+    for _ in range(200):
+        a = g.getrandbits(64)
+        b = a ^ sum(1 << i for i in g.sample(range(64), 6))
+        agreed = [i for i, m in enumerate(masks) if (a ^ b) & m == 0]
+        for s in hamming.agreeing(8, 2):
+            if set(s) <= set(agreed):
+                rows.append((sum(1 << i for i in s), signed(a), signed(b), list(s) == agreed[:2]))
+    df = spark.createDataFrame(rows, "s int, a long, b long, want boolean")
+    assert df.where(hamming.meets_first("s", "a", "b", masks) != df["want"]).count() == 0 and df.where("not want").count() > 50

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visionloom.operators.hamming import HOT, close_pairs, first_agreement, near
+from visionloom.operators.hamming import HOT, close_pairs, meets_first, near
 
 from .common import append_columns, materialise, scratch, utf8
 
@@ -98,7 +98,7 @@ def apart_links(keyed: DataFrame, found: DataFrame, distance: int = 3, blocks: i
     part = keyed.join(found.withColumnRenamed("node", "f"), "f", "left").select("s", "k", "f", F.coalesce("component", "f").alias("c"))
     split = part.groupBy("s", "k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("s", "k")
     part = materialise(part.join(split, ["s", "k"], "left_semi"), "apart")
-    return close_pairs(part, distance, 2, F.expr("x_c <> y_c"), first_agreement("a", "b", masks, blocks - distance) == F.col("s"), hot)
+    return close_pairs(part, distance, 2, F.expr("x_c <> y_c"), meets_first("s", "a", "b", masks), hot)
 
 
 def linked(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A key with more fingerprints is divided by the bits that divide its own fingerprints best. Any value gives the same pairs.
 HOT, _SAMPLE = 1000, 16
+#: Keyed fingerprints of a task. They are few bytes, so partitions by bytes would hold tens of millions of them and their pairs.
+ROWS = 1 << 18
 
 
 def _long(v: int) -> Column:
@@ -40,15 +42,14 @@ def near(a: str, b: str, distance: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def first_agreement(a: str, b: str, masks: list[int], agree: int) -> Column:
-    """Bits of the first `agree` blocks on which a and b agree: a pair that meets under many sets counts under this one."""
-    diff = F.col(a).bitwiseXOR(F.col(b))
-    rest = reduce(Column.bitwiseOR, [F.when(diff.bitwiseAND(_long(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(masks)])
-    first = F.lit(0)
-    for _ in range(agree):
-        low = rest.bitwiseAND(-rest)
-        first, rest = first.bitwiseOR(low), rest.bitwiseXOR(low)
-    return first
+def meets_first(s: str, a: str, b: str, masks: list[int]) -> Column:
+    """Whether s, the bits of blocks on which a and b agree, are the first ones on which they do: a pair that meets under many
+    sets counts under this one. Up to 16 blocks. Each block is looked at once, so that the test stays small when compiled."""
+    diff, upto = F.col(a).bitwiseXOR(F.col(b)), F.col(s)
+    agreed = reduce(Column.bitwiseOR, [F.when(diff.bitwiseAND(_long(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(masks)])
+    for by in (1, 2, 4, 8):
+        upto = upto.bitwiseOR(F.shiftright(upto, by))
+    return agreed.bitwiseAND(upto) == F.col(s)
 
 
 def keyed_prints(reps: DataFrame, distance: int, agree: int = 2) -> DataFrame:
@@ -68,7 +69,7 @@ def _balanced_masks(rows: DataFrame, blocks: int) -> DataFrame:
     return dealt.select("s", "k", F.array(*[mask(j) for j in range(blocks)]).alias("masks"))
 
 
-def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column | None = None, first: Column | None = None, hot: int = HOT, divide: bool | None = None) -> DataFrame:
+def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column | None = None, first: Column | None = None, hot: int = HOT, divide: bool | None = None, parts: tuple[int, int] | None = None) -> DataFrame:
     """(a, b), a < b, of the fingerprints of keyed(s, k, f, ...) that share a key and differ in `distance` bits or fewer.
 
     Further columns come as x_name and y_name in `only`, a condition on pairs. Keys of up to `hot` fingerprints are joined
@@ -76,15 +77,18 @@ def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column |
     `agree` is a finer key, so what many share by a common stretch is not paired all with all. With `first`, a condition on
     (s, a, b) that holds for one key of a pair, pairs come once; without it they are made distinct. Which keys are divided is
     told by a sixteenth of the fingerprints, since it changes how pairs are found but not which; a small job looks whether
-    there are any, for a plan that provides for them takes several times as long where there are none.
+    there are any, for a plan that provides for them takes several times as long where there are none. `parts` gives the
+    numbers of partitions to deal keys and finer keys to; they never are broadcast then.
     """
     more = [c for c in keyed.columns if c not in ("s", "k", "f")]
     part = keyed.where(F.pmod(F.xxhash64("f"), F.lit(_SAMPLE)) == 0)
     many = part.groupBy("s", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot / _SAMPLE).select("s", "k")
     side = lambda df, at, f, p: df.select(*at, F.col("f").alias(f), *[F.col(c).alias(f"{p}_{c}") for c in more])
 
-    def met(df: DataFrame, at: list[str]) -> DataFrame:
-        pairs = side(df, at, "a", "x").join(side(df, at, "b", "y"), at).where("a < b").where(near("a", "b", distance))
+    def met(df: DataFrame, at: list[str], n: int = 0) -> DataFrame:
+        df = df.repartition(parts[n], *at) if parts else df
+        other = side(df, at, "b", "y").hint("merge") if parts else side(df, at, "b", "y")
+        pairs = side(df, at, "a", "x").join(other, at).where("a < b").where(near("a", "b", distance))
         pairs = pairs if only is None else pairs.where(only)
         return (pairs if first is None else pairs.where(first)).select("a", "b")
 
@@ -95,7 +99,7 @@ def close_pairs(keyed: DataFrame, distance: int, agree: int = 2, only: Column |
     warm = keyed.join(many, ["s", "k"], "left_semi")
     finer = F.array(*[F.struct(F.lit(n).alias("s2"), F.col("f").bitwiseAND(reduce(Column.bitwiseOR, [F.col("masks")[i] for i in c])).alias("k2")) for n, c in enumerate(agreeing(distance + agree, agree))])
     divided = warm.join(_balanced_masks(warm, distance + agree), ["s", "k"]).select("s", "k", F.explode(finer).alias("e"), "f", *more).select("s", "k", "e.s2", "e.k2", "f", *more)
-    again = met(divided, ["s", "k", "s2", "k2"]).distinct()
+    again = met(divided, ["s", "k", "s2", "k2"], 1).distinct()
     return cold.unionByName(again) if first is not None else cold.unionByName(again).distinct()
 
 
@@ -106,11 +110,13 @@ def representative_pairs(reps: DataFrame, distance: int = 6, hot: int = HOT) ->
     divided by their own bits (close_pairs). If not, the more there are the more blocks must agree, from one of 7 (7 keys of
     9 bits a fingerprint, at distance 6) over two of 8 (28 keys of 16 bits) to three of 9 (84 of 21). All give the same pairs."""
     part = keyed_prints(reps.where(F.pmod(F.xxhash64("fp"), F.lit(_SAMPLE)) == 0), distance, 2).groupBy("s", "k").agg(F.count(F.lit(1)).alias("n"))
-    most, rows = part.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    crowded = F.when(F.col("n") > hot / _SAMPLE, F.col("n"))
+    most, rows, many = part.agg(*[F.coalesce(c, F.lit(0)) for c in (F.max("n"), F.sum("n"), F.sum(crowded))]).first()
     n, divide = rows // len(agreeing(distance + 2, 2)) * _SAMPLE, most > hot / _SAMPLE
     agree = 2 if divide else 1 if n <= 1 << 15 else 2 if n <= 1 << 22 else 3
-    first = first_agreement("a", "b", block_masks(distance + agree), agree) == F.col("s")
-    pairs = close_pairs(keyed_prints(reps, distance, agree), distance, agree, first=first, hot=hot, divide=divide)
+    first = meets_first("s", "a", "b", block_masks(distance + agree))
+    parts = tuple(1 + k * _SAMPLE * len(agreeing(distance + agree, agree)) // ROWS for k in (n // _SAMPLE, many))
+    pairs = close_pairs(keyed_prints(reps.repartition(parts[0], "fp"), distance, agree), distance, agree, first=first, hot=hot, divide=divide, parts=parts)
     return pairs.select(F.col("a").alias("fa"), F.col("b").alias("fb"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).cast("bigint").alias("distance"))
 
 
