@@ -42,6 +42,16 @@ def test_a_million_prints_of_which_half_are_equal(spark):
     assert out.count() == 520_000 and out.selectExpr("max(copies)").first()[0] == 500_000
 
 
+def test_ids_of_one_print_are_dealt_out_and_keep_their_links(spark):
+    rows = [(i, 5 if i < 300 else signed(i * 0x9E3779B97F4A7C15 % (1 << 64))) for i in range(340)] + [(900, 4), (901, 7), (902, None)]
+    df = spark.createDataFrame(rows, "id long, fp long")
+    for many in (7, 1 << 18):
+        got = sorted(map(tuple, hamming.membership(df, many).collect()))
+        assert got == [(i, 0 if v == 5 else i) for i, v in rows if v is not None]
+        links = {r["id"]: (r["rep"], r["copies"], r["links"]) for r in hamming.near_links(df, 2, many).collect()}
+        assert len(links) == 342 and links[7] == (0, 300, 2) and links[900] == (900, 1, 301) and links[901] == (901, 1, 301) and links[320] == (320, 1, 0)
+
+
 def test_keys_are_dealt_by_their_number_and_never_broadcast(spark, monkeypatch):
     monkeypatch.setattr(hamming, "ROWS", 1000)
     df = spark.range(4000).selectExpr("id", "xxhash64(id div 2) ^ (id % 2) fp")

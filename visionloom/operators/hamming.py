@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 HOT, _SAMPLE = 1000, 16
 #: Keyed fingerprints of a task. They are few bytes, so partitions by bytes would hold tens of millions of them and their pairs.
 ROWS = 1 << 18
+#: Ids of one fingerprint that a task joins at most, give or take; more are dealt out.
+MANY = 1 << 18
 
 
 def _long(v: int) -> Column:
@@ -23,10 +25,20 @@ def representatives(prints: DataFrame) -> DataFrame:
     return prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def membership(prints: DataFrame) -> DataFrame:
-    """(id, rep): each id with the smallest one of its fingerprint. One row an id; a fingerprint that many have is a skewed
-    join, which is split, not a group that is collected."""
-    return prints.where("fp is not null").join(representatives(prints).select("fp", "rep"), "fp").select("id", "rep")
+def _by_print(ids: DataFrame, named: DataFrame, reps: DataFrame, many: int) -> DataFrame:
+    """ids(fp, ...) joined with named(fp, copies, ...), a row a fingerprint of reps. What more than `many` ids share is a row
+    for each `many` of them and its ids are dealt to these rows; so few are known to all tasks."""
+    heavy = F.broadcast(reps.where(F.col("copies") > many).select("fp", F.floor(F.col("copies") / many).alias("__lots")))
+    dealt = ids.join(heavy, "fp", "left").withColumn("__lot", F.coalesce(F.pmod(F.xxhash64("id"), F.col("__lots") + 1), F.lit(0))).drop("__lots")
+    rows = named.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("copies") / many))))
+    return dealt.join(rows, ["fp", "__lot"]).drop("__lot")
+
+
+def membership(prints: DataFrame, many: int = MANY) -> DataFrame:
+    """(id, rep): each id with the smallest one of its fingerprint. One row an id; a fingerprint that many have is no group
+    that is collected, and its ids go to several tasks."""
+    reps = representatives(prints)
+    return _by_print(prints.where("fp is not null").select("id", "fp"), reps, reps, many).select("id", "rep")
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -143,13 +155,14 @@ def near_duplicate_pairs(prints: DataFrame, distance: int = 6) -> DataFrame:
     return expand_pairs(prints, representative_pairs(representatives(prints).select("fp"), distance))
 
 
-def near_links(prints: DataFrame, distance: int = 6) -> DataFrame:
+def near_links(prints: DataFrame, distance: int = 6, many: int = MANY) -> DataFrame:
     """(id, rep, copies, links) per id: its representative, how many ids share its fingerprint, itself included, and how many
     ids of other fingerprints are near. In proportion to the ids and the near fingerprints, never to pairs of copies."""
     reps = representatives(prints)
     pairs = representative_pairs(reps.select("fp"), distance)
     sizes = reps.select("fp", "copies")
-    both = pairs.select(F.col("fa").alias("f"), F.col("fb").alias("fp")).unionByName(pairs.select(F.col("fb").alias("f"), F.col("fa").alias("fp")))
+    side = lambda f, fp: F.struct(F.col(f).alias("f"), F.col(fp).alias("fp"))
+    both = pairs.select(F.inline(F.array(side("fa", "fb"), side("fb", "fa"))))
     links = both.join(sizes, "fp").groupBy("f").agg(F.sum("copies").alias("links")).withColumnRenamed("f", "fp")
     named = reps.join(links, "fp", "left").select("fp", "rep", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-    return prints.where("fp is not null").select("id", "fp").join(named, "fp").select("id", "rep", "copies", "links")
+    return _by_print(prints.where("fp is not null").select("id", "fp"), named, reps, many).select("id", "rep", "copies", "links")
