@@ -67,3 +67,23 @@ def test_the_pipeline_drops_near_copies(spark):
     kept = P.near_duplicates(spark, docs(spark, rows), "").collect()
     sets = [shingle_words(r["text"]) for r in kept]
     assert not any(similarity(sets[i], sets[j]) >= 0.8 for i in range(len(sets)) for j in range(i))
+
+
+def test_odd_bits_lose_no_similar_pair_and_drop_a_crowd(spark):
+    from pyspark.sql import functions as F
+
+    g = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for n in [2] * 20 + [9] * 40:  # a few words changed, and so many that pairs are less similar than 0.8
+        t = list(base)
+        for at in g.sample(range(150), n):
+            t[at] = f"x{g.randrange(10**6)}"
+        texts.append(" ".join(t))
+    prints = shingles.with_prefix(docs(spark, list(enumerate(texts)))).select("doc_id", "n", *shingles.ODD)
+    a, b = (prints.toDF(f"{p}id", f"{p}n", *[f"{p}{c}" for c in shingles.ODD]) for p in "xy")
+    kept = {(r["xid"], r["yid"]) for r in a.join(b, F.expr("xid < yid")).where(shingles._odd_enough("x", "y", "xn", "yn")).collect()}
+    sets = [shingle_words(t) for t in texts]
+    near = {(i, j) for i in range(60) for j in range(i + 1, 60) if similarity(sets[i], sets[j]) >= 0.8}
+    assert near and near <= kept and len(kept - near) < 200
+    assert len({(i, j) for i in range(20, 60) for j in range(i + 1, 60)} & kept) < 80  # of 780

@@ -4,6 +4,7 @@ the rest, since pairs at that similarity differ in about ten of 64 bits, too man
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ from .simhash import _LOWER, _SLICE, block_keys, components, majority, pivot_lin
 #: Shingles that go last in the order are looked for in so many documents and are those of so many of them; at most
 #: MOST_COMMON are sent to the tasks. Any choice gives the same pairs, a poor one only more candidates.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 100_000
-_FIELDS = [T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]
+#: Columns of 64 bits that tell for each value of the low bits whether a set has an odd number of members with it.
+ODD = [f"odd{i}" for i in range(8)]
+_FIELDS = [T.StructField("n", T.IntegerType()), T.StructField("first", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType()), *[T.StructField(c, T.LongType()) for c in ODD]]
 _HELD = 2_000_000  # shingles in the sets that a task keeps while it compares texts
 
 
@@ -37,24 +40,26 @@ def least_shared(n: int) -> int:
 
 def with_prefix(docs: DataFrame, text: str = "text", shingle: int = 5, last: np.ndarray | None = None) -> DataFrame:
     """docs with n, the size of the shingle set, first, its first n - least_shared(n) + 1 members by the order in which
-    those of the sorted array `last` come at the end, and fp, the SimHash fingerprint of the set. Null and empty texts
+    those of the sorted array `last` come at the end, fp, the SimHash fingerprint of the set, and ODD. Null and empty texts
     have the one shingle of no words. No shuffle."""
 
     def fn(texts: list) -> dict:
-        sizes, sets, prints = [], [], []
+        sizes, sets, prints, odd = [], [], [], []
         for t in texts:
             h = shingle_set(t, shingle)
             v = majority(h[at : at + _SLICE].astype(">i8") for at in range(0, len(h), _SLICE))
             prints.append(v - (v >> 63 << 64))
             keep = len(h) - least_shared(len(h)) + 1
             sizes.append(len(h))
+            odd.append(np.packbits(np.bincount(h & (64 * len(ODD) - 1), minlength=64 * len(ODD)) % 2 == 1))
             if last is not None and len(last):
                 common = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                 rare = h[~common]
                 h = rare if len(rare) >= keep else np.concatenate([rare, h[common]])
             sets.append(h[:keep].copy())
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-        return {"n": sizes, "fp": prints, "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))}
+        words = np.array(odd, np.uint8).reshape(-1, 8 * len(ODD)).view(np.int64)
+        return {"n": sizes, "fp": prints, **{c: words[:, i].copy() for i, c in enumerate(ODD)}, "first": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))}
 
     return append_columns(docs, _FIELDS, fn, [text])
 
@@ -74,6 +79,13 @@ def _may_be_similar(an: str, bn: str, shared: str) -> Column:
     return (5 * F.least(an, bn) >= 4 * F.greatest(an, bn)) & (9 * (F.col(shared) + left) >= 4 * (F.col(an) + F.col(bn)))
 
 
+def _odd_enough(x: str, y: str, an: str, bn: str) -> Column:
+    """Whether sets of an and bn members can have a similarity of 0.8 by the bits of ODD in which they differ. Each member
+    that only one of them has turns one bit, and at 0.8 there are (an + bn) / 9 such members or fewer, so no pair is lost."""
+    off = reduce(Column.__add__, [F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in ODD])
+    return 9 * off <= F.col(an) + F.col(bn)
+
+
 def _counted(pairs: DataFrame) -> DataFrame:
     """(a, b) of the rows (a, an, b, bn), one per shared shingle, that may be similar."""
     return pairs.groupBy("a", "an", "b", "bn").agg(F.count(F.lit(1)).alias("shared")).where(_may_be_similar("an", "bn", "shared")).select("a", "b")
@@ -132,13 +144,14 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Fingerprints at three bits or fewer, and texts of one fingerprint, are candidates. In one order of all shingles, two
     sets of n and m members of similarity 0.8 share one of their first n - least_shared(n) + 1 and m - least_shared(m) + 1,
     so those that share one are candidates too and no pair is missed. Texts that meet are first held against one of them,
-    which joins a large group in linear time; then only texts that are still apart are paired. Every candidate is
+    which joins a large group in linear time; then only texts that are still apart are paired, and of these only such as can
+    be similar by their odd bits, which leaves few of a crowd whose texts are a little less similar. Every candidate is
     verified by the whole sets.
     """
     with scratch(docs.sparkSession) as outlive:
         texts = docs.select(text_key().alias("key"), "text")
         prints = with_prefix(docs.select("doc_id", "text", text_key().alias("key")), shingle=shingle, last=common_shingles(docs, shingle))
-        nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first")), "nodes")
+        nodes = materialise(prints.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("first").alias("first"), *[F.first(c).alias(c) for c in ODD]), "nodes")
         keyed = nodes.select("key", "n", F.explode("first").alias("h"))
         shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
         met = materialise(keyed.join(shared, "h", "left_semi"), "met")
@@ -151,9 +164,9 @@ def groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
         found = components(near).withColumnRenamed("node", "key")
         part = met.join(found, "key", "left").select("h", "key", "n", F.coalesce("component", "key").alias("c"))
         split = part.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h")
-        part = materialise(part.join(split, "h", "left_semi"), "part")
-        a, b = part.toDF("h", "a", "an", "ac"), part.toDF("h", "b", "bn", "bc")
-        apart = a.join(b, "h").where("a < b and ac <> bc and 5 * least(an, bn) >= 4 * greatest(an, bn)").select("a", "an", "b", "bn")
+        part = materialise(part.join(split, "h", "left_semi").join(nodes.select("key", *ODD), "key").select("h", "key", "n", "c", *ODD), "part")
+        a, b = part.toDF("h", "a", "an", "ac", *[f"x{c}" for c in ODD]), part.toDF("h", "b", "bn", "bc", *[f"y{c}" for c in ODD])
+        apart = a.join(b, "h").where("a < b and ac <> bc and 5 * least(an, bn) >= 4 * greatest(an, bn)").where(_odd_enough("x", "y", "an", "bn")).select("a", "an", "b", "bn")
         more = materialise(similar(_counted(apart), held, shingle), "more")
         if not more.isEmpty():
             found = with_links(found.withColumnRenamed("key", "node"), more).withColumnRenamed("node", "key")
