@@ -141,10 +141,11 @@ def near_representatives(prints: DataFrame, distance: int = 6, hot: int = HOT) -
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
-def expand_pairs(prints: DataFrame, pairs: DataFrame) -> DataFrame:
+def expand_pairs(prints: DataFrame, pairs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(a, b, distance), a < b, of all ids: those of the near fingerprints in pairs(fa, fb, distance) and equal ones, on
-    request, since copies make as many rows as they have pairs."""
-    ids = prints.where("fp is not null").select("id", "fp")
+    request, since copies make as many rows as they have pairs. Where ids carry more, `ids` has them in place of prints: as
+    structs, which are compared by their first field first."""
+    ids = (prints if ids is None else ids).where("fp is not null").select("id", "fp")
     copied = representatives(prints).where("copies > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).cast("bigint").alias("distance"))
     each = pairs.unionByName(copied).join(ids.toDF("x", "fa"), "fa").join(ids.toDF("y", "fb"), "fb").where("fa <> fb or x < y")
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
