@@ -14,6 +14,8 @@ HOT, _SAMPLE = 1000, 16
 ROWS = 1 << 18
 #: Ids of one fingerprint that a task joins at most, give or take; more are dealt out.
 MANY = 1 << 18
+#: Ids of one fingerprint that are paired at once, give or take, where pairs of all ids are made.
+COPIES = 1 << 10
 
 
 def _long(v: int) -> Column:
@@ -141,13 +143,20 @@ def near_representatives(prints: DataFrame, distance: int = 6, hot: int = HOT) -
     return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
-def expand_pairs(prints: DataFrame, pairs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def expand_pairs(prints: DataFrame, pairs: DataFrame, ids: DataFrame | None = None, many: int = COPIES) -> DataFrame:
     """(a, b, distance), a < b, of all ids: those of the near fingerprints in pairs(fa, fb, distance) and equal ones, on
     request, since copies make as many rows as they have pairs. Where ids carry more, `ids` has them in place of prints: as
-    structs, which are compared by their first field first."""
-    ids = (prints if ids is None else ids).where("fp is not null").select("id", "fp")
-    copied = representatives(prints).where("copies > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).cast("bigint").alias("distance"))
-    each = pairs.unionByName(copied).join(ids.toDF("x", "fa"), "fa").join(ids.toDF("y", "fb"), "fb").where("fa <> fb or x < y")
+    structs, which are compared by their first field first. Pairs of few ids can be many, so they are dealt out by number,
+    and of a fingerprint that more than `many` ids have, `many` or so at once."""
+    known = (prints if ids is None else ids).where("fp is not null").select("id", "fp").repartition("fp")
+    reps = representatives(prints)
+    copied = reps.where("copies > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"), F.lit(0).cast("bigint").alias("distance"))
+    heavy = F.broadcast(reps.where(F.col("copies") > many).select(F.col("fp").alias("fb"), F.floor(F.col("copies") / many).alias("__lots")))
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = pairs.unionByName(copied).join(known.toDF("x", "fa"), "fa").join(heavy, "fb", "left")
+    left = left.withColumn("__lot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__lots", F.lit(0))))).drop("__lots").repartition(parts, "fb", "__lot")
+    right = known.toDF("y", "fb").join(heavy, "fb", "left").withColumn("__lot", F.coalesce(F.pmod(F.xxhash64("y"), F.col("__lots") + 1), F.lit(0))).drop("__lots")
+    each = left.join(right, ["fb", "__lot"]).where("fa <> fb or x < y")
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
